@@ -1,8 +1,68 @@
-"""The corpus pipeline."""
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+as Parquet and read again as the docs of the next.  All but the last return the
+columns of documents.  There is no SQL for the whole: the first stage is a trained model.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm import quality
+from lodestone.llm.common import Workspace, read_table
+from lodestone.llm.decontaminate import decontaminate
+from lodestone.llm.jaccard_join import jaccard_components
+from lodestone.llm.line_dedup import dedup_lines
+from lodestone.llm.packing import pack
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    labels = read_table(spark, sf_dir, "labels").filter(~quality.held_out())
+    scored = quality.score(spark, docs, quality.train(spark, docs, labels))
+    return scored.filter("predicted = 1").select(*docs.columns)
+
+
+def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of ten documents or more go from all of them; a document whose lines all go stays, empty."""
+    kept = dedup_lines(spark, docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked documents that with the smallest id stays, once if its row is repeated; rows without an id stay."""
+    stay = jaccard_components(spark, docs).filter("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return named.unionByName(docs.filter("doc_id is null"))
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which windows of benchmark items cover a twentieth or more go."""
+    found = decontaminate(spark, docs, read_table(spark, sf_dir, "benchmark"))
+    return found.filter(~F.col("contaminated")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(spark, docs)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("line dedup", without_common_lines),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", without_benchmarks),
+    ("best-fit packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws, docs = Workspace(spark, "pipeline"), read_table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = ws.keep(docs, f"stage-{i}")
+    return docs

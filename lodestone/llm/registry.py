@@ -5,17 +5,80 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import quality
 from .common import read_table
+from .decontaminate import decontaminate
 from .jaccard_join import jaccard_components
+from .licenses import scan_licenses
+from .line_dedup import dedup_lines
+from .neighbours import nearest
+from .packing import pack
+from .secrets import digests, scan_secrets
+from .urls import judge_urls
+from .warc import round_trip
+
+RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(spark, read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(spark, read_table(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(spark, read_table(spark, sf_dir, "documents"))
+
+
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    return nearest(spark, rows, rows.filter("vec_id % 20 = 0"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate(spark, docs, read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(spark, read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(spark, read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    labels = read_table(spark, sf_dir, "labels").filter(~quality.held_out())
+    return quality.score(spark, docs, quality.train(spark, docs, labels)).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(scan_secrets(spark, read_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
+    "op2_url_filter": op2_url_filter,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
+    "op5_decontaminate": op5_decontaminate,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_warc": op7_warc,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_quality": op9_quality,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
