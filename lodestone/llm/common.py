@@ -2,51 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..job import Workspace, shared_dir
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["Workspace", "batches", "blocks", "even_keys", "mix", "read_table", "shared_dir", "shuffle_partitions", "text_bytes", "whole_groups"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is ``spark.checkpoint.dir``.  Only where that is unset (tests on one
-    machine) a temporary folder is made and set.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-class Workspace:
-    """Tables that one operator call writes into the shared folder.
-
-    Each is read back from there, so a lost executor costs at most the step
-    that is running.
-    """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
-
-    def drop(self, name: str = "") -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -89,3 +57,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def even_keys(parts: int) -> np.ndarray:
+    """One int for each of ``parts`` partitions that repartition(parts, key) sends there.
+
+    Spark places an int key by its Murmur3 hash, so consecutive keys would fall
+    unevenly: some partitions would get several and some none.
+    """
+    x = np.arange(64 * parts, dtype=np.uint32)
+    with np.errstate(over="ignore"):
+        k = x * np.uint32(0xCC9E2D51)
+        k = ((k << np.uint32(15)) | (k >> np.uint32(17))) * np.uint32(0x1B873593)
+        h = np.uint32(42) ^ k
+        h = ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(4)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        h ^= h >> np.uint32(16)
+    at = h.view(np.int32).astype(np.int64) % parts
+    out = np.arange(parts, dtype=np.int32)  # right, if uneven, where the search should find none
+    place, first = np.unique(at, return_index=True)
+    out[place] = first
+    return out
+
+
+def whole_groups(items: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of equal keys and where each run begins, from batches in which such rows follow each other."""
+    open_: list[pa.RecordBatch] = []
+    for batch in items:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([*open_, batch]) if open_ else pa.Table.from_batches([batch])
+        cols = [table.column(k).to_numpy() for k in keys]
+        change = np.ones(table.num_rows, dtype=bool)
+        change[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+        start = np.flatnonzero(change)
+        if len(start) > 1:
+            yield table.slice(0, int(start[-1])), start[:-1]
+        open_ = table.slice(int(start[-1])).to_batches()
+    if open_:
+        yield pa.Table.from_batches(open_), np.zeros(1, dtype=np.int64)

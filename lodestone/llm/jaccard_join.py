@@ -31,9 +31,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, blocks, mix, shuffle_partitions, text_bytes
+from .common import Workspace, blocks, even_keys, mix, shuffle_partitions, text_bytes, whole_groups
 from .components import connected_components
-from .signature_tree import Tree, candidates, signature
+from .signature_tree import LEAF, Tree, candidates, signature
 from .words import SPACED, Block
 
 UP, DOWN = 80, 100  # a link: DOWN * intersection >= UP * union
@@ -93,9 +93,9 @@ def _features(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["doc_id", "n", "h1", "h2", "n1", "n2"])
 
 
-def _dealt(parts: int, key: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+def _dealt(parts: np.ndarray, key: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
     """A row (part, blob) for each part of the keys."""
-    part = key % parts
+    part = parts[key % len(parts)]
     order = np.argsort(part, kind="stable")
     part, rows = part[order], rows[order]
     cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
@@ -103,7 +103,7 @@ def _dealt(parts: int, key: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array([rows[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], names=["part", "blob"])
 
 
-def _counted(parts: int):
+def _counted(parts: np.ndarray):
     """(part of the token, blob of token and class) for the tokens in range; rows are put together to about 2 million."""
 
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +153,7 @@ def streamed(items: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(open_)
 
 
-def _shared(parts: int):
+def _shared(parts: np.ndarray):
     """(part of the class, blob of class, token and number of classes) for tokens of two classes or more."""
 
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,29 +229,45 @@ def _alike(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.array(c, dtype=np.int64)[keep]) for c in (a, b)], names=["a", "b"])
 
 
+def _near(bits: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the bitmaps of sets i and j allow a link."""
+    able = (DOWN * n[i] >= UP * n[j]) & (DOWN * n[j] >= UP * n[i])
+    k = np.flatnonzero(able)
+    x, y, m, o = bits[i[k]], bits[j[k]], n[i[k]], n[j[k]]
+    most = np.minimum(m - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), o - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+    able[k] = (UP + DOWN) * most >= UP * (m + o)
+    return able
+
+
 def _traversed(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that the dual traversal of each block pair leaves."""
-    out_a, out_b = [], []
-    for group in streamed(items, ["token", "i", "j"]):
-        ident, n, comp, side = (group.column(c).to_numpy() for c in ("id", "n", "component", "side"))
-        bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), dtype=np.uint64).reshape(len(n), -1)
-        p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        one = not len(q)  # a block with itself
-        q = p if one else q
-        if not len(p):
-            continue
-        x = Tree(n[p], comp[p], bits[p])
-        y = x if one else Tree(n[q], comp[q], bits[q])
-        i, j = candidates(x, y, UP, DOWN)
-        if one:
-            i, j = i[i < j], j[i < j]
-        out_a.append(ident[p[i]])
-        out_b.append(ident[q[j]])
-        if sum(map(len, out_a)) > 100_000:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
-            out_a, out_b = [], []
-    if out_a:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+    """Pairs that the dual traversal of each block pair leaves; small block pairs are single leaves and taken together."""
+    for table, start in whole_groups(items, ["token", "i", "j"]):
+        ident, n, comp, side = (table.column(c).to_numpy() for c in ("id", "n", "component", "side"))
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype=np.uint64).reshape(len(n), -1)
+        size = np.diff(np.r_[start, len(n)])
+        ones = np.add.reduceat(side, start)  # rows of the second side; none: a block with itself
+        group = np.repeat(np.arange(len(start)), size)
+        found = []
+        small = size <= LEAF
+        for d in range(1, int(size[small].max(initial=0))):
+            i = np.flatnonzero((group[:-d] == group[d:]) & small[group[:-d]] & (comp[:-d] != comp[d:]))
+            i = i[(ones[group[i]] == 0) | (side[i] != side[i + d])]
+            i = i[_near(bits, n, i, i + d)]
+            found.append((i, i + d))
+        for g in np.flatnonzero(~small & (ones < size)).tolist():
+            rows = np.arange(start[g], start[g] + size[g])
+            p, q = rows[side[rows] == 0], rows[side[rows] == 1]
+            x = Tree(n[p], comp[p], bits[p])
+            if len(q):
+                i, j = candidates(x, Tree(n[q], comp[q], bits[q]), UP, DOWN)
+                found.append((p[i], q[j]))
+            else:
+                i, j = candidates(x, x, UP, DOWN)
+                found.append((p[i[i < j]], p[j[i < j]]))
+        if found:
+            i, j = (np.concatenate(c) for c in zip(*found, strict=True))
+            pairs = np.unique(np.stack([np.minimum(ident[i], ident[j]), np.maximum(ident[i], ident[j])]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,11 +286,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     feats = ws.keep(docs.mapInArrow(_features, "doc_id long, n long, h1 long, h2 long, n1 long, n2 long"), "features")
     classes = feats.filter("doc_id is not null and n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
-    many = 4 * parts
-    counted = docs.mapInArrow(_counted(many), "part int, blob binary").repartition(parts, "part").sortWithinPartitions("part")
-    shared = counted.mapInArrow(_shared(many), "part int, blob binary")
+    even = even_keys(parts)
+    counted = docs.mapInArrow(_counted(even), "part int, blob binary").repartition(parts, "part").sortWithinPartitions("part")
+    shared = counted.mapInArrow(_shared(even), "part int, blob binary")
     h = F.shiftrightunsigned("h1", 16)
-    rows = classes.select((h % many).cast("int").alias("part"), h.alias("h"), "id", "n", "n1", "n2", F.lit(None).cast("binary").alias("blob"))
+    rows = classes.select(F.get(F.lit(even), (h % parts).cast("int")).alias("part"), h.alias("h"), "id", "n", "n1", "n2", F.lit(None).cast("binary").alias("blob"))
     none = [F.lit(None).cast("long").alias(c) for c in ("h", "id", "n", "n1", "n2")]
     rows = rows.unionByName(shared.select("part", *none, "blob")).repartition(parts, "part").sortWithinPartitions("part")
     hung = ws.keep(rows.mapInArrow(_hung, "token long, id long, n long"), "hung")
