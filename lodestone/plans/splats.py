@@ -117,12 +117,33 @@ def reach(s: S.Splats) -> tuple[np.ndarray, np.ndarray]:
 
 _NODE = "path string, n long, xmin double, xmax double, ymin double, ymax double, zmin double, zmax double, error double, levels int, kids array<string>"
 
+_NODE_ARROW = pa.schema([("path", pa.string()), ("n", pa.int64()), *((f"{a}{m}", pa.float64()) for a in "xyz" for m in ("min", "max")), ("error", pa.float64()), ("levels", pa.int32()), ("kids", pa.list_(pa.string()))])
+
 
 def _node(path: str, s: S.Splats, levels: int, low, high, least: float, factor: float, kids: list[str]) -> dict:
     own = error(s.centre, levels, factor) if levels else 0.0
     return {"path": path, "n": len(s), **{f"{a}{m}": float(v) for i, a in enumerate("xyz") for m, v in (("min", low[i]), ("max", high[i]))}, "error": max(own, least), "levels": levels, "kids": kids}
 
 
+def _merging(facts: dict[str, list[dict]], factor: float):
+    """A parent's splats and node from those of its children, whose nodes are in facts."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        path = table.column("parent")[0].as_py()
+        s = as_arrays(table.sort_by([("tile", "ascending"), ("source_index", "ascending")]))
+        kids = facts[path]
+        out = S.simplify(s, sum(max(1, math.ceil(k["n"] * RATIO)) for k in kids))
+        low, high = reach(out)
+        low = np.minimum(low, np.min([[k[f"{a}min"] for a in "xyz"] for k in kids], axis=0))
+        high = np.maximum(high, np.max([[k[f"{a}max"] for a in "xyz"] for k in kids], axis=0))
+        levels = max(k["levels"] for k in kids) + 1
+        node = _node(path, out, levels, low, high, CHILD_FACTOR * max(k["error"] for k in kids), factor, [k["path"] for k in kids])
+        columns = as_table(out) | {"tile": pa.array([path] * len(out))}
+        return pa.table(columns | {"node": pa.array([node] + [None] * (len(out) - 1), pa.struct(list(_NODE_ARROW)))})
+
+    return merge
+
+
 def build(spark: SparkSession, splats: DataFrame, per_tile: int = PER_TILE, factor: float = 1.0) -> tuple[DataFrame, list[dict]]:
     """(splats with their tile, node rows): leaves keep all theirs, and a parent merges its children's to half.
 
@@ -145,7 +166,7 @@ def build(spark: SparkSession, splats: DataFrame, per_tile: int = PER_TILE, fact
     def leaf_node(table: pa.Table) -> pa.Table:
         s = as_arrays(table)
         low, high = reach(s)
-        return pa.Table.from_pylist([_node(table.column("tile")[0].as_py(), s, 0, low, high, 0.0, factor, [])])
+        return pa.Table.from_pylist([_node(table.column("tile")[0].as_py(), s, 0, low, high, 0.0, factor, [])], schema=_NODE_ARROW)
 
     rows = now.groupBy("tile").applyInArrow(leaf_node, _NODE).collect()  # a row for each tile
     nodes = {r["path"]: r.asDict() for r in rows}
@@ -165,27 +186,13 @@ def build(spark: SparkSession, splats: DataFrame, per_tile: int = PER_TILE, fact
         parent = {t: p for p, ts in pairs.items() for t in ts}
         facts = {p: [nodes[t] for t in ts] for p, ts in pairs.items()}
 
-        def merge(table: pa.Table, facts=facts) -> pa.Table:
-            path = table.column("parent")[0].as_py()
-            s = as_arrays(table.sort_by([("tile", "ascending"), ("source_index", "ascending")]))
-            kids = facts[path]
-            out = S.simplify(s, sum(max(1, math.ceil(k["n"] * RATIO)) for k in kids))
-            low, high = reach(out)
-            low = np.minimum(low, np.min([[k[f"{a}min"] for a in "xyz"] for k in kids], axis=0))
-            high = np.maximum(high, np.max([[k[f"{a}max"] for a in "xyz"] for k in kids], axis=0))
-            levels = max(k["levels"] for k in kids) + 1
-            node = _node(path, out, levels, low, high, CHILD_FACTOR * max(k["error"] for k in kids), factor, [k["path"] for k in kids])
-            columns = as_table(out) | {"tile": pa.array([path] * len(out))}
-            return pa.table(columns | {"node": pa.array([node] + [None] * (len(out) - 1), pa.struct([("path", pa.string()), ("n", pa.int64()), *((f"{a}{m}", pa.float64()) for a in "xyz" for m in ("min", "max")), ("error", pa.float64()), ("levels", pa.int32()), ("kids", pa.list_(pa.string()))]))})
-
         names = F.create_map(*(F.lit(v) for kv in parent.items() for v in kv))
-        below = made[0] if len(made) == 1 else None
-        source = below if below is not None else made[0]
+        source = made[0]
         for m in made[1:]:
             source = source.unionByName(m)
         grouped = source.filter(F.col("tile").isin(list(parent))).withColumn("parent", names[F.col("tile")])
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in now.schema.fields) + f", node struct<{_NODE.replace(' ', ':').replace(',:', ',')}>"
-        merged = ws.keep(grouped.groupBy("parent").applyInArrow(merge, schema), f"level-{level}")
+        merged = ws.keep(grouped.groupBy("parent").applyInArrow(_merging(facts, factor), schema), f"level-{level}")
         for r in merged.filter("node is not null").select("node.*").collect():  # a row for each tile
             nodes[r["path"]] = r.asDict()
             for kid in r["kids"]:

@@ -297,8 +297,8 @@ SELECT s_suppkey, {_R3} FROM e"""
 )
 def utm_to_ecef(spark, sf_dir):
     k = F.col("s_suppkey")
-    xyz = frames.to_ecef("EPSG:32633", k % 1000 * 200.0 + 400000.0, k % 700 * 500.0 + 4400000.0, F.col("s_acctbal"))
-    return rounded(table(spark, sf_dir, "supplier").select(k, *(v.alias(a) for a, v in zip("xyz", xyz, strict=True))), 3, "x", "y", "z")
+    grid = table(spark, sf_dir, "supplier").select(k, (k % 1000 * 200.0 + 400000.0).alias("x"), (k % 700 * 500.0 + 4400000.0).alias("y"), F.col("s_acctbal").alias("z"))
+    return rounded(frames.reprojected(grid, "EPSG:32633"), 3, "x", "y", "z")
 
 
 _PLACED = frames.placement(lon=12.5, lat=41.9, height=50, heading=30, pitch=10, roll=-5, scale=2, up="y")
