@@ -108,8 +108,8 @@ class Archive:
         tail_at = max(0, size - 65_557)
         tail = read(tail_at, size - tail_at)
         at = tail.rfind(_END)
-        while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
-            at = tail.rfind(_END, 0, at)
+        while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
+            at = tail.rfind(_END, 0, at)  # the mark may stand in the comment
         if at < 0:
             raise ValueError("no end of central directory")
         count, length, start = struct.unpack_from("<HII", tail, at + 10)
