@@ -92,3 +92,164 @@ def decode(raw: bytes, n: int, stride: int) -> np.ndarray:
             out[a : a + count, k] = np.cumsum(np.r_[last[k], delta].astype(np.int64))[1:].astype(np.uint8)
         last = out[a + count - 1].copy()
     return out
+
+
+# ---------------------------------------------------------------- version 1
+
+HEADER_1 = 0xA1
+BYTES, SHORTS, XOR = 0, 1, 2  # how a channel of four bytes differs from the row before
+_WIDTHS = ((0, 1, 2, 4), (1, 2, 4, 8))  # bits of a group's values under the first two controls
+_ZERO, _LITERAL = 2, 3
+_TAIL = 24
+
+
+def _rotl(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint32(by) | x >> np.uint32(32 - by) if by else x
+
+
+def _channel_deltas(cur: np.ndarray, prev: np.ndarray, mode: int) -> np.ndarray:
+    """(n, 4) bytes that stand for the rows, given each one's predecessor."""
+    kind, turn = mode & 15, mode >> 4
+    if kind == BYTES:
+        return _zigzag((cur - prev).astype(np.uint8))
+    cur, prev = np.ascontiguousarray(cur), np.ascontiguousarray(prev)
+    if kind == SHORTS:
+        d = (cur.view("<u2") - prev.view("<u2")).view("<i2").astype(np.int32)
+        return np.ascontiguousarray(((d << 1) ^ (d >> 15)).astype("<u2")).view(np.uint8)
+    return np.ascontiguousarray(_rotl(cur.view("<u4") ^ prev.view("<u4"), turn).astype("<u4")).view(np.uint8)
+
+
+def _pack(values: np.ndarray, bits: int) -> bytes | None:
+    """Sixteen values of so many bits each, with escapes; None if zero bits don't do."""
+    if bits == 8:
+        return values.tobytes()
+    if bits == 0:
+        return None if values.any() else b""
+    escape, each = (1 << bits) - 1, 8 // bits
+    small = np.minimum(values, escape)
+    packed = np.zeros(GROUP // each, dtype=np.uint8)
+    for k in range(each):
+        # single bits go from the lowest, wider values from the highest
+        at = k if bits == 1 else 8 - bits * (k + 1)
+        packed |= (small[k::each] << np.uint8(at)).astype(np.uint8)
+    return packed.tobytes() + values[values >= escape].tobytes()
+
+
+def _byte_column(column: np.ndarray, n: int) -> tuple[int, bytes]:
+    """Control and data of one byte position of a block; the column is padded to whole groups."""
+    if not column.any():
+        return _ZERO, b""
+    best = _LITERAL, column[:n].tobytes()
+    groups = column.reshape(-1, GROUP)
+    for control, widths in enumerate(_WIDTHS):
+        head, parts = np.zeros(-(-len(groups) // 4), dtype=np.uint8), []
+        for i, g in enumerate(groups):
+            tried = [(len(p), k, p) for k, b in enumerate(widths) if (p := _pack(g, b)) is not None]
+            _, k, p = min(tried)
+            head[i // 4] |= k << (i % 4 * 2)
+            parts.append(p)
+        data = head.tobytes() + b"".join(parts)
+        if len(data) < len(best[1]):
+            best = control, data
+    return best
+
+
+def _blocks(data: np.ndarray):
+    n, stride = data.shape
+    size, last = _block_size(stride), data[0]
+    for a in range(0, n, size):
+        block = data[a : a + size]
+        yield block, np.concatenate([last[None], block[:-1]])
+        last = block[-1]
+
+
+def _padded(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([x, np.zeros((-len(x) % GROUP, x.shape[1]), dtype=np.uint8)])
+
+
+def _modes(data: np.ndarray) -> list[int]:
+    """For each channel the mode whose deltas take least, judged by a block of them."""
+    out, (block, prev) = [], next(_blocks(data))
+    for c in range(0, data.shape[1], 4):
+        cur, before = block[:, c : c + 4], prev[:, c : c + 4]
+        changed = np.ascontiguousarray(cur).view("<u4") ^ np.ascontiguousarray(before).view("<u4")
+        # the rotation that leaves the fewest bytes with changing bits
+        turns = [int(np.count_nonzero(np.ascontiguousarray(_rotl(changed, r).astype("<u4")).view(np.uint8))) for r in range(8)]
+        tried = []
+        for mode in (BYTES, SHORTS, XOR | int(np.argmin(turns)) << 4):
+            d = _padded(_channel_deltas(cur, before, mode))
+            tried.append((sum(len(_byte_column(d[:, k], len(cur))[1]) for k in range(4)), mode))
+        out.append(min(tried)[1])
+    return out
+
+
+def encode_1(data: np.ndarray) -> bytes:
+    """As encode, in version 1 of the codec."""
+    n, stride = data.shape
+    if stride % 4 or not 0 < stride <= 256:
+        raise ValueError("a vertex has a multiple of four bytes, up to 256")
+    if not n:
+        return b""
+    modes, out = _modes(data), [bytes([HEADER_1])]
+    for block, prev in _blocks(data):
+        controls, bodies = np.zeros(stride // 4, dtype=np.uint8), []
+        for c in range(0, stride, 4):
+            deltas = _padded(_channel_deltas(block[:, c : c + 4], prev[:, c : c + 4], modes[c // 4]))
+            for k in range(4):
+                control, body = _byte_column(deltas[:, k], len(block))
+                controls[c // 4] |= control << (2 * k)
+                bodies.append(body)
+        out += [controls.tobytes(), *bodies]
+    tail = data[0].tobytes() + bytes(modes)
+    return b"".join(out) + b"\0" * (_TAIL - len(tail)) + tail
+
+
+def _unpack(raw: bytes, at: int, bits: int) -> tuple[np.ndarray, int]:
+    if bits == 0:
+        return np.zeros(GROUP, dtype=np.uint8), at
+    if bits == 8:
+        return np.frombuffer(raw, np.uint8, GROUP, at).copy(), at + GROUP
+    escape, each, out = (1 << bits) - 1, 8 // bits, np.zeros(GROUP, dtype=np.uint8)
+    packed = np.frombuffer(raw, np.uint8, GROUP // each, at)
+    at += GROUP // each
+    for k in range(each):
+        out[k::each] = packed >> (k if bits == 1 else 8 - bits * (k + 1)) & escape
+    large = np.flatnonzero(out == escape)
+    out[large] = np.frombuffer(raw, np.uint8, len(large), at)
+    return out, at + len(large)
+
+
+def decode_1(raw: bytes, n: int, stride: int) -> np.ndarray:
+    if raw[0] != HEADER_1:
+        raise ValueError("not version 1 of the codec")
+    out, at, size = np.zeros((n, stride), dtype=np.uint8), 1, _block_size(stride)
+    modes, last = raw[len(raw) - stride // 4 :], np.frombuffer(raw, np.uint8, stride, len(raw) - stride - stride // 4)
+    for a in range(0, n, size):
+        count = min(size, n - a)
+        groups = -(-count // GROUP)
+        controls, at = raw[at : at + stride // 4], at + stride // 4
+        for c in range(0, stride, 4):
+            d = np.zeros((groups * GROUP, 4), dtype=np.uint8)
+            for k in range(4):
+                control = controls[c // 4] >> (2 * k) & 3
+                if control == _LITERAL:
+                    d[:count, k] = np.frombuffer(raw, np.uint8, count, at)
+                    at += count
+                elif control != _ZERO:
+                    head, at = raw[at : at + -(-groups // 4)], at + -(-groups // 4)
+                    for g in range(groups):
+                        d[g * GROUP : (g + 1) * GROUP, k], at = _unpack(raw, at, _WIDTHS[control][head[g // 4] >> (g % 4 * 2) & 3])
+            d, mode, base = d[:count], modes[c // 4], last[c : c + 4]
+            if mode & 15 == BYTES:
+                step = (d >> 1) ^ (-(d & 1).astype(np.int16)).astype(np.uint8)
+                rows = np.cumsum(np.concatenate([base[None], step]).astype(np.int64), axis=0)[1:].astype(np.uint8)
+            elif mode & 15 == SHORTS:
+                z = d.view("<u2").astype(np.int64)
+                step = (z >> 1) ^ -(z & 1)
+                rows = np.ascontiguousarray(np.cumsum(np.concatenate([base.copy().view("<u2")[None].astype(np.int64), step]), axis=0)[1:].astype("<u2")).view(np.uint8)
+            else:
+                x = _rotl(d.view("<u4"), (32 - (mode >> 4)) % 32)
+                rows = np.ascontiguousarray(np.bitwise_xor.accumulate(np.concatenate([base.copy().view("<u4")[None], x]), axis=0)[1:].astype("<u4")).view(np.uint8)
+            out[a : a + count, c : c + 4] = rows
+        last = out[a + count - 1]
+    return out

@@ -133,7 +133,8 @@ def compressed_glb(table: pa.Table, attributes: Attributes, extension: str = "EX
     streams += [(model.output_name(name, "glb"), _wide(extra[name]), _GLTF[kind], "SCALAR", False) for name, kind in attributes]
     views, accessors, names, body, plain = [], [], {}, b"", 0
     for name, data, kind, shape, norm in streams:
-        packed = meshopt.encode(data)
+        # the first extension knows version 0 alone
+        packed = meshopt.encode(data) if extension == "EXT_meshopt_compression" else meshopt.encode_1(data)
         stride = data.shape[1]
         views.append({"buffer": 1, "byteOffset": plain, "byteLength": n * stride, "byteStride": stride, "target": 34962, "extensions": {extension: {"buffer": 0, "byteOffset": len(body), "byteLength": len(packed), "byteStride": stride, "count": n, "mode": "ATTRIBUTES"}}})
         accessor = {"bufferView": len(views) - 1, "byteOffset": 0, "componentType": kind, "count": n, "type": shape} | ({"normalized": True} if norm else {})

@@ -221,6 +221,8 @@ def test_meshopt_round_trip(stride, n):
         data = data.astype(np.uint8)
         raw = meshopt.encode(data)
         assert (meshopt.decode(raw, n, stride) == data).all()
+        newer = meshopt.encode_1(data)
+        assert (meshopt.decode_1(newer, n, stride) == data).all() and len(newer) <= len(raw) + stride
     with pytest.raises(ValueError):
         meshopt.encode(np.zeros((3, 5), np.uint8))
 
@@ -231,9 +233,10 @@ def random_splats(n=200, degree=2, seed=1, box=(10, 10, 10)):
     return S.Splats(np.arange(n), g.uniform(0, 1, (n, 3)) * box, q / np.linalg.norm(q, axis=1, keepdims=True), g.uniform(0.01, 0.06, (n, 3)), g.uniform(0, 1, n), g.normal(size=(n, 3)) * 0.5, g.normal(size=(n, {0: 0, 1: 3, 2: 8, 3: 15}[degree], 3)) * 0.2)
 
 
-def test_spz_round_trip():
+@pytest.mark.parametrize("version", [2, 3])
+def test_spz_round_trip(version):
     s = random_splats()
-    out = spz.decode(spz.encode(s.centre, s.quaternion, s.scale, s.opacity, s.sh0, s.sh))
+    out = spz.decode(spz.encode(s.centre, s.quaternion, s.scale, s.opacity, s.sh0, s.sh, version))
     assert np.abs(out["xyz"] - s.centre).max() < 1e-5 and np.abs(out["opacity"] - s.opacity).max() < 0.003
     assert np.abs(np.log(out["scale"] / s.scale)).max() < 0.04 and np.abs(out["colour"] - s.sh0).max() < 0.02
     assert np.abs((out["quaternion"] * s.quaternion).sum(axis=1)).min() > 0.995 and np.abs(out["sh"] - s.sh).max() < 0.08
