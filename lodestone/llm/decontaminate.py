@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, text_bytes
+from .common import blocks, ship, text_bytes
 from .words import ALNUM, Block, shingle_numbers
 
 WINDOW = 13
@@ -129,6 +129,7 @@ def _marking(shared, column: str):
                 for x, y in spans:
                     mark[x] += 1
                     mark[y] -= 1
+                inside = np.cumsum(mark) > 0  # over the whole block: a run may end where the next text begins
                 for t in range(b - a):
                     low, high = int(block.first[t]), int(block.first[t + 1])
                     n_words.append(high - low)
@@ -136,7 +137,7 @@ def _marking(shared, column: str):
                     before = [(x["start"], x["end"]) for x in old_spans[row]] if had else []
                     if mine or before:
                         hit = np.zeros(high - low + 2, dtype=np.int8)
-                        hit[1:-1] = np.cumsum(mark[low:high]) > 0
+                        hit[1:-1] = inside[low:high]
                         for x, y in before:
                             hit[x + 1 : y + 1] = 1
                         edge = np.flatnonzero(np.diff(hit))
@@ -172,6 +173,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, te
     of ``index_bytes`` of its text as it takes; each part is one pass in the same
     stage.  Nothing is shuffled but counts by shingle of the benchmark.
     """
+    ship(spark)
     sc = spark.sparkContext
     docs = docs.drop("n_words", "n_hit", "spans", "items", "contaminated")
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).filter("i is not null and t is not null")
