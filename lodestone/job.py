@@ -1,9 +1,12 @@
-"""The job's folder in storage that the driver and executors share."""
+"""What a job needs on the cluster: the code on executors, and a folder that all share."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once for each application, unless PYTHONPATH has it."""
+    root, app = Path(__file__).resolve().parent, spark.sparkContext.applicationId
+    if app in _SHIPPED or str(root.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    target = f"{tempfile.mkdtemp(prefix='lodestone-')}/lodestone.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(app)
+
+
 class Workspace:
     """Tables that one operator call writes into the shared folder.
 
@@ -30,6 +49,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 

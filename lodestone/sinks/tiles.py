@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
+from ..job import ship
 from . import meshopt
 
 GENERATOR = "lodestone"
@@ -175,6 +176,7 @@ def content_path(tile: str, ending: str) -> str:
 
 def encoded(tiles: DataFrame, encoder: str) -> DataFrame:
     """(tile, path, content) of points with their tile.  A tile's points meet in one group, whose size the plan bounds."""
+    ship(tiles.sparkSession)
     make, ending, _, types = ENCODERS[encoder]
     attributes = [(f.name, t) for f, t in model.exported(tiles, types)]
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..job import ship
 from ..model import NUMPY_TYPES, SPARK_TYPES, canonical
 from ..storage import File, listed
 
@@ -263,6 +264,7 @@ class E57Source(DataSource):
 
 def read_points(spark: SparkSession, path: str, attributes: list[str] | tuple[str, ...] = ("intensity",)) -> DataFrame:
     """Posed points of all scans; those without valid coordinates are left out."""
+    ship(spark)
     spark.dataSource.register(E57Source)
     raw = spark.read.format("lodestone_e57").load(path)
     names = [c for c in dict.fromkeys(map(canonical, attributes)) if c in raw.columns and c not in "xyzrgb"]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..job import ship
 from ..operators import raster
 from ..storage import File, opened
 
@@ -324,6 +325,7 @@ class GeoTiffSource(DataSource):
 
 def read_bands(spark: SparkSession, uri: str) -> DataFrame:
     """row, col and scaled bands; no-data values are null."""
+    ship(spark)
     spark.dataSource.register(GeoTiffSource)
     raw = spark.read.format("lodestone_geotiff").load(uri)
     with File(uri) as f:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..job import ship
 from ..model import NUMPY_TYPES, SPARK_TYPES, canonical
 from ..storage import File, listed
 
@@ -221,6 +222,7 @@ def crs_of(path: str) -> str | None:
 
 def read_points(spark: SparkSession, path: str, attributes: list[str] | tuple[str, ...] = ("intensity", "classification"), eight_bit: bool = False) -> DataFrame:
     """Points of one file or a folder with those of the attributes that it has."""
+    ship(spark)
     spark.dataSource.register(LasSource)
     raw = spark.read.format("lodestone_las").option("eight_bit", str(eight_bit)).load(path)
     found = {}

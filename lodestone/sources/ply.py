@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.scalar import finite, sigmoid
+from ..job import ship
 from ..model import NUMPY_TYPES, SPARK_TYPES, canonical
 from ..storage import File, listed
 
@@ -213,6 +214,7 @@ def read_points(spark: SparkSession, path: str, attributes: list[str] | tuple[st
     Points without a finite position are left out.  Colours without a
     property are white; sixteen-bit ones are shifted, real ones scaled from 0..1.
     """
+    ship(spark)
     spark.dataSource.register(PlySource)
     raw = spark.read.format("lodestone_ply").load(path)
     names = raw.columns
@@ -249,6 +251,7 @@ def read_splats(spark: SparkSession, path: str) -> DataFrame:
     Opacity is stored as a logit, scales as logarithms.  Splats that aren't
     finite, or whose quaternion is zero, are left out.
     """
+    ship(spark)
     spark.dataSource.register(PlySource)
     raw = spark.read.format("lodestone_ply").load(path)
     if missing := [n for n in _SPLAT if n not in raw.columns]:
