@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..job import Workspace, shared_dir
+from ..job import Workspace, shared_dir, ship
 
-__all__ = ["Workspace", "batches", "blocks", "even_keys", "mix", "read_table", "shared_dir", "shuffle_partitions", "text_bytes", "whole_groups"]
+__all__ = ["Workspace", "batches", "blocks", "even_keys", "mix", "read_table", "shared_dir", "ship", "shuffle_partitions", "text_bytes", "whole_groups"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import blocks, text_bytes
+from .common import blocks, ship, text_bytes
 from .words import ALNUM, Block, shingle_numbers
 
 SHINGLE = 5
@@ -183,6 +183,7 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, id_
     Null and empty texts give no row; repeated rows give theirs each.  A text may
     match several templates in one place.
     """
+    ship(spark)
     field = lambda n, t: T.StructField(n, t)
     schema = T.StructType([docs.select(id_col).schema.fields[0], field("license", T.StringType()), field("template", T.IntegerType()), field("coverage", T.DoubleType()), field("start", T.LongType()), field("end", T.LongType())])
     return docs.select(id_col, text_col).mapInArrow(_scanning(spark.sparkContext.broadcast(Index(list(templates))), text_col, [id_col], coverage), schema)

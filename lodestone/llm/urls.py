@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import mix
+from .common import mix, ship
 
 DIM = 1 << 14
 SIZES = (3, 4, 5)
@@ -180,6 +180,7 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str
     rule fits; the regression judges them as it does any.  Every row is
     judged by itself, repeated ones too.  Columns of the results' names are replaced.
     """
+    ship(spark)
     pages = pages.drop("host", "path", "rule", "verdict", "score")
     added = [("host", T.StringType()), ("path", T.StringType()), ("rule", T.StringType()), ("verdict", T.StringType()), ("score", T.DoubleType())]
     schema = T.StructType([*pages.schema.fields, *(T.StructField(n, t) for n, t in added)])
