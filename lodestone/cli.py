@@ -29,6 +29,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--z-offset", type=float, default=0.0)
     p.add_argument("--keep-withheld", action="store_true")
     p.add_argument("--colorize", help="attribute:gradient[:modifier...]")
+    p.add_argument("--orthophoto", help="a GeoTIFF in the points' CRS")
+    p.add_argument("--min-alpha", type=int, default=1)
+    p.add_argument("--drop-uncoloured", action="store_true")
+    p.add_argument("--tiles-per-file", type=int, default=2000)
     p.add_argument("--subsample", type=float, default=100.0, help="percent")
     s = sub.add_parser("splats", help="tile a Gaussian splat scene")
     s.add_argument("input")
@@ -63,7 +67,7 @@ def main(argv: list[str] | None = None) -> dict:
         if placed and not local:
             raise SystemExit("a placement needs --crs local")
         crs = f"EPSG:{a.crs}" if a.crs and a.crs.isdigit() else a.crs
-        options = Options(a.points_per_tile, a.refine.upper(), a.encoder, a.correction, a.root_error, attributes=_names(a.attributes), eight_bit=a.eight_bit, z_offset=a.z_offset, keep_withheld=a.keep_withheld, colouring=a.colorize, subsample=a.subsample / 100, placement=(placed or frames.placement()) if local else None)
+        options = Options(a.points_per_tile, a.refine.upper(), a.encoder, a.correction, a.root_error, attributes=_names(a.attributes), eight_bit=a.eight_bit, z_offset=a.z_offset, keep_withheld=a.keep_withheld, colouring=a.colorize, subsample=a.subsample / 100, tiles_per_file=a.tiles_per_file, orthophoto=a.orthophoto, min_alpha=a.min_alpha, drop_uncoloured=a.drop_uncoloured, placement=(placed or frames.placement()) if local else None)
         out = process(spark, listed(a.input, tuple(READERS)), a.out, None if local else crs, options)
     else:
         transform = placed.column_major() if placed else None

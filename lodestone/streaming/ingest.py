@@ -22,6 +22,7 @@ def leaf_counts(points: DataFrame, plan: Plan) -> DataFrame:
 
 def windowed_ranges(points: DataFrame, time: str, value: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Range and count of an attribute by time window; later rows than the watermark allows are left out."""
+    points = points.withColumn(time, F.col(time).cast("timestamp"))
     return points.withWatermark(time, late).groupBy(F.window(time, window).alias("w")).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "min", "max", "n")
 
 

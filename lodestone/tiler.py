@@ -14,7 +14,7 @@ from .job import Workspace
 from .operators import sample, stats, transforms
 from .plans import kd
 from .sinks import tiles, tileset
-from .sources import e57, las, ply
+from .sources import e57, geotiff, las, ply
 
 #: Readers by file ending: (read(spark, path, attributes, eight_bit), crs(path)).
 READERS: dict[str, tuple[Callable, Callable]] = {
@@ -46,6 +46,10 @@ class Options:
     subsample: float = 1.0
     placement: frames.Affine | None = None
     mutators: list[transforms.Mutator] = field(default_factory=list)
+    write_mutators: list[transforms.Mutator] = field(default_factory=list)  # run on placed points, and keep each
+    orthophoto: str | None = None  # a GeoTIFF in the points' CRS
+    min_alpha: int = 1
+    drop_uncoloured: bool = False
     progress: Callable[[str, dict], None] | None = None
 
     def check(self) -> None:
@@ -96,6 +100,11 @@ def tile_points(spark: SparkSession, points: DataFrame, crs: str | None, folder:
     kept = transforms.pipeline(points, [transforms.finite_positions, *([] if o.keep_withheld else [transforms.drop_withheld])])
     if o.subsample < 1:
         kept = sample.subsample(kept, o.subsample, ids)
+    if o.orthophoto:
+        lies = geotiff.georeference(o.orthophoto)
+        if not lies.crs or not crs or lies.crs.lower().removeprefix("epsg:") != crs.lower().removeprefix("epsg:"):
+            raise ValueError(f"the image's CRS is {lies.crs}, the points' is {crs}")
+        kept = geotiff.colour_points(spark, kept, o.orthophoto, ids, min_alpha=o.min_alpha, drop_missing=o.drop_uncoloured)
     if o.placement:
         earth = kept.withColumns(dict(zip("xyz", o.placement.forward(F.col("x"), F.col("y"), F.col("z")), strict=True)))
     else:
@@ -119,6 +128,10 @@ def tile_points(spark: SparkSession, points: DataFrame, crs: str | None, folder:
     root = next(r for r in nodes if r["path"] == kd.ROOT)
     takes = kd.detail_chain(root["n"] or 0, root, o.refine, o.root_error)
     exported = [f.name for f, _ in model.exported(points, tiles.ENCODERS[o.encoder][3]) if f.name in o.attributes]
+    if o.write_mutators:
+        before, placed = placed.count(), transforms.pipeline(placed, o.write_mutators)
+        if placed.count() != before:
+            raise ValueError("a write mutator may not add or drop points")
     columns = ["point_id", *"xyz", *"rgb", *exported, "tile"]
     if takes:
         # the chain's tiles stand between the root and its children; the root of all is the last residual

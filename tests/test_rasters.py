@@ -250,3 +250,21 @@ def test_narrowest_types():
 def test_outcomes(spark):
     df = spark.createDataFrame([(255,), (None,), (0,)], "cell_a int")
     assert tuple(geotiff.outcome(df).select(*map(F.col, ("coloured", "missing", "transparent"))).first()) == (1, 1, 1)
+
+
+def test_tiling_with_an_orthophoto(spark, tmp_path):
+    from lodestone.tiler import Options, tile_points
+
+    data = np.zeros((50, 50, 3), np.uint8)
+    data[..., 1] = 200
+    path = write_tiff(tmp_path / "a.tif", data)
+    g = np.random.default_rng(6)
+    rows = [(0, i, float(x), float(y), 1.0, 1, 1, 1) for i, (x, y) in enumerate(zip(g.uniform(1000, 1100, 200), g.uniform(1900, 2100, 200), strict=True))]
+    points = spark.createDataFrame(rows, "file_id int, pos long, x double, y double, z double, r short, g short, b short")
+    inside = sum(r[3] <= 2000 for r in rows)
+    out = tile_points(spark, points, "EPSG:32633", str(tmp_path / "o"), Options(orthophoto=path, drop_uncoloured=True, encoder="pnts"))
+    assert out["points"] == inside
+    with pytest.raises(ValueError, match="CRS"):
+        tile_points(spark, points, "EPSG:32634", str(tmp_path / "p"), Options(orthophoto=path))
+    with pytest.raises(ValueError, match="write mutator"):
+        tile_points(spark, points, "32633", str(tmp_path / "q"), Options(write_mutators=[lambda df: df.filter("point_id > 5")]))
