@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..job import Workspace
+from ..job import Workspace, ship
 from ..operators import stats, voxel
 from ..operators.sample import sample_rows
 
@@ -20,6 +20,7 @@ SAMPLE = 3_000_000
 POINTS_PER_TILE = 50_000
 SELECTED = 0.66  # share of the root's points that each tile inserted below it takes
 ROOT = "0"
+CASES = 256  # leaves up to which routing is one nested CASE; beyond about 500 Arrow batches get faster
 
 
 @dataclass
@@ -48,31 +49,62 @@ class Plan:
     def depth(self) -> int:
         return max(map(len, self.nodes)) - 1
 
-    def route(self) -> Column:
-        """The leaf of the row's x, y and z, as a path: one step of the descent for each level.
-
-        The plan goes along as literal arrays; the expression has the same size whatever the number of leaves.
-        """
-        order = {p: i for i, p in enumerate(sorted(self.nodes))}
-        nodes = [self.nodes[p] for p in sorted(self.nodes)]
+    def _cases(self, path: str = ROOT) -> Column:
+        n = self.nodes[path]
+        if n.leaf:
+            return F.lit(path)
+        value = F.col(n.axis).cast("double")
+        left = value <= n.split if n.tie_left else value < n.split
+        return F.when(left, self._cases(path + "0")).otherwise(self._cases(path + "1"))
+
+    def _step(self, at: Column) -> Column:
+        """The place after one level of the descent; places number the nodes in order of their paths."""
+        paths = sorted(self.nodes)
+        order, nodes = {p: i for i, p in enumerate(paths)}, [self.nodes[p] for p in paths]
         lit = lambda values, kind: F.lit(np.array(values, dtype=kind))
-        axis = lit([-1 if n.leaf else "xyz".index(n.axis) for n in nodes], np.int32)
-        split = lit([n.split for n in nodes], np.float64)
-        ties = lit([int(n.tie_left) for n in nodes], np.int32)
-        left = lit([order.get(n.path + "0", i) for i, n in enumerate(nodes)], np.int32)
-        right = lit([order.get(n.path + "1", i) for i, n in enumerate(nodes)], np.int32)
-        xyz = F.array(*(F.col(a).cast("double") for a in "xyz"))
+        axis = F.get(lit([-1 if n.leaf else "xyz".index(n.axis) for n in nodes], np.int32), at)
+        split = F.get(lit([n.split for n in nodes], np.float64), at)
+        ties = F.get(lit([int(n.tie_left) for n in nodes], np.int32), at)
+        left = F.get(lit([order.get(n.path + "0", i) for i, n in enumerate(nodes)], np.int32), at)
+        right = F.get(lit([order.get(n.path + "1", i) for i, n in enumerate(nodes)], np.int32), at)
+        value = F.when(axis == 0, F.col("x")).when(axis == 1, F.col("y")).otherwise(F.col("z")).cast("double")
+        goes_left = (value < split) | ((value == split) & (ties == 1))
+        return F.when(axis < 0, at).when(goes_left, left).otherwise(right)
 
-        def step(at: Column, _: Column) -> Column:
-            value, limit = F.get(xyz, F.get(axis, at)), F.get(split, at)
-            goes_left = (value < limit) | ((value == limit) & (F.get(ties, at) == 1))
-            return F.when(F.get(axis, at) < 0, at).when(goes_left, F.get(left, at)).otherwise(F.get(right, at))
-
-        if not self.depth:
-            return F.lit(ROOT)
-        at = F.aggregate(F.sequence(F.lit(1), F.lit(self.depth)), F.lit(order[ROOT]).cast("int"), step)
-        return F.get(F.array(*map(F.lit, sorted(self.nodes))), at)
+    def route(self) -> Column:
+        """The leaf of the row's x, y and z, as a path.
 
+        A nested CASE for few leaves, and else a descent over literal arrays; routed() is faster for many.
+        """
+        if len(self.leaves) <= CASES:
+            return self._cases()
+        start = F.lit(sorted(self.nodes).index(ROOT)).cast("int")
+        at = F.aggregate(F.sequence(F.lit(1), F.lit(self.depth)), start, lambda at, _: self._step(at))
+        return F.get(F.lit(sorted(self.nodes)), at)
+
+    def routed(self, points: DataFrame, name: str = "leaf") -> DataFrame:
+        """points with their leaf; a large plan is descended for a whole Arrow batch at a time."""
+        if len(self.leaves) <= CASES:
+            return points.withColumn(name, self._cases())
+        ship(points.sparkSession)
+        paths = np.array(sorted(self.nodes))
+        order, nodes = {p: i for i, p in enumerate(paths.tolist())}, [self.nodes[p] for p in paths]
+        axis = np.array([-1 if n.leaf else "xyz".index(n.axis) for n in nodes])
+        split, ties = np.array([n.split for n in nodes]), np.array([n.tie_left for n in nodes])
+        kids = np.array([[order.get(n.path + c, i) for c in "01"] for i, n in enumerate(nodes)])
+        root, depth = order[ROOT], self.depth
+
+        def run(batches):
+            for b in batches:
+                xyz = np.stack([b.column(a).to_numpy(zero_copy_only=False).astype(np.float64) for a in "xyz"])
+                rows, at = np.arange(b.num_rows), np.full(b.num_rows, root)
+                for _ in range(depth):
+                    value, limit = xyz[np.maximum(axis[at], 0), rows], split[at]
+                    at = kids[at, np.where((value < limit) | (value == limit) & ties[at], 0, 1)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(paths[at])], names=[*b.schema.names, name])
+
+        points = points.drop(name)
+        return points.mapInArrow(run, T.StructType([*points.schema.fields, T.StructField(name, T.StringType())]))
 
 def leaf_count(total: int, per_tile: int = POINTS_PER_TILE, refine: str = "ADD") -> int:
     """In ADD mode half of a leaf's points end above it, so leaves are twice as large."""
@@ -109,7 +141,7 @@ def plan_exactly(points: DataFrame, levels: int) -> Plan:
     """A plan from all points: at each node the exact variances and upper median of the points routed to it."""
     out = Plan([Node(ROOT)])
     for _ in range(levels):
-        routed = points.withColumn("leaf", out.route())
+        routed = out.routed(points)
         axes = {r["leaf"]: r["axis"] for r in stats.variance_axis(routed, "leaf").collect()}  # a row for each leaf so far
         grown = [n for n in out.nodes.values() if not n.leaf]
         for path in out.leaves:

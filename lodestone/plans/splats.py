@@ -159,7 +159,7 @@ def build(spark: SparkSession, splats: DataFrame, per_tile: int = PER_TILE, fact
     got = sample_rows(splats.select("source_index", "cx", "cy", "cz", weight.alias("w")), sample_size(count, per_tile), ["source_index"]).toArrow()
     got = got.sort_by("source_index")
     plan = plan_sample(np.stack([got.column(c).to_numpy() for c in ("cx", "cy", "cz")], axis=1), got.column("w").to_numpy(), count, per_tile)
-    leaf = splats.withColumns(dict(zip("xyz", (F.col(c) for c in ("cx", "cy", "cz")), strict=True))).withColumn("tile", plan.route()).select(*COLUMNS, "tile")
+    leaf = splats.withColumns(dict(zip("xyz", (F.col(c) for c in ("cx", "cy", "cz")), strict=True))).transform(lambda df: plan.routed(df, "tile")).select(*COLUMNS, "tile")
     now = ws.keep(leaf, "leaves")
     made, nodes = [now], {}
 

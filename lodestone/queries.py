@@ -138,7 +138,7 @@ _LEAVES = "count(*) AS n, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y)
 
 def _routed(spark, sf_dir, levels: int = 2) -> DataFrame:
     p = points(spark, sf_dir)
-    return p.withColumn("leaf", kd.plan_exactly(p, levels).route())
+    return kd.plan_exactly(p, levels).routed(p)
 
 
 @query(_TWO_LEVELS + f" SELECT leaf, {_LEAVES}, round(4 * sqrt(((max(x)-min(x))*(max(y)-min(y)) + (max(x)-min(x))*(max(z)-min(z)) + (max(y)-min(y))*(max(z)-min(z))) / count(*)), 6) AS error FROM l2 GROUP BY leaf")
@@ -166,7 +166,7 @@ def lod_tiles(spark, sf_dir):
     """Every point in its tile, after points have moved up the tree."""
     p = points(spark, sf_dir).withColumn("point_id", F.xxhash64(*IDS, "x", "y", "z"))
     leaves = kd.leaf_count(p.count(), 5_000)
-    p = p.withColumn("leaf", kd.plan(p, leaves, IDS).route()).select("point_id", "x", "y", "z", "leaf")
+    p = kd.plan(p, leaves, IDS).routed(p).select("point_id", "x", "y", "z", "leaf")
     return stats.bounds(kd.bubble_up(spark, p), "tile")
 
 

@@ -19,7 +19,7 @@ def _tiled(spark: SparkSession, sf_dir: str, per_leaf: int = 10_000) -> DataFram
     p = points(spark, sf_dir).withColumn("point_id", F.xxhash64(*IDS, "x", "y", "z"))
     leaves = kd.leaf_count(p.count(), per_leaf)
     p = p.withColumns({c: F.lit(255).cast("short") for c in "rgb"}).transform(lambda df: transforms.Colouring.parse("z:viridis").apply(df, (0.0, 10.0)))
-    p = p.withColumn("intensity", F.col("x").cast("short")).withColumn("leaf", kd.plan(p, leaves, IDS).route())
+    p = kd.plan(p, leaves, IDS).routed(p.withColumn("intensity", F.col("x").cast("short")))
     p = p.select("point_id", *(F.col(a).cast("float").alias(a) for a in "xyz"), *"rgb", "intensity", "leaf")
     return kd.bubble_up(spark, p).drop("leaf")
 

@@ -17,7 +17,7 @@ def running_bounds(points: DataFrame, *by: str) -> DataFrame:
 
 def leaf_counts(points: DataFrame, plan: Plan) -> DataFrame:
     """How many points have arrived in each leaf of a plan that stands."""
-    return points.withColumn("leaf", plan.route()).groupBy("leaf").agg(F.count("*").alias("n"), *stats.bounds_columns())
+    return plan.routed(points).groupBy("leaf").agg(F.count("*").alias("n"), *stats.bounds_columns())
 
 
 def windowed_ranges(points: DataFrame, time: str, value: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -28,5 +28,5 @@ def windowed_ranges(points: DataFrame, time: str, value: str, window: str = "1 h
 
 def append_routed(points: DataFrame, plan: Plan, folder: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Route arriving points to leaves and append them to a table that is partitioned by leaf."""
-    routed = points.withColumn("leaf", plan.route())
+    routed = plan.routed(points)
     return routed.writeStream.format("parquet").partitionBy("leaf").option("path", folder).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -121,7 +121,7 @@ def tile_points(spark: SparkSession, points: DataFrame, crs: str | None, folder:
         raise ValueError("no points are left")
     o.tell("read", **box)
     plan = kd.plan(local, kd.leaf_count(box["n"], o.points_per_tile, o.refine), ids)
-    routed = local.withColumn("leaf", plan.route()).withColumn("point_id", F.col("file_id").cast("long") * (1 << 40) + F.col("pos"))
+    routed = plan.routed(local).withColumn("point_id", F.col("file_id").cast("long") * (1 << 40) + F.col("pos"))
     o.tell("planned", leaves=len(plan.leaves))
     placed = ws.keep(kd.bubble_up(spark, routed, o.refine), "placed")
     nodes = kd.node_table(placed)

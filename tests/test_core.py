@@ -65,6 +65,18 @@ def test_sampled_plan_is_balanced(spark):
     assert len(counts) == 8 and sum(counts) == 4000 and max(counts) < 1.3 * 500
 
 
+def test_all_ways_of_routing_agree(spark, monkeypatch):
+    xyz = np.random.default_rng(9).integers(0, 6, (2000, 3))  # many ties
+    points = cloud(spark, xyz)
+    plan = kd.plan(points, 40, ["point_id"])
+    for i, n in enumerate(plan.nodes.values()):
+        n.tie_left = i % 2 == 0
+    by_case = {r["point_id"]: r["leaf"] for r in plan.routed(points).collect()}
+    monkeypatch.setattr(kd, "CASES", 1)
+    assert by_case == {r["point_id"]: r["leaf"] for r in plan.routed(points).collect()}
+    assert by_case == {r["point_id"]: r["leaf"] for r in points.withColumn("leaf", plan.route()).collect()}
+
+
 def test_ties_go_right(spark):
     plan = kd.Plan([kd.Node("0", "x", 1.0), kd.Node("00"), kd.Node("01", "y", 5.0), kd.Node("010"), kd.Node("011")])
     got = cloud(spark, [(0, 9, 0), (1, 4, 0), (1, 5, 0)]).select(plan.route().alias("leaf")).collect()
