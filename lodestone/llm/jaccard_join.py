@@ -11,10 +11,10 @@ cluster and whose lower levels are built in memory:
    many that two linked sets share one.
 3. Under each token, all meet the first set there (the pivot); exact
    comparison of the token sets links most members of a group of copies.
-4. Where a token still holds several components, blocks of bounded size get
-   trees of OR-combined bitmaps and size ranges, and the dual traversal yields
-   pairs of unlike components that may overlap enough; these are compared
-   exactly.
+4. Where the sets under one pivot's tokens still make several components,
+   blocks of bounded size get trees of OR-combined bitmaps and size ranges, and the
+   dual traversal yields pairs of unlike components that may overlap enough;
+   these are compared exactly.
 
 Tokens are 64-bit numbers of shingles.  Candidates use 48 bits of them, which
 can only add candidates.  Two different shingles of one pair of texts get the same number
@@ -316,7 +316,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     links = links.unionByName(ws.keep(linked(others), "links-2"))
     comp = connected_components(spark, ws, links, "cc2")
 
-    held = ws.keep(labelled(hung.select("token", "id", "n"), comp, "id", "component"), "held")
+    # tokens with the same first set are taken as one: copies share most of theirs, and would meet under each
+    families = hung.groupBy(F.col("pivot").alias("token"), "id").agg(F.first("n").alias("n"))
+    held = ws.keep(labelled(families, comp, "id", "component"), "held")
     by = held.groupBy("token", "component").agg(F.count("*").alias("k"))
     mixed = by.groupBy("token").agg(F.max_by("component", "k").alias("main"), F.max("k").alias("in_main"), F.sum("k").alias("all"), F.count("*").alias("components")).filter("components > 1")
     held = held.join(mixed, "token").join(sets.select("id", "bits").dropDuplicates(["id"]), "id")
