@@ -26,10 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _SHIPPED: set[str] = set()
+BATCH_BYTES = 8 << 20  # of an Arrow batch; else 10,000 long rows make one
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, once for each application, unless PYTHONPATH has it."""
+    """Give executors this package, once for each application, unless PYTHONPATH has it; bound Arrow batches."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.conf.get(key).rstrip("b")
+    if not size.isdigit() or int(size) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     root, app = Path(__file__).resolve().parent, spark.sparkContext.applicationId
     if app in _SHIPPED or str(root.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return

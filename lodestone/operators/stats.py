@@ -94,6 +94,33 @@ def upper_median(df: DataFrame, column: str) -> float | None:
     return select_rank(df, column, df.filter(F.col(column).isNotNull()).count() // 2)
 
 
+def upper_medians(points: DataFrame, by: str, column: dict[str, str], gathered: int = 50_000) -> dict[str, float]:
+    """The upper median of each group, of the column that it is given: two jobs for all groups.
+
+    The first one counts and, of many rows, brackets each median by approximate quantiles.  The
+    second counts the values within the brackets; only those are put in order.
+    """
+    value = F.create_map(*(F.lit(v) for kv in column.items() for v in kv))[F.col(by)]
+    v = F.when(value == "x", F.col("x")).when(value == "y", F.col("y")).otherwise(F.col("z")).cast("double")
+    each = points.filter(F.col(by).isin(list(column))).select(F.col(by).alias("g"), v.alias("v")).filter("v is not null")
+    found = {r["g"]: r for r in each.groupBy("g").agg(F.count("*").alias("n"), F.percentile_approx("v", [0.4998, 0.5002], 10000).alias("p")).collect()}  # a row for each group
+    whole = sum(r["n"] for r in found.values()) <= gathered
+    out: dict[str, float] = {}
+    limits = {g: (-math.inf, math.inf) if whole else tuple(r["p"]) for g, r in found.items()}
+    while limits:
+        pick = lambda i, limits=limits: F.create_map(*(F.lit(x) for g, ends in limits.items() for x in (g, float(ends[i]))))[F.col("g")]
+        inside = each.filter(F.col("g").isin(list(limits))).withColumns({"low": pick(0), "high": pick(1)}).filter("v <= high")
+        counts = inside.groupBy("g", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v")).agg(F.count("*").alias("n"))
+        run = F.sum("n").over(Window.partitionBy("g").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+        target = F.create_map(*(F.lit(x) for g in limits for x in (g, found[g]["n"] // 2)))[F.col("g")]
+        first = counts.withColumn("run", run).filter(F.col("run") > target).groupBy("g").agg(F.min_by("v", "run").alias("v"))
+        got = {r["g"]: r["v"] for r in first.collect()}
+        out |= {g: x for g, x in got.items() if x is not None}
+        # a bracket that missed its median is opened
+        limits = {g: (-math.inf, math.inf) for g in limits if got.get(g) is None}
+    return out
+
+
 def weighted_medians(points: DataFrame, value: str, weight: str, *by: str) -> DataFrame:
     """By group, the first value, in order of value and weight, at which the running weight reaches half of the total.
 

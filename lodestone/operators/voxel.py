@@ -40,9 +40,13 @@ def choose(xyz: np.ndarray, target: int, seed: int = 0) -> np.ndarray:
         p = xyz[left]
         cell = np.floor(p / size)
         d = ((p - (cell + 0.5) * size) ** 2).sum(axis=1)
-        order = np.lexsort((left, d, cell[:, 2], cell[:, 1], cell[:, 0]))
-        c = cell[order]
-        first = order[np.r_[True, (c[1:] != c[:-1]).any(axis=1)]]
+        span = cell.max(axis=0) - cell.min(axis=0) + 1
+        if np.prod(span) < 2**62:  # one number for a cell: the sort has two keys, and is stable
+            c = ((cell - cell.min(axis=0)).astype(np.int64) * [int(span[1] * span[2]), int(span[2]), 1]).sum(axis=1)
+        else:
+            c = np.unique(cell, axis=0, return_inverse=True)[1].reshape(-1)
+        order = np.lexsort((d, c))
+        first = order[np.r_[True, np.diff(c[order]) != 0]]
         mine = np.sort(left[first])
         if len(mine) > target - count:
             mine = np.sort(np.random.default_rng(seed).choice(mine, target - count, replace=False))

@@ -143,13 +143,13 @@ def plan_exactly(points: DataFrame, levels: int) -> Plan:
     for _ in range(levels):
         routed = out.routed(points)
         axes = {r["leaf"]: r["axis"] for r in stats.variance_axis(routed, "leaf").collect()}  # a row for each leaf so far
+        splits = stats.upper_medians(routed, "leaf", axes)
         grown = [n for n in out.nodes.values() if not n.leaf]
         for path in out.leaves:
             if path not in axes:
                 grown.append(Node(path))
                 continue
-            split = stats.upper_median(routed.filter(F.col("leaf") == path), axes[path])
-            grown += [Node(path, axes[path], split), Node(path + "0"), Node(path + "1")]
+            grown += [Node(path, axes[path], splits[path]), Node(path + "0"), Node(path + "1")]
         out = Plan(grown)
     return out
 

@@ -142,6 +142,16 @@ def test_rank_selection_narrows_down(spark):
     assert stats.upper_median(spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,)], "v double"), "v") == 3.0
 
 
+def test_medians_of_groups(spark):
+    g = np.random.default_rng(10)
+    rows = [("a" if i % 3 else "b", float(g.integers(0, 4000)), float(g.normal()), 7.0) for i in range(9000)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, z double")
+    want = {k: sorted(r[c] for r in rows if r[0] == k)[sum(r[0] == k for r in rows) // 2] for k, c in (("a", 1), ("b", 2))}
+    for gathered in (10, 10**6):
+        assert stats.upper_medians(df, "g", {"a": "x", "b": "y"}, gathered) == want
+    assert stats.upper_medians(df, "g", {"a": "z"}, 10) == {"a": 7.0}
+
+
 def test_value_range(spark):
     f = lambda *v: stats.value_range(spark.createDataFrame([(float(x),) for x in v], "v double"), "v")
     assert f(3, 1, float("nan")) == (1, 3) and f(2) == (1.5, 2.5) and f() == (0, 1)
