@@ -161,7 +161,7 @@ def test_url_query_matches_brute_force(spark, sf):
     for r in rows:
         host, path = urls.split(pages[r.page_id])
         fits = [(x, v) for x, v in registry.RULES if (host == x.split("/")[0] or host.endswith("." + x.split("/")[0])) and path.startswith(x[x.index("/") :])]
-        best = max(fits, key=lambda f: len(f[0]), default=(None, "block" if r.score >= 0.5 else "allow"))
+        best = max(fits, key=lambda f: len(f[0]), default=(None, "block" if r.score >= urls.CUT else "allow"))
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, *best)
 
 

@@ -283,3 +283,23 @@ def test_queries_on_the_small_table(spark, sf):
     for r in registry.op10_secret_scan(spark, sf).collect():
         want = [f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b, _ in base[r.doc_id] if k < 3]
         assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+
+
+# ---------------------------------------------------------------- words
+
+
+def test_words_of_long_texts_and_small_spans(monkeypatch):
+    import numpy as np
+
+    from lodestone.llm import words as w
+
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abXYé") for _ in range(rng.choice([1, 3, 40, 400]))) for _ in range(200)).encode() for _ in range(4)] + [b"", b" ", b"\xc3\xa9"]
+    for kind in (w.SPACED, w.ALNUM):
+        whole = w.Block(texts, kind)
+        monkeypatch.setattr(w, "SPAN", 64)
+        assert np.array_equal(w.Block(texts, kind).word, whole.word)
+        one = np.concatenate([w.Block([t], kind).word for t in texts])
+        assert np.array_equal(one, whole.word)
+        assert [whole.text_of(i) for i in range(5)] == lower(texts[0].decode()).encode().split()[:5]
+        monkeypatch.undo()
