@@ -27,7 +27,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(kind).to_pylist()]
 
 
-def blocks(texts: list[bytes], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def blocks(texts: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` bytes; a longer text is a run of its own."""
     a = size = 0
     for b, text in enumerate(texts):

@@ -104,7 +104,7 @@ def _dealt(parts: np.ndarray, key: np.ndarray, rows: np.ndarray) -> pa.RecordBat
 
 
 def _counted(parts: np.ndarray):
-    """(part of the token, blob of token and class) for the tokens in range; rows are put together to about 2 million."""
+    """(part of the token, blob of token and class) for the tokens in range; rows are put together to about 600,000."""
 
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep, size, seen = [], 0, set()
@@ -122,7 +122,7 @@ def _counted(parts: np.ndarray):
                 low = low[: np.searchsorted(low, _range(np.int64(len(s))))]
                 keep.append((low, np.full(len(low), np.uint64(h[0] & (2**64 - 1)) >> _LOW, dtype=np.int64)))
                 size += len(low)
-                if size > 2_000_000:
+                if size > 600_000:
                     yield out()
                     keep, size, seen = [], 0, set()
         if keep:

@@ -21,6 +21,7 @@ SPACED[[0x20, 9, 10, 11, 12, 13]] = False
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
+SPAN = 1 << 19
 _P = 0x9E3779B97F4A7C15 | 1
 _Q = np.uint64(0xD6E8FEB86659FD93)
 _PINV = pow(_P, -1, 1 << 64)
@@ -34,6 +35,26 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def _numbers(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The number of each word, from running sums over stretches of about SPAN bytes, however long the texts are."""
+    global _UP, _DOWN
+    out, i = np.empty(len(start), dtype=np.uint64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + SPAN, "right")))
+        low, n = start[i], int(end[j - 1] - start[i])
+        if len(_UP) < n:
+            size = max(n, SPAN)
+            _UP, _DOWN = _powers(_P, size), _powers(_PINV, size)
+        sums = np.cumsum(_BYTE[data[low : low + n]] * _UP[:n])
+        first = start[i:j] - low
+        before = np.where(first > 0, sums[first - 1], np.uint64(0))
+        out[i:j] = (sums[end[i:j] - low - 1] - before) * _DOWN[first]
+        i = j
+    if len(_UP) > 4 * SPAN:  # one very long word
+        _UP = _DOWN = np.ones(1, dtype=np.uint64)
+    return mix(out)
+
+
 class Block:
     """The words of a run of texts.
 
@@ -42,7 +63,6 @@ class Block:
     """
 
     def __init__(self, texts: list[bytes], kind: np.ndarray):
-        global _UP, _DOWN
         raw = b"\n" + b"\n".join(texts) + b"\n"
         self.data = _FOLD[np.frombuffer(raw, dtype=np.uint8)]
         inside = kind[self.data]
@@ -50,15 +70,7 @@ class Block:
         self.start, self.end = edge[0::2], edge[1::2]
         self.offset = np.cumsum([1] + [len(t) + 1 for t in texts])
         self.first = np.searchsorted(self.start, self.offset)
-        n = len(self.data)
-        if len(_UP) < n:
-            size = max(n, 1 << 21) + 1
-            _UP, _DOWN = _powers(_P, size), _powers(_PINV, size)
-        sums = np.cumsum(_BYTE[self.data] * _UP[:n])
-        with np.errstate(over="ignore"):
-            self.word = mix((sums[self.end - 1] - sums[self.start - 1]) * _DOWN[self.start])
-        if n > 1 << 23:
-            _UP = _DOWN = np.ones(1, dtype=np.uint64)
+        self.word = _numbers(self.data, self.start, self.end)
 
     def text_of(self, i: int) -> bytes:
         """Word i."""
