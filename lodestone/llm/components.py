@@ -47,9 +47,11 @@ def connected_components(spark: SparkSession, ws: Workspace, links: DataFrame, n
     a, b = links.columns[:2]
     edges = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b")
     edges = edges.mapInArrow(_forest, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, k, last = ws.keep(edges, f"{name}-0"), 0, None
-    mark = F.sum(F.hash("a", "b").cast("long")).alias("h")
+    edges, k = ws.keep(edges, f"{name}-0"), 0
     while True:
+        # done when no node that points to a smaller one is pointed to: then all are stars around their smallest node
+        if not edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").take(1) and not edges.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").take(1):
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         # large star: each node sends its larger neighbours to the smallest node around it
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -58,8 +60,5 @@ def connected_components(spark: SparkSession, ws: Workspace, links: DataFrame, n
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         edges = ws.keep(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), f"{name}-{k + 1}")
-        now = tuple(edges.agg(F.count("*").alias("n"), mark).first())
         ws.drop(f"{name}-{k}")
-        if now == last:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        last, k = now, k + 1
+        k += 1
