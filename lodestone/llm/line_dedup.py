@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, mix, shuffle_partitions, text_bytes
+from .common import Workspace, even_keys, mix, shuffle_partitions, text_bytes
 
 LIMIT = 10
 LEAST = 1
@@ -123,7 +123,7 @@ def _open(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _counted(shards: int, least: int, sign: int):
-    """(shard, blob of keys and numbers of documents), summed over about a million lines."""
+    """(shard, blob of keys and numbers of documents), summed over about 300,000 lines."""
 
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests, size = [], 0
@@ -144,7 +144,7 @@ def _counted(shards: int, least: int, sign: int):
                 mine = {d for d in _keys(text, least)[1] if d is not None}
                 digests += mine
                 size += len(mine)
-                if size > 1_000_000:
+                if size > 300_000:
                     yield out()
                     digests, size = [], 0
         if digests:
@@ -293,7 +293,8 @@ class LineDedup:
         if self.state is not None:
             new = new.unionByName(self.state)
         parts = min(self.shards, shuffle_partitions(self.spark))
-        new = new.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_merged(self.limit), STATE)
+        even = F.get(F.lit(even_keys(parts)), F.col("shard") % parts)
+        new = new.repartition(parts, even).sortWithinPartitions("shard").mapInArrow(_merged(self.limit), STATE)
         state = self.ws.keep(new, f"state-{self.version + 1}")
         if self.state is not None:
             self.ws.drop(f"state-{self.version}")

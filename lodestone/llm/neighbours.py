@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, mix, shuffle_partitions
+from .common import Workspace, even_keys, mix, shuffle_partitions
 from .jaccard_join import streamed
 
 TABLES, HASHES, WIDTH, PROBES = 3, 10, 3.0, 300
@@ -312,8 +312,9 @@ def nearest(spark: SparkSession, rows: DataFrame, queries: DataFrame, id_col: st
     shared = sc.broadcast((made, dim, heavy))
     form = "part int, kind int, blob binary"
     dealt = base.select("id", "vec").mapInArrow(_dealing(shared, False, parts, probes), form).unionByName(asked.select("id", "vec").mapInArrow(_dealing(shared, True, parts, probes), form))
-    found = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_searching(dim, k, parts), form)
-    ranked = lambda df: df.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_ranking(k), _RESULT)
+    even = F.get(F.lit(even_keys(parts)), F.col("part"))
+    found = dealt.repartition(parts, even).sortWithinPartitions("part").mapInArrow(_searching(dim, k, parts), form)
+    ranked = lambda df: df.repartition(parts, even).sortWithinPartitions("part").mapInArrow(_ranking(k), _RESULT)
     out = ws.keep(ranked(found), "found")
     need = min(k, base.select("id").distinct().limit(k + 1).count() - 1)
     short = asked.join(out.groupBy("query_id").agg(F.count("*").alias("n")), F.col("id") == F.col("query_id"), "left").filter(F.coalesce("n", F.lit(0)) < need).select("id", "vec")
