@@ -221,5 +221,5 @@ def pack(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     plan = Plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, length).improve(steps)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    numbered = pieces.join(first, ["task", "length"]).withColumn("number", F.col("first") + F.col("k"))
+    numbered = pieces.join(first.hint("merge"), ["task", "length"]).withColumn("number", F.col("first") + F.col("k"))
     return numbered.mapInArrow(_placed(spark.sparkContext.broadcast(plan.runs())), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
