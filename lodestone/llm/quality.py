@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, text_bytes
+from .common import blocks, ship, text_bytes
 from .words import SPACED, Block
 
 WORDS = 1 << 15
 BINS = 16
-STATS = 9
+STATS = 10
 RANK = 8
 SAMPLE = 8000  # labelled rows that the model is fitted on, at most
 CUT = 0.3
@@ -64,8 +64,12 @@ def features(texts: list[bytes], metadata: list[np.ndarray]) -> tuple[np.ndarray
     kinds = kinds / np.maximum(lengths, 1)[:, None]
     lines = [t.split(b"\n") for t in texts]
     alone = np.array([len(set(x)) / len(x) for x in lines])
+    again = np.zeros(n)
+    if len(block.word) > 1:  # words that repeat the one before
+        same = (block.word[1:] == block.word[:-1]) & block.whole(2)
+        again = np.bincount(np.searchsorted(block.first, np.flatnonzero(same), "right") - 1, minlength=n)
     kinds_of_words = np.bincount(text, minlength=n) / np.maximum(words, 1)
-    stats = [_bins(kinds[:, 0]), _bins(kinds[:, 1]), _bins(kinds[:, 3]), _bins(kinds[:, 4]), _bins(alone), _bins(kinds_of_words), _logs(words), _logs(4 * lengths / np.maximum(words, 1)), _logs(words / np.array([len(x) for x in lines]))]
+    stats = [_bins(kinds[:, 0]), _bins(kinds[:, 1]), _bins(kinds[:, 3]), _bins(kinds[:, 4]), _bins(alone), _bins(again / np.maximum(words, 1)), _bins(kinds_of_words), _logs(words), _logs(4 * lengths / np.maximum(words, 1)), _logs(words / np.array([len(x) for x in lines]))]
     stats += [_logs(np.nan_to_num(m.astype(np.float64), nan=0.0)) for m in metadata]
     own = np.stack([WORDS + i * BINS + s for i, s in enumerate(stats)], axis=1)
     k = own.shape[1]
@@ -153,6 +157,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
     Ids, nulls and labels other than 0 and 1 apart, any label row counts, repeated ones too.
     Without any, the model scores 0.5.
     """
+    ship(spark)
     some = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).filter("_id is not null and _label in (0, 1)")
     some = some.withColumn("_order", F.xxhash64(F.col("_id").cast("string"))).orderBy("_order", "_id", "_label").limit(sample)
     joined = docs.join(F.broadcast(some), docs[id_col] == some["_id"])  # at most ``sample`` rows of three numbers
@@ -168,6 +173,7 @@ def score(spark: SparkSession, docs: DataFrame, machine: Machine, text_col: str
     Null texts count as empty, null metadata as 0.  Every row gets a score.
     Columns named score and predicted are replaced.
     """
+    ship(spark)
     docs = docs.drop("score", "predicted")
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
     out = docs.mapInArrow(_scored(spark.sparkContext.broadcast(machine), text_col, list(metadata)), schema)
