@@ -17,6 +17,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,6 @@ from .common import Workspace
 
 LENGTH = 2048
 END = 0
-STEPS = 4000  # exchanges tried by the local search, each for all sequences of two patterns
 _OTHER = re.compile("[^\x00-ɏ]|<\\|endoftext\\|>")
 _LOADED: dict[str, tuple] = {}
 
@@ -122,57 +122,32 @@ class Plan:
     def sequences(self) -> int:
         return sum(self.groups.values())
 
-    def _change(self, a: tuple[int, ...], b: tuple[int, ...], out: tuple[int, ...], back: tuple[int, ...]) -> None:
-        """In all pairs of a sequence like a and one like b, ``out`` goes from a to b and ``back`` from b to a."""
-        n = min(self.groups[a], self.groups[b]) if a != b else self.groups[a] // 2
-        x, y = list(a), list(b)
-        for s in out:
-            x.remove(s)
-            y.append(s)
-        for s in back:
-            y.remove(s)
-            x.append(s)
-        for p in (a, b):
-            self.groups[p] -= n
-            if not self.groups[p]:
-                del self.groups[p]
-        for z in (x, y):
-            if z:
-                self.groups[tuple(sorted(z, reverse=True))] += n
-
-    def improve(self, steps: int = STEPS, near: int = 256) -> Plan:
-        """Local search: the emptiest pattern gives to the others, most gain first, while sequences could be saved.
+    def improve(self, steps: int | None = None) -> Plan:
+        """Local search: the emptiest pattern gives to any other with room, most gain first, until none has a gaining exchange.
 
-        ``near`` emptiest patterns are looked at in each step; what they hold can still move through them all.
+        The sum of squared fills rises with each exchange, so the search ends.
+        ``steps`` bounds the exchanges; None doesn't.
         """
-        stuck: set[tuple[int, ...]] = set()
-        total = sum(sum(p) * n for p, n in self.groups.items())
-        for _ in range(steps):
-            if self.sequences * self.length - total < self.length:
-                break  # as few as can be
-            under = sorted((p for p in self.groups if sum(p) < self.length), key=lambda p: (sum(p), p))[:near]
-            a = next((p for p in under if p not in stuck), None)
-            if a is None:
-                break
-            best = (0, None)
-            fill = sum(a)
-            gives = {(s,): s for s in a} | {(a[i], a[j]): a[i] + a[j] for i in range(len(a)) for j in range(i + 1, len(a))}
-            for b in under:
-                if b == a and self.groups[a] < 2:
-                    continue
-                room, full = self.length - sum(b), sum(b)
-                for out, size in gives.items():
-                    if len(out) == 1 and size <= room and (gain := 2 * size * (full - fill + size)) > best[0]:
-                        best = gain, (b, out, ())
-                    for s in set(b):
-                        more = size - s
-                        if 0 < more <= room and (gain := 2 * more * (full - fill + more)) > best[0]:
-                            best = gain, (b, out, (s,))
-            if best[1]:
-                self._change(a, *best[1])
-                stuck.clear() if best[0] > self.length else stuck.discard(a)
-            else:
-                stuck.add(a)
+        search, done, moved = _Search(self.groups, self.length), 0, True
+        least = -(-sum(sum(p) * n for p, n in self.groups.items()) // self.length)
+        used = self.sequences
+        while moved:
+            moved, turn = False, [(sum(p), p) for p in self.groups if sum(p) < self.length]
+            heapify(turn)
+            waiting = {p for _, p in turn}
+            while turn:
+                if used <= least or done == steps:
+                    return self
+                _, a = heappop(turn)
+                waiting.discard(a)
+                if a not in self.groups or (best := search.exchange(a)) is None:
+                    continue  # if anything moves meanwhile, it has another turn
+                emptied, touched = search.apply(a, *best)
+                used, done, moved = used - emptied, done + 1, True
+                for p in touched:
+                    if p in self.groups and p not in waiting and sum(p) < self.length:
+                        waiting.add(p)
+                        heappush(turn, (sum(p), p))
         return self
 
     def runs(self) -> dict[int, np.ndarray]:
@@ -188,6 +163,87 @@ class Plan:
         return {size: np.array(rows, dtype=np.int64) for size, rows in out.items()}
 
 
+class _Search:
+    """Exchanges between a plan's patterns; those with room are found by room and by the lengths they hold."""
+
+    def __init__(self, groups: dict[tuple[int, ...], int], length: int):
+        self.groups, self.length = groups, length
+        self.held: dict[tuple[int, int], dict[tuple[int, ...], None]] = defaultdict(dict)  # by room and length, 0 for all of the room
+        self.in_room = np.zeros(length, dtype=np.int64)  # patterns
+        # by room and x: the shortest piece of x or more that a pattern with the room holds, 2 * length if none
+        self.next = np.full((length, length + 2), 2 * length, dtype=np.int32)
+        for p in groups:
+            self._list(p)
+
+    def _list(self, p: tuple[int, ...]) -> None:
+        room = self.length - sum(p)
+        if not room:
+            return
+        self.in_room[room] += 1
+        for s in {0, *p}:
+            held, row = self.held[room, s], self.next[room]
+            if s and not held:
+                row[row.searchsorted(row[s]) : s + 1] = s
+            held[p] = None
+
+    def _unlist(self, p: tuple[int, ...]) -> None:
+        room = self.length - sum(p)
+        if not room:
+            return
+        self.in_room[room] -= 1
+        for s in {0, *p}:
+            held, row = self.held[room, s], self.next[room]
+            del held[p]
+            if s and not held:
+                row[row.searchsorted(s) : s + 1] = row[s + 1]
+
+    def exchange(self, a: tuple[int, ...]) -> tuple | None:
+        """(b, out, back) that raise the sum of squares most when a gives out to b for back; one or two for none or one."""
+        if alone := self.groups[a] == 1:
+            self._unlist(a)
+        fill, gives = sum(a), {}
+        for i in range(len(a)):
+            for j in range(i + 1, len(a)):
+                gives.setdefault(a[i] + a[j], (a[i], a[j]))
+        gives |= {s: (s,) for s in a}  # one rather than two of the same sum: it has the same exchanges, and the move
+        found, rooms = None, np.flatnonzero(self.in_room)[:, None]
+        if len(rooms):
+            size, one = np.array(list(gives)), np.array([len(out) == 1 for out in gives.values()])
+            back = self.next.take(rooms * self.next.shape[1] + np.maximum(size - rooms, 1))
+            back *= (size > rooms) | ~one
+            more = np.maximum(size - back, 0)
+            gain = more * (more + (self.length - fill - rooms))  # half of what the sum of squares gains
+            r, g = divmod(int(gain.argmax()), len(size))
+            if gain[r, g] > 0:
+                s = int(back[r, g])
+                found = next(iter(self.held[int(rooms[r, 0]), s])), gives[int(size[g])], (s,) if s else ()
+        if alone:
+            self._list(a)
+        return found
+
+    def apply(self, a: tuple[int, ...], b: tuple[int, ...], out: tuple[int, ...], back: tuple[int, ...]) -> tuple[int, list[tuple[int, ...]]]:
+        """In all pairs of a sequence like a and one like b, ``out`` goes from a to b and ``back`` from b to a: how many empty, and the patterns concerned."""
+        n = min(self.groups[a], self.groups[b]) if a != b else self.groups[a] // 2
+        x, y = list(a), list(b)
+        for s in out:
+            x.remove(s)
+            y.append(s)
+        for s in back:
+            y.remove(s)
+            x.append(s)
+        for p in (a, b):
+            self.groups[p] -= n
+            if not self.groups[p]:
+                del self.groups[p]
+                self._unlist(p)
+        made = [tuple(sorted(z, reverse=True)) for z in (x, y) if z]
+        for p in made:
+            if p not in self.groups:
+                self._list(p)
+            self.groups[p] += n
+        return n * (2 - len(made)), [a, b, *made]
+
+
 def _placed(shared):
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = shared.value
@@ -206,7 +262,7 @@ def _placed(shared):
     return run
 
 
-def pack(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END, tokenizer_dir: str | None = None, steps: int = STEPS) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END, tokenizer_dir: str | None = None, steps: int | None = None) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and then ``end``; null and empty texts are ``end`` alone.  One of

@@ -84,6 +84,36 @@ def test_local_search_keeps_the_pieces_and_saves_sequences(seed):
     assert sum(n * sum(p) ** 2 for p, n in plan.groups.items()) >= squares
 
 
+def gaining(plan):
+    """An exchange that raises the sum of squared fills, from all pairs of patterns."""
+    under = {p: sum(p) for p in plan.groups if sum(p) < plan.length}
+    for a, fill in under.items():
+        gives = {(s,) for s in a} | {(a[i], a[j]) for i in range(len(a)) for j in range(i + 1, len(a))}
+        for b, full in under.items():
+            if a == b and plan.groups[a] < 2:
+                continue
+            for out in gives:
+                for back in {*b, 0} if len(out) == 1 else set(b):
+                    more = sum(out) - back
+                    if 0 < more <= plan.length - full and more > fill - full:
+                        return a, b, out, back
+    return None
+
+
+def test_local_search_ends_where_nothing_gains():
+    rng = random.Random(5)
+    counts = Counter(rng.randint(300, 1000) for _ in range(1000))
+    plan = Plan(counts, 2048)
+    assert gaining(plan)
+    before = plan.sequences
+    plan.improve()
+    held = Counter()
+    for p, n in plan.groups.items():
+        for s in p:
+            held[s] += n
+    assert held == counts and plan.sequences < before and gaining(plan) is None
+
+
 # ---------------------------------------------------------------- neighbours
 
 
