@@ -17,6 +17,7 @@ SHINGLE = 5
 WINDOW = 4
 BAND = 24
 COVERAGE = 0.8
+SHORT = 8  # words of a template that is found by every shingle that damage may leave
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
@@ -76,19 +77,29 @@ def winnow(numbers: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 
 class Index:
-    """The inverted index: fingerprints, sorted, and for each the templates and places that have it."""
+    """The inverted index by size of shingle: fingerprints, sorted, and for each the templates and places that have it.
 
-    def __init__(self, templates):
+    Short templates have all their shingles of as many words as stay together wherever
+    words are replaced or missing, while ``coverage`` is left.
+    """
+
+    def __init__(self, templates, coverage: float = COVERAGE):
         self.names = [n for n, _ in templates]
         block = Block([t.encode() for _, t in templates], ALNUM)
         self.words = [block.word[a:b] for a, b in zip(block.first[:-1], block.first[1:], strict=True)]
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        found: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for t, words in enumerate(self.words):
-            numbers = shingle_numbers(words, SHINGLE)
-            for p in winnow(numbers).tolist():
-                found[int(numbers[p])].append((t, p))
-        self.marks = np.array(sorted(found), dtype=np.uint64)
-        self.places = [found[m] for m in sorted(found)]
+            k = SHINGLE
+            if self.short(t):
+                kept = next((n for n in range(1, len(words)) if n / len(words) >= coverage), len(words))
+                k = min(SHINGLE, -(-kept // (len(words) - kept + 1)))
+            numbers = shingle_numbers(words, k)
+            for p in range(len(numbers)) if self.short(t) else winnow(numbers).tolist():
+                found[k][int(numbers[p])].append((t, p))
+        self.by_k = {k: (np.array(sorted(x), dtype=np.uint64), [x[m] for m in sorted(x)]) for k, x in found.items()}
+
+    def short(self, t: int) -> bool:
+        return len(self.words[t]) <= SHORT
 
 
 def align(template: np.ndarray, words: np.ndarray, shift: int, band: int = BAND) -> np.ndarray:
@@ -119,24 +130,36 @@ def align(template: np.ndarray, words: np.ndarray, shift: int, band: int = BAND)
     return np.array(out[::-1], dtype=np.int64)
 
 
-def _matches(words: np.ndarray, hits: list[tuple[int, int]], template: np.ndarray) -> list[np.ndarray]:
-    """Aligned places for each place where the template may stand; hits: (place in words, place in template)."""
-    found, last = [], -1
+def _matches(words: np.ndarray, hits: list[tuple[int, int]], template: np.ndarray, coverage: float) -> list[np.ndarray]:
+    """Aligned places for each place where enough of the template stands; hits: (place in words, place in template)."""
+    found, tried = [], set()
     for at, place in sorted(hits, key=lambda h: (h[0] - h[1], h[0])):
         shift = at - place
-        if any(x[0] <= at <= x[-1] for x in found):
+        if shift in tried or any(x[0] <= at <= x[-1] for x in found):
             continue  # within one that is known
+        tried.add(shift)
         window = words[max(0, shift) : shift + len(template)]
         if shift >= 0 and len(window) == len(template) and (window == template).all():
             places = np.arange(shift, shift + len(template))
         else:
             low = max(0, shift - BAND)
-            places = align(template, words[low : shift + len(template) + BAND], shift - low) + low
-        if len(places):
+            near = words[low : shift + len(template) + BAND]
+            have = set(near.tolist())
+            if sum(w in have for w in template.tolist()) < coverage * len(template):
+                continue
+            places = align(template, near, shift - low) + low
+        if len(places) / len(template) >= coverage:
             found.append(places)
     return found
 
 
+def _other_stands(index: Index, t: int, places: np.ndarray, found: list[tuple[int, np.ndarray]]) -> bool:
+    """Whether a match without an unbroken run of SHINGLE words is another template, of which more words stand there."""
+    if (places[SHINGLE - 1 :] - places[: 1 - SHINGLE] == SHINGLE - 1).any() or len(places) == len(index.words[t]) == places[-1] - places[0] + 1:
+        return False
+    return any(u != t and len(x) > len(places) and x[0] <= places[-1] and places[0] <= x[-1] for u, x in found)
+
+
 def _scanning(shared, column: str, keys: list[str], coverage: float):
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -144,24 +167,27 @@ def _scanning(shared, column: str, keys: list[str], coverage: float):
             texts, rows, out = text_bytes(batch.column(column)), [], []
             for a, b in blocks(texts):
                 block = Block(texts[a:b], ALNUM)
-                numbers, whole = block.shingles(SHINGLE)
-                at = np.searchsorted(index.marks, numbers) % max(1, len(index.marks))
-                where = np.flatnonzero(whole & (index.marks[at] == numbers)) if len(numbers) else []
                 by: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-                for i in np.asarray(where).tolist():
-                    text = int(np.searchsorted(block.first, i, "right")) - 1
-                    for t, p in index.places[at[i]]:
-                        by[text, t].append((i - int(block.first[text]), p))
+                for k, (marks, users) in index.by_k.items():
+                    numbers, whole = block.shingles(k)
+                    at = np.searchsorted(marks, numbers) % len(marks)
+                    where = np.flatnonzero(whole & (marks[at] == numbers)) if len(numbers) else []
+                    for i in np.asarray(where).tolist():
+                        text = int(np.searchsorted(block.first, i, "right")) - 1
+                        for t, p in users[at[i]]:
+                            by[text, t].append((i - int(block.first[text]), p))
+                matches: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
                 for (text, t), hits in sorted(by.items()):
-                    first, last = int(block.first[text]), int(block.first[text + 1])
-                    template = index.words[t]
-                    for places in _matches(block.word[first:last], hits, template):
-                        share = len(places) / len(template)
-                        if share >= coverage:
-                            base = int(block.offset[text])
-                            head = lambda x: len(texts[a + text][: int(x) - base].decode("utf-8", "ignore"))  # noqa: B023, E731
-                            rows.append(a + text)
-                            out.append((index.names[t], t, share, head(block.start[first + places[0]]), head(block.end[first + places[-1]])))
+                    words = block.word[int(block.first[text]) : int(block.first[text + 1])]
+                    matches[text] += [(t, places) for places in _matches(words, hits, index.words[t], coverage)]
+                for text, mine in matches.items():
+                    first, base = int(block.first[text]), int(block.offset[text])
+                    head = lambda x: len(texts[a + text][: int(x) - base].decode("utf-8", "ignore"))  # noqa: B023, E731
+                    for t, places in mine:
+                        if index.short(t) and _other_stands(index, t, places, mine):
+                            continue
+                        rows.append(a + text)
+                        out.append((index.names[t], t, len(places) / len(index.words[t]), head(block.start[first + places[0]]), head(block.end[first + places[-1]])))
             if rows:
                 kinds = (pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int64())
                 taken = pa.Table.from_batches([batch.select(keys)]).take(pa.array(rows)).combine_chunks()
@@ -178,7 +204,10 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, id_
     ``coverage``; start and end (exclusive) count code points from the first to
     past the last of them.  Words are runs of digits, letters and characters beyond ASCII,
     A-Z lower-cased.  Every five words of a text are looked up, so an undamaged
-    run of eight words of a template is always found.  Templates of fewer than five words are not.
+    run of eight words of a template is always found.  Of templates of up to ``SHORT`` words,
+    shorter runs are looked up, so that they are found wherever words are replaced or missing; words
+    put in between may break all of these runs.  One without five unbroken words gives no row where more words
+    of another template stand.
 
     Null and empty texts give no row; repeated rows give theirs each.  A text may
     match several templates in one place.
@@ -186,4 +215,4 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, id_
     ship(spark)
     field = lambda n, t: T.StructField(n, t)
     schema = T.StructType([docs.select(id_col).schema.fields[0], field("license", T.StringType()), field("template", T.IntegerType()), field("coverage", T.DoubleType()), field("start", T.LongType()), field("end", T.LongType())])
-    return docs.select(id_col, text_col).mapInArrow(_scanning(spark.sparkContext.broadcast(Index(list(templates))), text_col, [id_col], coverage), schema)
+    return docs.select(id_col, text_col).mapInArrow(_scanning(spark.sparkContext.broadcast(Index(list(templates), coverage)), text_col, [id_col], coverage), schema)
