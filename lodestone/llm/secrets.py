@@ -1,10 +1,10 @@
 """Secret scans with ownership counted over the corpus.
 
 Patterns give the base spans.  Besides them, long mixed strings are candidates;
-they count as secrets if they look random and few owners have them.  For every
+they count as secrets if they look random and few owners and repositories have them.  For every
 candidate, base or not, the distinct repositories and owners that hold its hash
-are counted over all rows: values that many owners have copied are examples, values of
-few owners look live.
+are counted over all rows: values that many owners or many repositories have copied are
+examples, values in few of both look live.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from .common import Workspace
 
 KINDS = ("assign", "access", "hex", "mixed")
 MOST_OWNERS = 2  # of a value that looks live
+MOST_REPOS = 10  # that hold it
 BITS = 3.5  # a character of a mixed candidate, at least
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -66,11 +67,11 @@ def _found(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(owners, pa.string()), pa.array(repos, pa.string()), pa.array(found, pa.list_(span))], names=["row", "doc_id", "owner", "repo", "found"])
 
 
-def scan_secrets(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", most_owners: int = MOST_OWNERS) -> DataFrame:
+def scan_secrets(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS) -> DataFrame:
     """A row for each row of docs: doc_id and spans, an array of (start, kind, end, live), by start and kind.
 
     kind numbers KINDS; start and end count code points.  live: at most
-    ``most_owners`` distinct owners hold the value (a null owner is one more).
+    ``most_owners`` distinct owners and ``most_repos`` distinct repositories hold the value (a null is one more of either).
     Null and empty texts have no spans.  Repeated rows are judged each; they add
     no owner or repository.  No rows give no rows.
     """
@@ -84,7 +85,7 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     for what in ("owner", "repo"):
         n = each.select("hash", F.coalesce(what, F.lit("")).alias(what)).distinct().groupBy("hash").agg(F.count("*").alias(f"{what}s"))
         held = n if held is None else held.join(n, "hash")
-    judged = each.join(held, "hash").withColumn("live", F.col("owners") <= most_owners).filter((F.col("kind") < 3) | F.col("live"))
+    judged = each.join(held, "hash").withColumn("live", (F.col("owners") <= most_owners) & (F.col("repos") <= most_repos)).filter((F.col("kind") < 3) | F.col("live"))
     spans = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "live", "owners", "repos"))).alias("spans"))
     out = rows.select("row", "doc_id").join(spans, "row", "left")
     return out.select("doc_id", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))

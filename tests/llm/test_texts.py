@@ -247,6 +247,14 @@ def test_base_spans_and_ownership(spark):
     assert secrets.scan_secrets(spark, frame(spark, [])).count() == 0
 
 
+def test_a_value_in_many_repositories_is_an_example(spark):
+    live, hot = "aB3dE5gH7jK9mN1pQ2rS", "zY8xW6vU4tS2rQ1pO9nM"
+    texts = [f"key {live}"] * secrets.MOST_REPOS + [f"key {hot} token=abcdef123"] * (secrets.MOST_REPOS + 1)
+    got = secrets.digests(secrets.scan_secrets(spark, frame(spark, texts))).orderBy("doc_id").collect()
+    assert [(r.spans, r.n_live) for r in got[: secrets.MOST_REPOS]] == [(f"mixed:4:{4 + len(live)}", 1)] * secrets.MOST_REPOS
+    assert {(r.n_assign, "mixed" in r.spans, r.n_live) for r in got[secrets.MOST_REPOS :]} == {(1, False, 0)}
+
+
 # ---------------------------------------------------------------- licences
 
 
