@@ -34,13 +34,13 @@ _ADDED = [
 class _Windows:
     """The distinct windows of some items, each as its words, and whose they are."""
 
-    def __init__(self, rows: list[tuple[str, bytes]], window: int):
+    def __init__(self, rows: list[tuple[str | None, bytes]], window: int):
         owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
         for item, text in rows:
             block = Block([text], ALNUM)
             words = [block.text_of(i) for i in range(len(block.word))]
             for i in range(max(1, len(words) - window + 1) if words else 0):
-                owners[tuple(words[i : i + window])].add(item)
+                owners[tuple(words[i : i + window])] |= set() if item is None else {item}
         self.words = list(owners)
         self.items = [sorted(x) for x in owners.values()]
         flat = Block([b" ".join(w) for w in self.words], ALNUM)
@@ -135,7 +135,7 @@ def _marking(shared, column: str):
                     n_words.append(high - low)
                     mine = items.get(t, set())
                     before = [(x["start"], x["end"]) for x in old_spans[row]] if had else []
-                    if mine or before:
+                    if inside[low:high].any() or before:
                         hit = np.zeros(high - low + 2, dtype=np.int8)
                         hit[1:-1] = inside[low:high]
                         for x, y in before:
@@ -164,8 +164,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, te
     n_words and n_hit > 0.
 
     Every row of docs gives one row, repeated ones and those without an id too.
-    Null and empty texts have no words.  Items with null or wordless texts,
-    and items without an id, have no windows; an item may stand in several rows.
+    Null and empty texts have no words.  Items with null or wordless texts
+    have no windows; those without an id hit, but aren't listed in items.  An item may stand in several rows.
     An empty benchmark hits nothing.  A column of docs that has the name of a
     result is replaced by it.
 
@@ -176,13 +176,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, te
     ship(spark)
     sc = spark.sparkContext
     docs = docs.drop("n_words", "n_hit", "spans", "items", "contaminated")
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).filter("i is not null and t is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).filter("t is not null")
     parts = 1 + (items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // index_bytes
     names = list(docs.columns)
     out = docs
     schema = T.StructType([*docs.schema.fields, *_ADDED])
     for part in range(parts):
-        some = items.filter(F.pmod(F.xxhash64("i"), F.lit(parts)) == part)
+        some = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part)
         windows = _Windows([(r.i, r.t.encode()) for r in some.toLocalIterator()], window)
         if not windows.words and part < parts - 1:
             continue

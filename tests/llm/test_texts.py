@@ -216,6 +216,14 @@ def test_decontamination_matches_brute_force(spark, index_bytes):
     assert [(r.n_words, r.n_hit, r["items"], r.contaminated) for r in got] == brute_hits(texts, known)
 
 
+@pytest.mark.parametrize("index_bytes", [1 << 20, 8])
+def test_items_without_an_id_hit(spark, index_bytes):
+    bench = spark.createDataFrame([(None, "alpha beta gamma"), (7, "delta"), (None, "delta")], "item_id long, text string")
+    texts = ["x alpha beta gamma", "y delta", "clean text"]
+    got = decontaminate(spark, frame(spark, texts), bench, index_bytes=index_bytes).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_hit, r["items"], r.contaminated) for r in got] == [(4, 3, [], True), (2, 1, ["7"], True), (2, 0, [], False)]
+
+
 def test_decontamination_without_rows(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(spark, frame(spark, []), bench).count() == 0
