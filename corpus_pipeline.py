@@ -34,9 +34,11 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents that with the smallest id stays, once if its row is repeated; rows without an id stay."""
+    """Of linked documents that with the smallest id stays, once if its row is repeated; rows without an id stay.
+
+    Rows that share an id but not the text stay each, if one of them does."""
     stay = jaccard_components(spark, docs).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
     return named.unionByName(docs.filter("doc_id is null"))
 
 

@@ -315,6 +315,12 @@ def test_pipeline_stage_by_stage(spark, sf, tmp_path):
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in whole.collect()) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in docs.collect())
 
 
+def test_rows_that_share_an_id_keep_their_texts(spark, sf):
+    texts = ["one two three four five six seven", "eight nine ten eleven twelve thirteen", "eight nine ten eleven twelve thirteen"]
+    docs = spark.createDataFrame([(5, t, "en", "s", len(t)) for t in texts], DOCS)
+    assert sorted(r.text for r in corpus_pipeline.one_of_each_group(spark, docs, sf).collect()) == sorted(texts[:2])
+
+
 def test_pipeline_on_no_rows(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").filter("false")
     for _, stage in corpus_pipeline.STAGES:
