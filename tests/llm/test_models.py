@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestone.llm import packing, quality, registry, urls, warc
@@ -326,3 +327,29 @@ def test_pipeline_on_no_rows(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() == 0
+
+
+def test_any_benchmark_passage_removes_a_document(spark, sf):
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    texts = ["own words " * 1000 + item + " and more" * 1000, "own words " * 1000, None, ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCS)
+    assert {r.doc_id for r in corpus_pipeline.without_benchmarks(spark, docs, sf).collect()} == {1, 2, 3}
+
+
+def test_stages_keep_columns_that_have_the_names_of_results(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(30)
+    names = ["score", "predicted", "n_lines", "n_dropped", "n_words", "n_hit", "spans", "items", "contaminated", "component_id", "row_", "_order"]
+    docs = docs.withColumns({n: F.lit(7) for n in names})
+    for twice in (docs, docs.unionByName(docs)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, twice, sf)
+            assert got.columns == docs.columns and got.dtypes == docs.dtypes
+            assert {r[n] for r in got.collect() for n in names} == {7}
+
+
+def test_rows_of_one_id_are_judged_each(spark, sf):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(3, a), (5, a.upper()), (5, b), (None, b), (None, "x"), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    got = [r.text and r.text.lower() for r in corpus_pipeline.one_of_each_group(spark, docs, sf).collect()]
+    assert sorted(got, key=str) == sorted([a, b, "x", None], key=str)
