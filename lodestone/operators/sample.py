@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +13,18 @@ def hash_order(ids: list[str], seed: int = 0):
 
 
 def sample_rows(df: DataFrame, k: int, ids: list[str], seed: int = 0) -> DataFrame:
-    """k rows, each with the same chance."""
-    return df.orderBy(hash_order(ids, seed), *ids).limit(k)
+    """k rows, each with the same chance: those whose hashes are the smallest.
+
+    Rows are counted, and only those with a hash below a bound that leaves few more than k are put in
+    order, so that the task that does this gets little more than it returns.
+    """
+    order, n = hash_order(ids, seed), df.count()
+    share = (k + 10 * math.sqrt(k) + 100) / max(n, 1)
+    if share < 1:
+        few = df.filter(order < int(share * 2**64) - 2**63)
+        if few.count() >= k:  # almost sure, but for rows that share their ids
+            df = few
+    return df.orderBy(order, *ids).limit(k)
 
 
 def subsample(df: DataFrame, share: float, ids: list[str], seed: int = 0) -> DataFrame:
