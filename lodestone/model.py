@@ -70,6 +70,16 @@ def field(name: str, kind: str) -> T.StructField:
     return T.StructField(name, SPARK_TYPES[kind], True, {"attr_type": kind})
 
 
+def merged_types(files: list[dict[str, str]]) -> dict[str, str]:
+    """Attributes and types of several files together, in the order in which they come up; one name with two types is an error."""
+    out: dict[str, str] = {}
+    for own in files:
+        for name, kind in own.items():
+            if out.setdefault(name, kind) != kind:
+                raise TypeError(f"{name}: {out[name]} in one file and {kind} in another")
+    return out
+
+
 def attribute_type(f: T.StructField) -> str:
     """The declared type of an attribute, or the one that its Spark type suggests."""
     if "attr_type" in f.metadata:

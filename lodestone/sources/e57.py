@@ -19,6 +19,8 @@ from ..job import ship
 from ..model import NUMPY_TYPES, SPARK_TYPES, canonical
 from ..storage import File, listed
 
+ROWS = 1 << 16  # of a batch
+
 _COORDINATES = ("cartesianX", "cartesianY", "cartesianZ", "sphericalRange", "sphericalAzimuth", "sphericalElevation")
 _STATES = ("cartesianInvalidState", "sphericalInvalidState")
 _COLOURS = ("colorRed", "colorGreen", "colorBlue")
@@ -162,9 +164,8 @@ def _decoded(f: Field, raw: bytes, n: int) -> np.ndarray:
     return v * f.scale + f.shift if f.kind == "ScaledInteger" else v
 
 
-def points_of(scan: Scan, data: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Posed coordinates, and which rows have valid ones."""
-    n = scan.count
+def points_of(scan: Scan, data: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Posed coordinates of n records, and which of them have valid ones."""
     if "cartesianX" in data:
         xyz = np.stack([data[c].astype(np.float64) for c in _COORDINATES[:3]], axis=1)
         ok = data.get(_STATES[0], np.zeros(n)) == 0
@@ -210,17 +211,27 @@ class Reader(DataSourceReader):
             pages = Pages(f.read)
             every = scans(pages)
             scan = every[part.scan]
-            streams = [b""] * len(scan.fields)
-            parts: list[list[bytes]] = [[] for _ in scan.fields]
+            at, left, held = sum(s.count for s in every[: part.scan]), scan.count, [bytearray() for _ in scan.fields]
             for packet in _packets(pages, scan):
-                for k, raw in enumerate(packet[: len(parts)]):
-                    parts[k].append(raw)
-            streams = [b"".join(p) for p in parts]
-        data = {f.name: _decoded(f, raw, scan.count) for f, raw in zip(scan.fields, streams, strict=True)}
-        xyz, ok = points_of(scan, data)
-        before = sum(s.count for s in every[: part.scan])
-        out: dict[str, np.ndarray] = {"file_id": np.full(scan.count, part.file_id), "pos": np.arange(before, before + scan.count)} | {a: xyz[:, i] for i, a in enumerate("xyz")}
-        out |= {c: scaled(data[n].astype(float), scan.ranges.get(n), 255) if n in data else np.full(scan.count, 255) for c, n in zip("rgb", _COLOURS, strict=True)}
+                for k, raw in enumerate(packet[: len(held)]):
+                    held[k] += raw
+                n = min([left, *(len(h) * 8 // f.bits for f, h in zip(scan.fields, held, strict=True) if f.bits)]) // 8 * 8  # whole bytes of any width
+                if n >= ROWS:
+                    yield self._batch(part.file_id, scan, at, n, held)
+                    at, left = at + n, left - n
+            if left:
+                yield self._batch(part.file_id, scan, at, left, held)
+
+    def _batch(self, file_id: int, scan: Scan, at: int, n: int, held: list[bytearray]) -> pa.RecordBatch:
+        """The next n records, which are taken off what is held of each field."""
+        data = {}
+        for f, h in zip(scan.fields, held, strict=True):
+            size = -(-n * f.bits // 8)
+            data[f.name] = _decoded(f, bytes(h[:size]), n)
+            del h[:size]
+        xyz, ok = points_of(scan, data, n)
+        out: dict[str, np.ndarray] = {"file_id": np.full(n, file_id), "pos": np.arange(at, at + n)} | {a: xyz[:, i] for i, a in enumerate("xyz")}
+        out |= {c: scaled(data[k].astype(float), scan.ranges.get(k), 255) if k in data else np.full(n, 255) for c, k in zip("rgb", _COLOURS, strict=True)}
         for f in scan.fields:
             if f.name == "intensity":
                 out["intensity"] = scaled(data[f.name].astype(float), scan.ranges.get("intensity"), 65535)
@@ -229,11 +240,11 @@ class Reader(DataSourceReader):
         arrays = []
         for f in self.schema.fields:
             kind = {T.ByteType: pa.int8(), T.ShortType: pa.int16(), T.IntegerType: pa.int32(), T.LongType: pa.int64(), T.FloatType: pa.float32(), T.DoubleType: pa.float64(), T.DecimalType: pa.decimal128(20, 0)}[type(f.dataType)]
-            v = out.get(f.name, np.zeros(scan.count, dtype=np.int64))[ok]
+            v = out.get(f.name, np.zeros(n, dtype=np.int64))[ok]
             if v.dtype.kind == "f" and pa.types.is_integer(kind):
                 v = np.trunc(v + np.copysign(0.5, v)).astype(np.int64)
             arrays.append(pa.array(v).cast(kind))
-        yield pa.RecordBatch.from_arrays(arrays, names=self.schema.names)
+        return pa.RecordBatch.from_arrays(arrays, names=self.schema.names)
 
 
 class E57Source(DataSource):
@@ -249,10 +260,10 @@ class E57Source(DataSource):
     def schema(self) -> T.StructType:
         out = {"file_id": T.StructField("file_id", T.IntegerType()), "pos": T.StructField("pos", T.LongType())}
         out |= {a: T.StructField(a, T.DoubleType()) for a in "xyz"} | {c: T.StructField(c, T.ShortType()) for c in "rgb"}
-        for uri in self._files()[:1]:
+        for uri in self._files():
             with File(uri) as f:
                 for s in scans(Pages(f.read)):
-                    for x in s.fields:  # of several scans the first that has a field says its type
+                    for x in s.fields:  # the first scan that has a field says its type
                         if x.name not in (*_COORDINATES, *_STATES, *_COLOURS):
                             t = "uint16" if x.name == "intensity" else x.type
                             out.setdefault(canonical(x.name), T.StructField(canonical(x.name), SPARK_TYPES[t], True, {"attr_type": t}))

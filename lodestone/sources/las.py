@@ -9,12 +9,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..job import ship
-from ..model import NUMPY_TYPES, SPARK_TYPES, canonical
+from ..model import NUMPY_TYPES, canonical, field, merged_types
 from ..storage import File, listed
 
 ROWS = 250_000
@@ -25,10 +24,28 @@ _LONG = [("X", "<i4"), ("Y", "<i4"), ("Z", "<i4"), ("intensity", "<u2"), ("retur
 _GPS, _RGB, _NIR = [("gps_time", "<f8")], [("red", "<u2"), ("green", "<u2"), ("blue", "<u2")], [("nir", "<u2")]
 _WAVE = [("wave_packet_descriptor_index", "u1"), ("wave_byte_offset", "<u8"), ("wave_packet_size", "<u4"), ("wave_return_location", "<f4"), ("wave_xt", "<f4"), ("wave_yt", "<f4"), ("wave_zt", "<f4")]
 FORMATS = {0: _BASE, 1: _BASE + _GPS, 2: _BASE + _RGB, 3: _BASE + _GPS + _RGB, 4: _BASE + _GPS + _WAVE, 5: _BASE + _GPS + _RGB + _WAVE, 6: _LONG, 7: _LONG + _RGB, 8: _LONG + _RGB + _NIR, 9: _LONG + _WAVE, 10: _LONG + _RGB + _NIR + _WAVE}
-_EXTRA = {1: "uint8", 2: "int8", 3: "uint16", 4: "int16", 5: "uint32", 6: "int32", 7: "uint64", 8: "int64", 9: "float32", 10: "float64"}
+EXTRA_TYPES = {1: "uint8", 2: "int8", 3: "uint16", 4: "int16", 5: "uint32", 6: "int32", 7: "uint64", 8: "int64", 9: "float32", 10: "float64"}
 
-# other spellings of extra dimensions (fixed values)
-ALIASES = {"pulse_width": ("pulsewidth", "pulse width", "echo_width"), "incidence_angle": ("incidenceangle", "incidence angle")}
+# other spellings of extra dimensions, canonical, by the names that they are asked for (fixed values)
+_INCIDENCE = ("incidenceangle", "trueviewincidenceangle", "_incidenceangle")
+_WIDTH = ("pulsewidth", "echowidth", "echolength")
+ALIASES = {"incidence_angle": _INCIDENCE, "incidenceangle": _INCIDENCE, "pulse_width": _WIDTH, "pulsewidth": _WIDTH, "echo_width": _WIDTH, "echowidth": _WIDTH}
+
+
+def sources(wanted: list[str] | tuple[str, ...], have: list[str]) -> dict[str, str]:
+    """The field of a file for each wanted attribute that it has: the first under its name or another spelling of it.
+
+    A field that two wanted attributes could take goes to the first of them.
+    """
+    takes: dict[str, str] = {}
+    for a in map(canonical, wanted):
+        for n in (a, *ALIASES.get(a, ())) if a else ():
+            takes.setdefault(n, a)
+    found: dict[str, str] = {}
+    for n in have:
+        if n in takes:
+            found.setdefault(takes[n], n)
+    return {a: found[a] for a in map(canonical, wanted) if a in found}
 
 
 @dataclass
@@ -97,11 +114,11 @@ def header(read, size: int) -> Las:
         if user == b"LASF_Spec" and record == 4:
             for a in range(0, len(body) - 191, 192):
                 kind, options = body[a + 2], body[a + 3]
-                if kind not in _EXTRA:
+                if kind not in EXTRA_TYPES:
                     raise ValueError(f"extra bytes of type {kind} are not read")
                 scale, shift = struct.unpack_from("<d", body, a + 112)[0], struct.unpack_from("<d", body, a + 136)[0]
                 scaled = options & 24
-                extra.append((body[a + 4 : a + 36].rstrip(b"\0").decode("utf-8", "replace"), _EXTRA[kind], (scale if options & 8 else 1.0) if scaled else None, (shift if options & 16 else 0.0) if scaled else None))
+                extra.append((body[a + 4 : a + 36].rstrip(b"\0").decode("utf-8", "replace"), EXTRA_TYPES[kind], (scale if options & 8 else 1.0) if scaled else None, (shift if options & 16 else 0.0) if scaled else None))
         elif user == b"LASF_Projection" and record == 34735:
             keys = np.frombuffer(body, "<u2")[4:].reshape(-1, 4)
             epsg = next((int(k[3]) for k in keys if k[0] in (3072, 2048) and k[1] == 0 and k[3] not in (0, 32767)), epsg)
@@ -156,9 +173,12 @@ class Range(InputPartition):
     count: int
 
 
+OWN = ("file_id", "pos", *"xyz", *"rgb")
+
+
 class Reader(DataSourceReader):
-    def __init__(self, files: list[str], schema: T.StructType, eight_bit: bool):
-        self.files, self.schema, self.eight_bit = files, schema, eight_bit
+    def __init__(self, files: list[str], schema: T.StructType, eight_bit: bool, asked: bool):
+        self.files, self.schema, self.eight_bit, self.asked = files, schema, eight_bit, asked
 
     def partitions(self) -> list[Range]:
         out = []
@@ -177,8 +197,10 @@ class Reader(DataSourceReader):
             for a in range(part.first, part.first + part.count, 1 << 16):
                 n = min(1 << 16, part.first + part.count - a)
                 raw = np.frombuffer(f.read(las.offset + a * las.length, n * las.length), las.dtype)
-                here = [c for c in self.schema.names if c in ("x", "y", "z", "r", "g", "b") or c in own]
-                data = columns(las, raw, self.eight_bit, here) | {"file_id": np.full(n, part.file_id, np.int32), "pos": np.arange(a, a + n)}
+                rest = [c for c in self.schema.names if c not in OWN]
+                named = sources(rest, list(own)) if self.asked else {c: c for c in rest if c in own}
+                data = columns(las, raw, self.eight_bit, [*"xyzrgb", *named.values()])
+                data |= {c: data[n] for c, n in named.items()} | {"file_id": np.full(n, part.file_id, np.int32), "pos": np.arange(a, a + n)}
                 arrays = []
                 for c in self.schema.fields:
                     kind = {T.ByteType: pa.int8(), T.ShortType: pa.int16(), T.IntegerType: pa.int32(), T.LongType: pa.int64(), T.BooleanType: pa.bool_(), T.FloatType: pa.float32(), T.DoubleType: pa.float64(), T.DecimalType: pa.decimal128(20, 0)}[type(c.dataType)]
@@ -188,24 +210,29 @@ class Reader(DataSourceReader):
 
 
 class LasSource(DataSource):
-    """spark.read.format("lodestone_las").load(path); option eight_bit: colours are stored in eight bits."""
+    """spark.read.format("lodestone_las").load(path): points with what any of the files has, zero where one lacks it.
+
+    Options: eight_bit: colours are stored in eight bits; attributes: names after commas, to be found under any spelling.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "lodestone_las"
 
     def _files(self) -> list[str]:
-        return listed(self.options["path"], ("las",))
+        return listed(self.options["path"], ("las", "laz"))
 
     def schema(self) -> T.StructType:
         out = [T.StructField("file_id", T.IntegerType()), T.StructField("pos", T.LongType()), *(T.StructField(a, T.DoubleType()) for a in "xyz"), *(T.StructField(c, T.ShortType()) for c in "rgb")]
-        for uri in self._files()[:1]:
+        each, wanted = [], self.options.get("attributes")
+        for uri in self._files():
             with File(uri) as f:
-                out += [T.StructField(n, SPARK_TYPES[t], True, {"attr_type": t}) for n, t in header(f.read, f.size).attributes().items()]
-        return T.StructType(out)
+                own = header(f.read, f.size).attributes()
+            each.append({a: own[n] for a, n in sources(wanted.split(","), list(own)).items()} if wanted is not None else own)
+        return T.StructType(out + [field(n, t) for n, t in merged_types(each).items() if n not in OWN])
 
     def reader(self, schema: T.StructType) -> Reader:
-        return Reader(self._files(), schema, self.options.get("eight_bit", "false").lower() == "true")
+        return Reader(self._files(), schema, self.options.get("eight_bit", "false").lower() == "true", "attributes" in self.options)
 
 
 def crs_of(path: str) -> str | None:
@@ -213,7 +240,7 @@ def crs_of(path: str) -> str | None:
     from ..model import one_crs
 
     found = []
-    for uri in listed(path, ("las",)):
+    for uri in listed(path, ("las", "laz")):
         with File(uri) as f:
             epsg = header(f.read, f.size).epsg
             found.append(f"EPSG:{epsg}" if epsg else None)
@@ -224,10 +251,6 @@ def read_points(spark: SparkSession, path: str, attributes: list[str] | tuple[st
     """Points of one file or a folder with those of the attributes that it has."""
     ship(spark)
     spark.dataSource.register(LasSource)
-    raw = spark.read.format("lodestone_las").option("eight_bit", str(eight_bit)).load(path)
-    found = {}
-    for a in map(canonical, attributes):
-        source = next((n for n in (a, *map(canonical, ALIASES.get(a, ()))) if n in raw.columns), None)
-        if source:
-            found.setdefault(a, source)
-    return raw.select("file_id", "pos", *"xyz", *"rgb", *(F.col(s).alias(a, metadata=raw.schema[s].metadata) for a, s in found.items() if a not in "xyzrgb"))
+    raw = spark.read.format("lodestone_las").option("eight_bit", str(eight_bit)).option("attributes", ",".join(attributes)).load(path)
+    names = [c for c in dict.fromkeys(map(canonical, attributes)) if c in raw.columns and c not in OWN]
+    return raw.select(*OWN, *names)

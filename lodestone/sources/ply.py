@@ -14,10 +14,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.scalar import finite, sigmoid
 from ..job import ship
-from ..model import NUMPY_TYPES, SPARK_TYPES, canonical
+from ..model import NUMPY_TYPES, canonical, merged_types
+from ..model import field as column
 from ..storage import File, listed
 
 ROWS = 250_000  # of a partition
+COLOURS = ("red", "green", "blue", "r", "g", "b", "diffuse_red", "diffuse_green", "diffuse_blue")
 
 # PLY type names (fixed values)
 _TYPES = {"char": "int8", "uchar": "uint8", "short": "int16", "ushort": "uint16", "int": "int32", "uint": "uint32", "float": "float32", "double": "float64"}
@@ -121,8 +123,8 @@ class Range(InputPartition):
 class Reader(DataSourceReader):
     """Rows in file order; file_id and pos tell them apart.  Fixed records are read by range."""
 
-    def __init__(self, files: list[str], schema: T.StructType):
-        self.files, self.names = files, schema.names
+    def __init__(self, files: list[str], schema: T.StructType, types: dict[str, str]):
+        self.files, self.names, self.types = files, schema.names, types
 
     def partitions(self) -> list[Range]:
         out = []
@@ -161,6 +163,8 @@ class Reader(DataSourceReader):
             data_here = {"file_id": np.full(m, part.file_id, np.int32), "pos": np.arange(part.first + a, part.first + a + m)}
             data_here |= {canonical(k): x[a : a + m] for k, x in data.items()}
             kinds = {"<u1": "<i2", "<u2": "<i4", "<u4": "<i8"}
+            # what only other files have is zero, and a missing colour white
+            data_here |= {k: np.full(m, 255 if t == "uint8" and k in COLOURS else 0, NUMPY_TYPES[t]) for k, t in self.types.items() if k not in data_here}
             yield pa.RecordBatch.from_pydict({k: data_here[k].astype(kinds.get(data_here[k].dtype.newbyteorder("<").str.replace("|", "<"), data_here[k].dtype)) for k in self.names})
 
     @staticmethod
@@ -179,7 +183,7 @@ class Reader(DataSourceReader):
 
 
 class PlySource(DataSource):
-    """spark.read.format("lodestone_ply").load(path): vertices with all their properties as they stand."""
+    """spark.read.format("lodestone_ply").load(path): vertices with all properties that any of the files has, as they stand."""
 
     @classmethod
     def name(cls) -> str:
@@ -188,16 +192,18 @@ class PlySource(DataSource):
     def _files(self) -> list[str]:
         return listed(self.options["path"], ("ply",))
 
-    def schema(self) -> T.StructType:
-        out = [T.StructField("file_id", T.IntegerType()), T.StructField("pos", T.LongType())]
-        for uri in self._files()[:1]:
+    def _types(self) -> dict[str, str]:
+        each = []
+        for uri in self._files():
             with File(uri) as f:
-                v = header(f.read).vertex
-            out += [T.StructField(canonical(n), SPARK_TYPES[t], True, {"attr_type": t}) for n, t, length in v.properties if not length]
-        return T.StructType(out)
+                each.append({canonical(n): t for n, t, length in header(f.read).vertex.properties if not length})
+        return merged_types(each)
+
+    def schema(self) -> T.StructType:
+        return T.StructType([T.StructField("file_id", T.IntegerType()), T.StructField("pos", T.LongType()), *(column(n, t) for n, t in self._types().items())])
 
     def reader(self, schema: T.StructType) -> Reader:
-        return Reader(self._files(), schema)
+        return Reader(self._files(), schema, self._types())
 
 
 def _find(names: list[str], wanted: str) -> str | None:
