@@ -23,9 +23,14 @@ def five_digits(value: Column) -> Column:
     return F.format_string("%.4e", value.cast("double")).cast("double")
 
 
+FRACTION_BITS = 12  # at most
+LARGEST = (1 << 23) - 1  # of a signed 24-bit number
+
+
 def fraction_bits(most: Column) -> Column:
-    """Fractional bits of a signed 24-bit number that holds ``most``."""
-    return F.greatest(F.lit(0), F.least(F.lit(24), 23 - F.ceil(F.log2(most)))).cast("int")
+    """The most fractional bits, up to FRACTION_BITS, with which a signed 24-bit number holds ``most``; null if none does."""
+    fits = lambda bits: F.floor(most * float(1 << bits) + 0.5) <= LARGEST
+    return F.coalesce(*(F.when(fits(bits), F.lit(bits)) for bits in range(FRACTION_BITS, -1, -1)))
 
 
 def zigzag(value: Column) -> Column:

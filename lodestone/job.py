@@ -14,13 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir``.  Only where that is unset (tests on one
-    machine) a temporary folder is made and set.
+    It is ``spark.checkpoint.dir``.  Only where that is unset and all runs on one
+    machine a temporary folder is made and set.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,9 +43,13 @@ def widest(x: Column, y: Column, z: Column) -> Column:
     return F.when((x >= y) & (x >= z), "x").when(y >= z, "y").otherwise("z")
 
 
+def variances(axes: tuple[str, ...] = AXES) -> list[Column]:
+    return [F.var_pop(a).alias(f"var_{a}") for a in axes]
+
+
 def variance_axis(points: DataFrame, *by: str) -> DataFrame:
     """Population variances and the axis of the largest."""
-    out = points.groupBy(*by).agg(*(F.var_pop(a).alias(f"var_{a}") for a in AXES))
+    out = points.groupBy(*by).agg(*variances())
     return out.withColumn("axis", widest(F.col("var_x"), F.col("var_y"), F.col("var_z")))
 
 
@@ -94,30 +99,73 @@ def upper_median(df: DataFrame, column: str) -> float | None:
     return select_rank(df, column, df.filter(F.col(column).isNotNull()).count() // 2)
 
 
-def upper_medians(points: DataFrame, by: str, column: dict[str, str], gathered: int = 50_000) -> dict[str, float]:
-    """The upper median of each group, of the column that it is given: two jobs for all groups.
+def marks(shares: list[float]) -> list[float]:
+    """The quantiles whose approximations bracket the exact ones of ``shares``: a five-thousandth of the rows at each side."""
+    return sorted({min(1.0, max(0.0, q + d)) for q in shares for d in (-0.0002, 0.0002)})
+
+
+def approximated(v: Column, shares: list[float]) -> Column:
+    return F.percentile_approx(v, marks(shares), 10000)
 
-    The first one counts and, of many rows, brackets each median by approximate quantiles.  The
-    second counts the values within the brackets; only those are put in order.
+
+def group_ranks(each: DataFrame, shares: list[float], places: Callable[[int], list[int]], known: dict | None = None, gathered: int = 50_000, sizes: dict | None = None) -> dict:
+    """By group, the values that have as many others before them as ``places`` of the group's size says.
+
+    each: (g, v); shares: about where these places lie.  A first job counts, and brackets each value by approximate
+    quantiles; with known, by group its count and the quantiles ``marks(shares)``, it isn't needed.  A second one counts the values
+    within the brackets; only those are put in order, so no group is sorted as a whole.
     """
-    value = F.create_map(*(F.lit(v) for kv in column.items() for v in kv))[F.col(by)]
-    v = F.when(value == "x", F.col("x")).when(value == "y", F.col("y")).otherwise(F.col("z")).cast("double")
-    each = points.filter(F.col(by).isin(list(column))).select(F.col(by).alias("g"), v.alias("v")).filter("v is not null")
-    found = {r["g"]: r for r in each.groupBy("g").agg(F.count("*").alias("n"), F.percentile_approx("v", [0.4998, 0.5002], 10000).alias("p")).collect()}  # a row for each group
-    whole = sum(r["n"] for r in found.values()) <= gathered
-    out: dict[str, float] = {}
-    limits = {g: (-math.inf, math.inf) if whole else tuple(r["p"]) for g, r in found.items()}
-    while limits:
-        pick = lambda i, limits=limits: F.create_map(*(F.lit(x) for g, ends in limits.items() for x in (g, float(ends[i]))))[F.col("g")]
-        inside = each.filter(F.col("g").isin(list(limits))).withColumns({"low": pick(0), "high": pick(1)}).filter("v <= high")
-        counts = inside.groupBy("g", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v")).agg(F.count("*").alias("n"))
-        run = F.sum("n").over(Window.partitionBy("g").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-        target = F.create_map(*(F.lit(x) for g in limits for x in (g, found[g]["n"] // 2)))[F.col("g")]
-        first = counts.withColumn("run", run).filter(F.col("run") > target).groupBy("g").agg(F.min_by("v", "run").alias("v"))
-        got = {r["g"]: r["v"] for r in first.collect()}
-        out |= {g: x for g, x in got.items() if x is not None}
-        # a bracket that missed its median is opened
-        limits = {g: (-math.inf, math.inf) for g in limits if got.get(g) is None}
+    each, at = each.filter("v is not null and not isnan(v)"), marks(shares)
+    if known is None:
+        known = {r["g"]: (r["n"], r["p"]) for r in each.groupBy("g").agg(F.count("*").alias("n"), approximated(F.col("v"), shares).alias("p")).collect()}  # a row for each group
+    if sizes is not None:
+        sizes.update({g: n for g, (n, _) in known.items()})
+    whole = sum(n for n, _ in known.values()) <= gathered
+    wanted = {g: [r for r in places(n) if 0 <= r < n] for g, (n, _) in known.items()}
+    out: dict = {g: {} for g in known}
+    open_ = []
+    for g, (n, p) in known.items():
+        for r in dict.fromkeys(wanted[g]):
+            share = r / max(1, n - 1)
+            low = max((i for i, m in enumerate(at) if m <= share - 0.0001), default=None)
+            high = min((i for i, m in enumerate(at) if m >= share + 0.0001), default=None)
+            open_.append((g, r, -math.inf if whole or low is None else float(p[low]), math.inf if whole or high is None else float(p[high])))
+    kind = each.schema["g"].dataType.simpleString()
+    while open_:
+        brackets = F.broadcast(each.sparkSession.createDataFrame(open_, f"g {kind}, r long, low double, high double"))  # a row for each group and rank
+        inside = each.join(brackets, "g").filter("v <= high")
+        counts = inside.groupBy("g", "r", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v")).agg(F.count("*").alias("n"))
+        run = F.sum("n").over(Window.partitionBy("g", "r").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+        first = counts.withColumn("run", run).filter("run > r").groupBy("g", "r").agg(F.min_by("v", "run").alias("v"))
+        for row in first.collect():
+            if row["v"] is not None:
+                out[row["g"]][row["r"]] = row["v"]
+        # a bracket that missed its value is opened
+        open_ = [(g, r, -math.inf, math.inf) for g, r, *_ in open_ if r not in out[g]]
+    return {g: [out[g][r] for r in wanted[g]] for g in known}
+
+
+def upper_medians(points: DataFrame, by: str, column: dict[str, str], gathered: int = 50_000, known: dict | None = None) -> dict[str, float]:
+    """The upper median of each group, of the column that it is given."""
+    spark = points.sparkSession
+    kind = points.schema[by].dataType.simpleString()
+    named = F.broadcast(spark.createDataFrame(list(column.items()), f"{by} {kind}, _axis string"))  # a row for each group
+    v = F.when(F.col("_axis") == "x", F.col("x")).when(F.col("_axis") == "y", F.col("y")).otherwise(F.col("z")).cast("double")
+    each = points.join(named, by).select(F.col(by).alias("g"), v.alias("v"))
+    return {g: v[0] for g, v in group_ranks(each, [0.5], lambda n: [n // 2], known, gathered).items() if v}
+
+
+def quantiles(points: DataFrame, column: str, shares: list[float], by: str | None = None) -> dict:
+    """By group, the exact quantiles, between two neighbours by their distance; points: of one group (None) if by is None."""
+    g = F.col(by) if by else F.lit(0)
+    v = F.col(column).cast("double")
+    each = points.select(g.alias("g"), F.when(F.abs(v) < float("inf"), v).alias("v"))
+    sizes: dict = {}
+    found = group_ranks(each, shares, lambda n: [p for q in shares for p in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))], sizes=sizes)
+    out = {}
+    for key, values in found.items():
+        n = sizes[key]
+        out[key if by else None] = [low + (high - low) * (q * (n - 1) - math.floor(q * (n - 1))) for q, low, high in zip(shares, values[0::2], values[1::2], strict=True)]
     return out
 
 
@@ -142,19 +190,28 @@ def value_range(points: DataFrame, column: str, low: float = 0.02, high: float =
     """
     v = F.col(column).cast("double")
     v = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
-    r = points.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n"), F.percentile_approx(v, [low, high], 10000).alias("p")).first()
+    r = points.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n")).first()
     if not r["n"]:
         return 0.0, 1.0
-    a, b = (max(r["lo"], r["p"][0]), min(r["hi"], r["p"][1])) if r["n"] >= 5 else (r["lo"], r["hi"])
+    a, b = r["lo"], r["hi"]
+    if r["n"] >= 5 and a < b:
+        p = quantiles(points, column, [low, high])[None]
+        a, b = max(a, p[0]), min(b, p[1])
     if a >= b:
         a, b = r["lo"], r["hi"]
     return (a - 0.5, b + 0.5) if a == b else (a, b)
 
 
-def trimmed_spread(points: DataFrame, trim: float = 0.01, *by: str) -> DataFrame:
+def trimmed_spread(points: DataFrame, trim: float = 0.01, by: str | None = None, axes: tuple[str, ...] = AXES) -> DataFrame:
     """By axis, the extent without ``trim`` of the values at each end, scaled back to all of them."""
-    out = points.groupBy(*by).agg(*(F.percentile_approx(a, [trim, 1 - trim], 10000).alias(f"p_{a}") for a in AXES))
-    return out.select(*by, *((F.element_at(f"p_{a}", 2) - F.element_at(f"p_{a}", 1)).cast("double").alias(f"spread_{a}") / (1 - 2 * trim) for a in AXES))
+    g = F.col(by).cast("string") if by else F.lit("")
+    each = points.select(g.alias("k"), F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.col(a).cast("double").alias("v")) for a in axes))).alias("s"))
+    each = each.select(F.concat_ws("\x00", "s.a", "k").alias("g"), "s.v")
+    found = group_ranks(each, [trim, 1 - trim], lambda n: [int(n * trim), n - 1 - int(n * trim)])
+    keys = dict.fromkeys(g.partition("\x00")[2] for g in found)
+    rows = [(k, *((found[f"{a}\x00{k}"][1] - found[f"{a}\x00{k}"][0]) / (1 - 2 * trim) if f"{a}\x00{k}" in found else None for a in axes)) for k in keys]
+    out = points.sparkSession.createDataFrame(rows, ", ".join([f"{by or '_k'} string", *(f"spread_{a} double" for a in axes)]))
+    return out.withColumn(by, F.col(by).cast(points.schema[by].dataType)) if by else out.drop("_k")
 
 
 def face_area(prefix: str = "") -> Column:
@@ -173,10 +230,12 @@ SPLAT_CHILD_FACTOR = 1.001
 
 def clamped_errors(nodes: list[dict], factor: float = CHILD_FACTOR) -> dict[str, float]:
     """Errors by path; a node's is at least ``factor`` times each child's.  nodes: path, raw error."""
+    least: dict[str, float] = {}  # by path, what its children ask for
     out: dict[str, float] = {}
     for node in sorted(nodes, key=lambda r: -len(r["path"])):
-        kids = [e for p, e in out.items() if len(p) == len(node["path"]) + 1 and p.startswith(node["path"])]
-        out[node["path"]] = max([node["error"], *(factor * e for e in kids)])
+        path = node["path"]
+        out[path] = max(node["error"], least.get(path, -math.inf))
+        least[path[:-1]] = max(least.get(path[:-1], -math.inf), factor * out[path])
     return out
 
 

@@ -3,21 +3,37 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def cells(sizes: tuple[float | Column, ...]) -> dict[str, Column]:
+    """The numbers of a point's cell on a grid from the frame's origin."""
+    return {f"v{a}": F.floor(F.col(a) / s).cast("long") for a, s in zip("xyz", sizes, strict=True)}
+
+
+def occupied(points: DataFrame, sizes: tuple[float, float, float], levels: int) -> DataFrame:
+    """(level, cells): how many cells hold points, as their sides are halved at each level.
+
+    Cells are counted through those of the finest level, so points are shuffled once, after partial aggregation.
+    """
+    finest = points.select(*(c.alias(n) for n, c in cells(tuple(s / 2 ** (levels - 1) for s in sizes)).items())).distinct()
+    each = finest.select("*", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
+    up = {n: F.expr(f"shiftright({n}, {levels - 1} - level)") for n in ("vx", "vy", "vz")}
+    return each.select("level", *(c.alias(n) for n, c in up.items())).distinct().groupBy("level").agg(F.count("*").alias("cells"))
+
+
 def representatives(points: DataFrame, sizes: tuple[float, float, float] | float, ids: list[str], *by: str) -> DataFrame:
     """Of the points in each cell, the one nearest to its centre, ties to the smallest id.
 
     The grid starts at the frame's origin.  min_by is summed before the shuffle.
     """
     sizes = (sizes,) * 3 if isinstance(sizes, (int, float)) else sizes
-    cells = {f"v{a}": F.floor(F.col(a) / s).cast("long") for a, s in zip("xyz", sizes, strict=True)}
-    out = points.withColumns(cells)
+    at = cells(sizes)
+    out = points.withColumns(at)
     d = [F.col(a).cast("double") - (F.col(f"v{a}") + 0.5) * s for a, s in zip("xyz", sizes, strict=True)]
     best = F.min_by(F.struct(*points.columns), F.struct((d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).alias("d"), *ids))
-    return out.groupBy(*by, *cells).agg(F.count("*").alias("n_in_cell"), best.alias("p")).select(*cells, "n_in_cell", "p.*")
+    return out.groupBy(*by, *at).agg(F.count("*").alias("n_in_cell"), best.alias("p")).select(*at, "n_in_cell", "p.*")
 
 
 def choose(xyz: np.ndarray, target: int, seed: int = 0) -> np.ndarray:

@@ -142,8 +142,12 @@ def plan_exactly(points: DataFrame, levels: int) -> Plan:
     out = Plan([Node(ROOT)])
     for _ in range(levels):
         routed = out.routed(points)
-        axes = {r["leaf"]: r["axis"] for r in stats.variance_axis(routed, "leaf").collect()}  # a row for each leaf so far
-        splits = stats.upper_medians(routed, "leaf", axes)
+        # one pass for variances, counts and the quantiles that bracket the medians of all axes
+        marks = [stats.approximated(F.col(a).cast("double"), [0.5]).alias(f"p_{a}") for a in "xyz"]
+        found = routed.groupBy("leaf").agg(F.count("*").alias("n"), *stats.variances(), *marks).withColumn("axis", stats.widest(*(F.col(f"var_{a}") for a in "xyz")))
+        rows = {r["leaf"]: r for r in found.collect()}  # a row for each leaf so far
+        axes = {p: r["axis"] for p, r in rows.items()}
+        splits = stats.upper_medians(routed, "leaf", axes, known={p: (r["n"], r[f"p_{r['axis']}"]) for p, r in rows.items()})
         grown = [n for n in out.nodes.values() if not n.leaf]
         for path in out.leaves:
             if path not in axes:

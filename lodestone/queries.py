@@ -7,13 +7,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import model
 from .functions import colour, frames, scalar
+from .job import ship
 from .operators import knn, raster, sample, stats, transforms, voxel
-from .plans import kd
+from .operators import splats as operators_splats
+from .plans import kd, splats
+from .sinks import tileset
+from .sources import geotiff
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -109,8 +115,8 @@ def weighted_median(spark, sf_dir):
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.02), 4) AS low, round(quantile_cont(l_extendedprice, 0.98), 4) AS high FROM lineitem GROUP BY l_returnflag")
 def percentile_stretch(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_extendedprice", F.array(F.lit(0.02), F.lit(0.98))).alias("p"))
-    return rounded(t.select("l_returnflag", F.get("p", F.lit(0)).alias("low"), F.get("p", F.lit(1)).alias("high")), 4, "low", "high")
+    found = stats.quantiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", [0.02, 0.98], "l_returnflag")
+    return rounded(spark.createDataFrame([(k, *v) for k, v in found.items()], "l_returnflag string, low double, high double"), 4, "low", "high")
 
 
 @query(
@@ -118,12 +124,9 @@ def percentile_stretch(spark, sf_dir):
 SELECT l_returnflag, round((max(CASE WHEN k = n - n // 100 THEN v END) - max(CASE WHEN k = n // 100 + 1 THEN v END)) / 0.98, 4) AS spread FROM q GROUP BY l_returnflag"""
 )
 def trimmed_spread(spark, sf_dir):
-    w = Window.partitionBy("l_returnflag")
-    each = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", F.col("l_extendedprice").alias("v")).agg(F.count("*").alias("m"))
-    ran = each.withColumn("upto", F.sum("m").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("m").over(w))
-    low = F.min(F.when(F.col("upto") >= F.floor(F.col("n") / 100) + 1, F.col("v")))
-    high = F.min(F.when(F.col("upto") >= F.col("n") - F.floor(F.col("n") / 100), F.col("v")))
-    return ran.groupBy("l_returnflag").agg(F.round((high - low) / 0.98, 4).alias("spread"))
+    t = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("x"))
+    out = stats.trimmed_spread(t, 0.01, "l_returnflag", ("x",))
+    return out.select("l_returnflag", F.round("spread_x", 4).alias("spread"))
 
 
 # ---------------------------------------------------------------- plan and route
@@ -172,9 +175,12 @@ def lod_tiles(spark, sf_dir):
 
 @query(_TWO_LEVELS + ", s AS (SELECT substring(leaf, 1, i) AS path FROM l2, range(1, 4) t(i)), u AS (SELECT DISTINCT path FROM s) SELECT a.path, count(*) AS tiles FROM u a JOIN u b ON starts_with(b.path, a.path) GROUP BY a.path")
 def subtree_sizes(spark, sf_dir):
-    leaves = _routed(spark, sf_dir).select("leaf").distinct()
-    tiles = leaves.select(F.explode(F.expr("transform(sequence(1, length(leaf)), i -> substring(leaf, 1, i))")).alias("tile")).distinct()
-    return tiles.select(F.explode(F.expr("transform(sequence(1, length(tile)), i -> substring(tile, 1, i))")).alias("path")).groupBy("path").agg(F.count("*").alias("tiles"))
+    found = kd.leaf_stats(_routed(spark, sf_dir)).collect()  # a row for each leaf
+    rows = {r["leaf"]: r.asDict() | {"path": r["leaf"]} for r in found}
+    for path in {p[:i] for p in rows for i in range(1, len(p))}:
+        rows[path] = next(r for p, r in rows.items() if p.startswith(path)) | {"path": path}
+    sizes = tileset.subtree_sizes(tileset.tree(list(rows.values()), "glb"))
+    return spark.createDataFrame(list(sizes.items()), "path string, tiles long")
 
 
 @query(
@@ -210,9 +216,7 @@ def voxel_representative(spark, sf_dir):
 SELECT CAST(level AS INTEGER) AS level, count(*) AS cells FROM (SELECT DISTINCT * FROM l) GROUP BY level"""
 )
 def voxel_levels(spark, sf_dir):
-    p = points(spark, sf_dir).select("x", "y", "z", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("level"))
-    cells = {f"v{a}": F.floor(F.col(a) / (F.lit(float(s)) / F.pow(F.lit(2.0), F.col("level")))) for a, s in zip("xyz", (16, 32, 8), strict=True)}
-    return p.withColumns(cells).select("level", *cells).distinct().groupBy("level").agg(F.count("*").alias("cells"))
+    return voxel.occupied(points(spark, sf_dir), (16.0, 32.0, 8.0), 4)
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE ((l_orderkey * 2654435761) % 100 + 100) % 100 < 30")
@@ -465,17 +469,36 @@ def mutual_best_edges(spark, sf_dir):
     return rounded(knn.mutual_best(knn.grid_neighbours(_spots(spark, sf_dir), "id", 2.0)), 6, "d2")
 
 
+_PART_SPLATS = """splats AS (SELECT p_partkey AS k, p_partkey % 16 AS cluster, p_size * 1.0 AS x, p_retailprice / 100 AS y, CAST(p_partkey % 7 AS DOUBLE) AS z, 1 + (p_partkey % 5) / 10 AS sx, 1 + (p_partkey % 3) / 10 AS sy, 1 + (p_partkey % 4) / 10 AS sz,
+0.1 + (p_partkey % 11) / 20 AS o, (p_partkey % 13) / 13 AS red FROM part), w AS (SELECT *, o * (sx * sy + sx * sz + sy * sz) / 3 AS w FROM splats)"""
+
+
+def part_splats(spark, sf_dir) -> DataFrame:
+    """Parts as splats along the axes."""
+    k = F.col("p_partkey")
+    one, none = F.lit(1.0), F.lit(0.0)
+    columns = {"source_index": k, "cx": F.col("p_size").cast("double"), "cy": F.col("p_retailprice") / 100, "cz": (k % 7).cast("double"), "qw": one, "qx": none, "qy": none, "qz": none}
+    columns |= {"sx": 1 + k % 5 / 10, "sy": 1 + k % 3 / 10, "sz": 1 + k % 4 / 10, "opacity": 0.1 + k % 11 / 20, "sh0_r": k % 13 / 13, "sh0_g": none, "sh0_b": none, "sh_rest": F.array().cast("array<struct<r:double,g:double,b:double>>")}
+    return table(spark, sf_dir, "part").select(*(c.alias(n) for n, c in columns.items()))
+
+
 @query(
-    f"""WITH {POINTS} SELECT l_suppkey % 16 AS cluster, round(sum(intensity), 2) AS weight, round(sum(intensity*x)/sum(intensity), 4) AS cx, round(sum(intensity*y)/sum(intensity), 4) AS cy, round(sum(intensity*z)/sum(intensity), 4) AS cz,
-round(sum(intensity*x*y)/sum(intensity) - sum(intensity*x)/sum(intensity)*sum(intensity*y)/sum(intensity), 4) AS cov_xy, round(1 - exp(sum(ln(1 - l_tax/100))), 6) AS opacity FROM points GROUP BY ALL"""
+    f"""WITH {_PART_SPLATS}, m AS (SELECT cluster, sum(w) AS t, sum(w * x) / sum(w) AS cx, sum(w * y) / sum(w) AS cy, sum(w * z) / sum(w) AS cz, sum(w * (x * x + y * y + z * z + sx * sx + sy * sy + sz * sz)) / sum(w) AS second,
+1 - exp(sum(ln(1 - o))) AS opacity, sum(w * red) / sum(w) AS red, min(k) AS first FROM w GROUP BY cluster)
+SELECT cluster, first, round(cx, 5) AS cx, round(cy, 5) AS cy, round(cz, 5) AS cz, round(second - cx * cx - cy * cy - cz * cz, 4) AS spread, round(opacity, 6) AS opacity, round(red, 6) AS red FROM m"""
 )
 def gaussian_merge_moments(spark, sf_dir):
-    w = F.col("intensity")
-    mean = lambda e: F.sum(w * e) / F.sum(w)
-    x, y, z = F.col("x"), F.col("y"), F.col("z")
-    aggs = [F.sum(w).alias("weight"), mean(x).alias("cx"), mean(y).alias("cy"), mean(z).alias("cz"), (mean(x * y) - mean(x) * mean(y)).alias("cov_xy"), (1 - F.exp(F.sum(F.log(1 - F.col("l_tax") / 100)))).alias("opacity")]
-    out = points(spark, sf_dir).groupBy((F.col("l_suppkey") % 16).alias("cluster")).agg(*aggs)
-    return rounded(rounded(rounded(out, 2, "weight"), 4, "cx", "cy", "cz", "cov_xy"), 6, "opacity")
+    """Splats of a cluster as one: first index, centre, sum of variances, opacity, colour."""
+
+    def merge(t: pa.Table) -> pa.Table:
+        s = splats.as_arrays(t.sort_by("source_index"))
+        one = operators_splats.merged(s, np.arange(len(s))[None])
+        row = [t.column("cluster")[0].as_py(), one.index[0], *one.centre[0], (one.scale[0] ** 2).sum(), one.opacity[0], one.sh0[0, 0]]
+        return pa.table({n: [v] for n, v in zip(("cluster", "first", "cx", "cy", "cz", "spread", "opacity", "red"), row, strict=True)})
+
+    each = part_splats(spark, sf_dir).withColumn("cluster", F.col("source_index") % 16)
+    out = each.groupBy("cluster").applyInArrow(merge, "cluster long, first long, cx double, cy double, cz double, spread double, opacity double, red double")
+    return rounded(rounded(rounded(out, 5, "cx", "cy", "cz"), 4, "spread"), 6, "opacity", "red")
 
 
 # ---------------------------------------------------------------- output values
@@ -503,10 +526,16 @@ SELECT s_name, h AS md5, CAST(row_number() OVER (ORDER BY a, b) AS INTEGER) AS p
 )
 def archive_index_order(spark, sf_dir):
     """Names in the order of an archive's index: by both halves of their MD5 as little-endian numbers."""
-    t = table(spark, sf_dir, "supplier").select("s_name", F.md5("s_name").alias("md5"))
-    half = lambda first: F.concat(*(F.substring("md5", first + i, 2) for i in range(14, -2, -2)))
-    ranked = t.withColumns({"a": half(1), "b": half(17)})
-    return ranked.select("s_name", "md5", F.row_number().over(Window.orderBy("a", "b")).alias("place"))
+
+    def keys(batches):
+        for b in batches:
+            names = b.column(0).to_pylist()
+            both = [tileset.index_order(n) for n in names]
+            yield pa.RecordBatch.from_pydict({"s_name": names, "a": [f"{x:016x}" for x, _ in both], "b": [f"{y:016x}" for _, y in both]})
+
+    ship(spark)
+    ranked = table(spark, sf_dir, "supplier").select("s_name").mapInArrow(keys, "s_name string, a string, b string")
+    return ranked.select("s_name", F.md5("s_name").alias("md5"), F.row_number().over(Window.orderBy("a", "b")).alias("place"))
 
 
 @query("SELECT DISTINCT p_type, lower(regexp_replace(p_type, '\\s+', '', 'g')) AS canonical, upper(regexp_replace(lower(regexp_replace(p_type, '\\s+', '', 'g')), '[^a-z0-9_]', '_', 'g')) AS output FROM part")
@@ -520,17 +549,17 @@ def output_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_brand").distinct().select("p_brand", model.output_name_column(F.col("p_brand"), "glb").alias("output"))
 
 
-@query("SELECT CAST(n AS BIGINT) AS read, CAST(kept AS BIGINT) AS kept, CAST(n - kept AS BIGINT) AS skipped FROM (SELECT count(*) AS n, count(*) FILTER (l_discount >= 0.05) AS kept FROM lineitem)")
+@query(
+    f"""WITH {_CELLS}, {_OVER}, m AS (SELECT a FROM over_cells LEFT JOIN cells ON col = CAST(floor(x) AS INTEGER) AND "row" = CAST(floor(y) AS INTEGER))
+SELECT count(*) FILTER (a >= 100) AS coloured, count(*) FILTER (a IS NULL) AS missing, count(*) FILTER (a < 100) AS transparent FROM m"""
+)
 def row_counts(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem").agg(F.count("*").alias("read"), F.count_if(F.col("l_discount") >= 0.05).alias("kept"))
-    return t.withColumn("skipped", F.col("read") - F.col("kept"))
+    """How many points an image coloured, missed, or met with transparent cells."""
+    return geotiff.outcome(raster.nearest_cells(_over_cells(spark, sf_dir), _cells(spark, sf_dir), (0.0, 0.0), (1.0, 1.0)), 100)
 
 
-@query("SELECT CAST(max(greatest(abs(l_quantity), abs(l_extendedprice / 1000), abs(l_discount * 100))) AS DOUBLE) AS most, CAST(greatest(0, least(24, 23 - ceil(log2(max(greatest(abs(l_quantity), abs(l_extendedprice / 1000), abs(l_discount * 100))))))) AS INTEGER) AS fraction_bits FROM lineitem")
+@query("SELECT c_custkey, CAST((SELECT max(b) FROM range(0, 13) t(b) WHERE floor(abs(c_acctbal) * c_custkey * 2 ** b + 0.5) <= 8388607) AS INTEGER) AS fraction_bits FROM customer")
 def fixed_point_bits(spark, sf_dir):
     """Fractional bits that 24-bit positions can have."""
-    most = F.max(F.greatest(*(F.abs(a) for a in "xyz")))
-    out = points(spark, sf_dir).agg(most.alias("most"))
-    return out.withColumn("fraction_bits", scalar.fraction_bits(F.col("most")))
-
-
+    t = table(spark, sf_dir, "customer")
+    return t.select("c_custkey", scalar.fraction_bits(F.abs("c_acctbal") * F.col("c_custkey")).alias("fraction_bits"))
