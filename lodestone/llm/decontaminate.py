@@ -22,7 +22,8 @@ from .words import ALNUM, Block, shingle_numbers
 
 WINDOW = 13
 SHINGLE = 5
-INDEX_BYTES = 16 << 20  # of benchmark text sent to each task at once; more goes in several passes
+INDEX_BYTES = 64 << 20  # of memory that the index sent to each task may take; more goes in several passes
+EACH = 16  # bytes of an index for each byte of benchmark text, at most (words of a letter and a space apart take more)
 
 _ADDED = [
     T.StructField("n_words", T.LongType()),
@@ -32,35 +33,71 @@ _ADDED = [
 
 
 class _Windows:
-    """The distinct windows of some items, each as its words, and whose they are."""
+    """The distinct windows of some items, as places in the items' words, and whose they are.
+
+    Windows are told apart by 64-bit numbers of their words; nothing is kept for a window but numbers.
+    """
 
     def __init__(self, rows: list[tuple[str | None, bytes]], window: int):
-        owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        for item, text in rows:
-            block = Block([text], ALNUM)
-            words = [block.text_of(i) for i in range(len(block.word))]
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                owners[tuple(words[i : i + window])] |= set() if item is None else {item}
-        self.words = list(owners)
-        self.items = [sorted(x) for x in owners.values()]
-        flat = Block([b" ".join(w) for w in self.words], ALNUM)
-        self.numbers = [flat.word[a:b] for a, b in zip(flat.first[:-1], flat.first[1:], strict=True)]
-        self.k = [min(SHINGLE, len(w)) for w in self.words]
-        self.shingles = [shingle_numbers(n, k) for n, k in zip(self.numbers, self.k, strict=True)]
-        self.every = {k: np.unique(np.concatenate([s for s, j in zip(self.shingles, self.k, strict=True) if j == k])) for k in set(self.k)}
+        self.items = [i for i, _ in rows]
+        self.block = Block([t for _, t in rows], ALNUM)
+        n = np.diff(self.block.first)
+        many = np.where(n > 0, np.maximum(1, n - window + 1), 0)
+        text = np.repeat(np.arange(len(rows)), many)
+        begin = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many) + self.block.first[text]
+        size = np.minimum(n[text], window)
+        number = np.zeros(len(text), dtype=np.uint64)
+        for s in np.unique(size).tolist():
+            mine = np.flatnonzero(size == s)
+            number[mine] = shingle_numbers(self.block.word, s)[begin[mine]]
+        order = np.lexsort((text, number, size))
+        text, begin, size, number = text[order], begin[order], size[order], number[order]
+        new = np.r_[True, (size[1:] != size[:-1]) | (number[1:] != number[:-1])] if len(text) else np.zeros(0, dtype=bool)
+        self.first = np.flatnonzero(new)
+        self.begin, self.size, self.k = begin[self.first], size[self.first], np.minimum(SHINGLE, size[self.first])
+        self.text, self.first = text, np.r_[self.first, len(text)]  # window w is of texts text[first[w]:first[w + 1]]
+        self.numbers = {k: shingle_numbers(self.block.word, k) for k in np.unique(self.k).tolist()}
+        self.every = {k: np.unique(np.concatenate([self._shingles(k, s)[1].reshape(-1) for s in self._sizes(k)])) for k in self.numbers}
+
+    def __len__(self) -> int:
+        return len(self.begin)
+
+    def _sizes(self, k: int) -> list[int]:
+        return np.unique(self.size[self.k == k]).tolist()
+
+    def _shingles(self, k: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The windows of this size, and a row of shingles for each."""
+        mine = np.flatnonzero(self.size == size)
+        return mine, self.numbers[k][self.begin[mine][:, None] + np.arange(size - k + 1)]
+
+    def rarest(self, counts: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, ...]]:
+        """By size of shingle: the joined shingles, sorted, where the windows of each begin in the next two, the windows, and the shingle's place in them."""
+        out = {}
+        for k, every in self.every.items():
+            rank = np.empty(len(every), dtype=np.int64)
+            rank[np.lexsort((every, counts[k]))] = np.arange(len(every))
+            found = []
+            for size in self._sizes(k):
+                mine, shingles = self._shingles(k, size)
+                at = np.searchsorted(every, shingles)
+                place = rank[at].argmin(axis=1)
+                found.append((at[np.arange(len(mine)), place], mine, place))
+            at, mine, place = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(at, kind="stable")
+            used, start = np.unique(at[order], return_index=True)
+            out[k] = every[used], np.r_[start, len(at)], mine[order], place[order]
+        return out
+
+    def owners(self, w: int) -> set[str]:
+        return {self.items[t] for t in self.text[self.first[w] : self.first[w + 1]].tolist()} - {None}
 
 
 class _Index:
-    """By size of shingle: the joined shingles, sorted, and for each its windows and its place in them."""
+    """The windows and the shingles by which they are joined."""
 
     def __init__(self, windows: _Windows, counts: dict[int, np.ndarray]):
-        self.windows = windows
-        found: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for w, (s, k) in enumerate(zip(windows.shingles, windows.k, strict=True)):
-            n = counts[k][np.searchsorted(windows.every[k], s)]
-            place = int(np.lexsort((s, n))[0])
-            found[k][int(s[place])].append((w, place))
-        self.by_k = {k: (np.array(sorted(x), dtype=np.uint64), [x[s] for s in sorted(x)]) for k, x in found.items()}
+        self.windows, self.by_k = windows, windows.rarest(counts)
+        windows.numbers = windows.every = None
 
 
 def _probe(sorted_: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,20 +131,20 @@ def _found(block: Block, index: _Index) -> tuple[list[tuple[int, int]], dict[int
     """Word runs of the block that are windows, and by text the items."""
     spans, items = [], defaultdict(set)
     windows = index.windows
-    for k, (shingles, users) in index.by_k.items():
+    for k, (shingles, start, users, places) in index.by_k.items():
         where, which = _probe(shingles, shingle_numbers(block.word, k))
         if not len(where):
             continue
         text = np.searchsorted(block.first, where, "right") - 1
         for i, s, t in zip(where.tolist(), which.tolist(), text.tolist(), strict=True):
             low, high = block.first[t], block.first[t + 1]
-            for w, place in users[s]:
-                begin, size = i - place, len(windows.words[w])
-                if begin < low or begin + size > high or not np.array_equal(block.word[begin : begin + size], windows.numbers[w]):
+            for w, place in zip(users[start[s] : start[s + 1]].tolist(), places[start[s] : start[s + 1]].tolist(), strict=True):
+                begin, at, size = i - place, int(windows.begin[w]), int(windows.size[w])
+                if begin < low or begin + size > high or not np.array_equal(block.word[begin : begin + size], windows.block.word[at : at + size]):
                     continue
-                if all(block.text_of(begin + j) == x for j, x in enumerate(windows.words[w])):
+                if all(block.text_of(begin + j) == windows.block.text_of(at + j) for j in range(size)):
                     spans.append((begin, begin + size))
-                    items[t].update(windows.items[w])
+                    items[t] |= windows.owners(w)
     return spans, items
 
 
@@ -166,31 +203,33 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, te
     Every row of docs gives one row, repeated ones and those without an id too.
     Null and empty texts have no words.  Items with null or wordless texts
     have no windows; those without an id hit, but aren't listed in items.  An item may stand in several rows.
-    An empty benchmark hits nothing.  A column of docs that has the name of a
+    An empty benchmark hits nothing.  Very long texts are read whole, in blocks.  A column of docs that has the name of a
     result is replaced by it.
 
     The benchmark goes to the tasks as an index of its windows, in as many parts
-    of ``index_bytes`` of its text as it takes; each part is one pass in the same
+    of at most about ``index_bytes`` in memory as it takes; each part is one pass in the same
     stage.  Nothing is shuffled but counts by shingle of the benchmark.
     """
     ship(spark)
     sc = spark.sparkContext
     docs = docs.drop("n_words", "n_hit", "spans", "items", "contaminated")
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).filter("t is not null")
-    parts = 1 + (items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // index_bytes
+    parts = 1 + EACH * (items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // index_bytes
     names = list(docs.columns)
     out = docs
     schema = T.StructType([*docs.schema.fields, *_ADDED])
     for part in range(parts):
         some = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part)
         windows = _Windows([(r.i, r.t.encode()) for r in some.toLocalIterator()], window)
-        if not windows.words and part < parts - 1:
+        if not len(windows) and part < parts - 1:
             continue
         counts = {k: np.zeros(len(s), dtype=np.int64) for k, s in windows.every.items()}
-        if windows.words:
+        if len(windows):
             counted = docs.select(text_col).mapInArrow(_counting(sc.broadcast(windows.every)), "k int, at long, n long")
-            for r in counted.groupBy("k", "at").agg(F.sum("n").alias("n")).collect():  # a row for each shingle of this part at most
-                counts[r.k][r.at] = r.n
+            got = counted.groupBy("k", "at").agg(F.sum("n").alias("n")).toArrow()  # a row for each shingle of this part at most
+            which, at, n = (got.column(c).to_numpy() for c in ("k", "at", "n"))
+            for k, mine in counts.items():
+                mine[at[which == k]] = n[which == k]
         out = out.mapInArrow(_marking(sc.broadcast(_Index(windows, counts)), text_col), schema)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     out = out.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
