@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, ship, text_bytes
+from ..operators.sample import sample_rows
+from .common import Workspace, blocks, ship, text_bytes
 from .words import SPACED, Block
 
 WORDS = 1 << 15
@@ -22,6 +23,7 @@ BINS = 16
 STATS = 10
 RANK = 8
 SAMPLE = 8000  # labelled rows that the model is fitted on, at most
+FEATURES = 20_000_000  # features that these have together, at most
 CUT = 0.3
 
 _KIND = np.zeros(256, dtype=np.uint8)
@@ -125,17 +127,15 @@ def _numbers(batch: pa.RecordBatch, columns: list[str]) -> list[np.ndarray]:
     return [np.array([np.nan if x is None else float(x) for x in batch.column(c).to_pylist()]) for c in columns]
 
 
-def _gathered(text_col: str, metadata: list[str]):
-    def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in items:
-            texts, extra = text_bytes(batch.column(text_col)), _numbers(batch, metadata)
-            for a, b in blocks(texts):
-                text, feature, value = features(texts[a:b], [m[a:b] for m in extra])
-                cut = np.searchsorted(text, np.arange(b - a + 1))
-                both = [(feature[x:y].astype("<i4").tobytes(), value[x:y].astype("<f4").tobytes()) for x, y in zip(cut, cut[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column("_order").slice(a, b - a), batch.column("_label").slice(a, b - a), *(pa.array(x, pa.binary()) for x in zip(*both, strict=True))], names=["_order", "_label", "f", "x"])
-
-    return run
+def _gathered(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, label, f, x): features and values of rows (place, label, text, metadata ...)."""
+    for batch in items:
+        texts, extra = text_bytes(batch.column("text")), _numbers(batch, batch.schema.names[3:])
+        for a, b in blocks(texts):
+            text, feature, value = features(texts[a:b], [m[a:b] for m in extra])
+            cut = np.searchsorted(text, np.arange(b - a + 1))
+            both = [(feature[x:y].astype("<i4").tobytes(), value[x:y].astype("<f4").tobytes()) for x, y in zip(cut, cut[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("place", "label")), *(pa.array(x, pa.binary()) for x in zip(*both, strict=True))], names=["place", "label", "f", "x"])
 
 
 def _scored(shared, text_col: str, metadata: list[str]):
@@ -151,26 +151,32 @@ def _scored(shared, text_col: str, metadata: list[str]):
     return run
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", metadata: tuple[str, ...] = ("n_chars",), sample: int = SAMPLE) -> Machine:
-    """Fit on at most ``sample`` labelled rows, those whose ids have the smallest hashes.
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", metadata: tuple[str, ...] = ("n_chars",), sample: int = SAMPLE, most: int = FEATURES) -> Machine:
+    """Fit on at most ``sample`` labelled ids, those with the smallest hashes, and of these on the first that have ``most`` features together.
 
-    Ids, nulls and labels other than 0 and 1 apart, any label row counts, repeated ones too.
-    Without any, the model scores 0.5.
+    Ids, nulls and labels other than 0 and 1 apart, any label counts; repeated label rows count once, and so do rows of docs that share
+    an id: one of their texts is taken.  Without any, the model scores 0.5.  Columns of any other names may be there.
     """
-    ship(spark)
-    some = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).filter("_id is not null and _label in (0, 1)")
-    some = some.withColumn("_order", F.xxhash64(F.col("_id").cast("string"))).orderBy("_order", "_id", "_label").limit(sample)
-    joined = docs.join(F.broadcast(some), docs[id_col] == some["_id"])  # at most ``sample`` rows of three numbers
-    got = joined.select(text_col, *metadata, "_order", "_label").mapInArrow(_gathered(text_col, list(metadata)), "_order long, _label int, f binary, x binary")
-    rows = sorted(got.collect(), key=lambda r: (r["_order"], r["_label"], r["f"], r["x"]))
+    ws = Workspace(spark, "quality")
+    some = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
+    some = sample_rows(some.distinct(), sample, ["id"]).withColumn("place", F.xxhash64(F.col("id").cast("string")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(m).alias(f"m{i}") for i, m in enumerate(metadata)))
+    rows = rows.join(F.broadcast(some), "id").select("place", "label", "text", *(f"m{i}" for i in range(len(metadata))))  # at most ``sample`` rows of three numbers
+    got = rows.mapInArrow(_gathered, "place long, label int, f binary, x binary")
+    got = ws.keep(got.groupBy("place", "label").agg(F.min(F.struct("f", "x")).alias("v")).select("place", "label", "v.*"), "sample")
+    # at most ``sample`` rows of two numbers, and then of ``most`` features
+    sizes = sorted((r.place, r.label, r.n) for r in got.select("place", "label", (F.octet_length("f") / 4).cast("long").alias("n")).collect())
+    kept = int(np.searchsorted(np.cumsum([n for *_, n in sizes]), most, "right"))
+    rows = sorted(got.filter(F.col("place") <= sizes[kept - 1][0]).toLocalIterator(), key=lambda r: (r["place"], r["label"]))[:kept] if kept else []
     pairs = [(np.frombuffer(r["f"], dtype="<i4"), np.frombuffer(r["x"], dtype="<f4").astype(np.float64)) for r in rows]
-    return Machine.fit(size(len(metadata)), pairs, np.array([r["_label"] for r in rows], dtype=np.float64))
+    return Machine.fit(size(len(metadata)), pairs, np.array([r["label"] for r in rows], dtype=np.float64))
 
 
 def score(spark: SparkSession, docs: DataFrame, machine: Machine, text_col: str = "text", metadata: tuple[str, ...] = ("n_chars",), cut: float = CUT) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score >= cut, else 0).
 
-    Null texts count as empty, null metadata as 0.  Every row gets a score.
+    Null texts count as empty, null metadata as 0.  Every row gets a score, repeated ones too, and very long texts
+    are read whole.  No rows give no rows.
     Columns named score and predicted are replaced.
     """
     ship(spark)
