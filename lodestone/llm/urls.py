@@ -127,21 +127,25 @@ class Rules:
             self.by_host.setdefault(host.translate(_UPPER), []).append((slash + path, rule, verdict))
         for mine in self.by_host.values():
             mine.sort(key=lambda r: -len(r[1]))
+        self.labels = max((h.count(".") + 1 for h in self.by_host), default=0)  # of the longest host of a rule
 
     def of(self, host: str, path: str) -> tuple[str | None, str | None]:
-        best, labels = (None, None), host.split(".") if host else []
-        for i in range(len(labels)):
-            for prefix, rule, verdict in self.by_host.get(".".join(labels[i:]), ()):
+        best, at = (None, None), len(host)
+        for _ in range(self.labels if host else 0):  # the host's last label, its last two, ...
+            at = host.rfind(".", 0, at)
+            for prefix, rule, verdict in self.by_host.get(host[at + 1 :], ()):
                 if path.startswith(prefix):
                     if best[0] is None or len(rule) > len(best[0]):
                         best = rule, verdict
                     break
+            if at < 0:
+                break
         return best
 
 
 def ngrams(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(url, feature) for each character n-gram of host and path, which count apart."""
-    rows, found = [], []
+    rows, found = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     for salt, parts in enumerate((hosts, paths)):
         texts = [b"^" + p.encode("utf-8", "replace") + b"$" for p in parts]
         data = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.uint64)
@@ -212,7 +216,8 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str
 
     Null URLs and those without ``://`` have an empty host and path, which no
     rule fits; the regression judges them as it does any.  Every row is
-    judged by itself, repeated ones too.  Columns of the results' names are replaced.
+    judged by itself, repeated ones too.  Very long URLs are judged whole, in time that grows with
+    their length.  No rows give no rows.  Columns of the results' names are replaced.
     """
     ship(spark)
     pages = pages.drop("host", "path", "rule", "verdict", "score")
