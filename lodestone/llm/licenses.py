@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import blocks, ship, text_bytes
@@ -132,11 +134,11 @@ def align(template: np.ndarray, words: np.ndarray, shift: int, band: int = BAND)
 
 def _matches(words: np.ndarray, hits: list[tuple[int, int]], template: np.ndarray, coverage: float) -> list[np.ndarray]:
     """Aligned places for each place where enough of the template stands; hits: (place in words, place in template)."""
-    found, tried = [], set()
+    found, tried, known = [], set(), bytearray(len(words))
     for at, place in sorted(hits, key=lambda h: (h[0] - h[1], h[0])):
         shift = at - place
-        if shift in tried or any(x[0] <= at <= x[-1] for x in found):
-            continue  # within one that is known
+        if shift in tried or known[at]:
+            continue  # within one that is found
         tried.add(shift)
         window = words[max(0, shift) : shift + len(template)]
         if shift >= 0 and len(window) == len(template) and (window == template).all():
@@ -150,14 +152,25 @@ def _matches(words: np.ndarray, hits: list[tuple[int, int]], template: np.ndarra
             places = align(template, near, shift - low) + low
         if len(places) / len(template) >= coverage:
             found.append(places)
+            first, last = int(places[0]), int(places[-1])
+            known[first : last + 1] = b"\1" * (last + 1 - first)
     return found
 
 
-def _other_stands(index: Index, t: int, places: np.ndarray, found: list[tuple[int, np.ndarray]]) -> bool:
-    """Whether a match without an unbroken run of SHINGLE words is another template, of which more words stand there."""
-    if (places[SHINGLE - 1 :] - places[: 1 - SHINGLE] == SHINGLE - 1).any() or len(places) == len(index.words[t]) == places[-1] - places[0] + 1:
-        return False
-    return any(u != t and len(x) > len(places) and x[0] <= places[-1] and places[0] <= x[-1] for u, x in found)
+class _Stood:
+    """The matches in one text, by where they begin."""
+
+    def __init__(self, found: list[tuple[int, np.ndarray]]):
+        self.found = sorted(found, key=lambda f: int(f[1][0]))
+        self.first = [int(x[0]) for _, x in self.found]
+        self.wide = max((int(x[-1] - x[0]) for _, x in found), default=0)
+
+    def other(self, index: Index, t: int, places: np.ndarray) -> bool:
+        """Whether a match without an unbroken run of SHINGLE words is another template, of which more words stand there."""
+        if (places[SHINGLE - 1 :] - places[: 1 - SHINGLE] == SHINGLE - 1).any() or len(places) == len(index.words[t]) == places[-1] - places[0] + 1:
+            return False
+        near = self.found[bisect_left(self.first, int(places[0]) - self.wide) : bisect_right(self.first, int(places[-1]))]
+        return any(u != t and len(x) > len(places) and x[0] <= places[-1] and places[0] <= x[-1] for u, x in near)
 
 
 def _scanning(shared, column: str, keys: list[str], coverage: float):
@@ -182,12 +195,13 @@ def _scanning(shared, column: str, keys: list[str], coverage: float):
                     matches[text] += [(t, places) for places in _matches(words, hits, index.words[t], coverage)]
                 for text, mine in matches.items():
                     first, base = int(block.first[text]), int(block.offset[text])
-                    head = lambda x: len(texts[a + text][: int(x) - base].decode("utf-8", "ignore"))  # noqa: B023, E731
+                    raw = np.frombuffer(texts[a + text], dtype=np.uint8)
+                    chars, stood = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)], _Stood(mine)  # code points before each byte
                     for t, places in mine:
-                        if index.short(t) and _other_stands(index, t, places, mine):
+                        if index.short(t) and stood.other(index, t, places):
                             continue
                         rows.append(a + text)
-                        out.append((index.names[t], t, len(places) / len(index.words[t]), head(block.start[first + places[0]]), head(block.end[first + places[-1]])))
+                        out.append((index.names[t], t, len(places) / len(index.words[t]), int(chars[block.start[first + places[0]] - base]), int(chars[block.end[first + places[-1]] - base])))
             if rows:
                 kinds = (pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int64())
                 taken = pa.Table.from_batches([batch.select(keys)]).take(pa.array(rows)).combine_chunks()
@@ -209,10 +223,12 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, id_
     put in between may break all of these runs.  One without five unbroken words gives no row where more words
     of another template stand.
 
-    Null and empty texts give no row; repeated rows give theirs each.  A text may
-    match several templates in one place.
+    Null and empty texts and an empty table give no row; repeated rows give theirs each, and rows without an id too.  A text may
+    match several templates in one place.  Very long texts are scanned whole, in time that
+    grows with their length and matches.  Other columns than id and text are left out, whatever their names.
     """
     ship(spark)
     field = lambda n, t: T.StructField(n, t)
-    schema = T.StructType([docs.select(id_col).schema.fields[0], field("license", T.StringType()), field("template", T.IntegerType()), field("coverage", T.DoubleType()), field("start", T.LongType()), field("end", T.LongType())])
-    return docs.select(id_col, text_col).mapInArrow(_scanning(spark.sparkContext.broadcast(Index(list(templates), coverage)), text_col, [id_col], coverage), schema)
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = T.StructType([docs.schema["doc_id"], field("license", T.StringType()), field("template", T.IntegerType()), field("coverage", T.DoubleType()), field("start", T.LongType()), field("end", T.LongType())])
+    return docs.mapInArrow(_scanning(spark.sparkContext.broadcast(Index(list(templates), coverage)), "text", ["doc_id"], coverage), schema)
