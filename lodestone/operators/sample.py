@@ -13,12 +13,14 @@ def hash_order(ids: list[str], seed: int = 0):
 
 
 def sample_rows(df: DataFrame, k: int, ids: list[str], seed: int = 0) -> DataFrame:
-    """k rows, each with the same chance: those whose hashes are the smallest.
+    """k rows, each with the same chance: those whose hashes are the smallest; all, in any order, if there are no more.
 
     Rows are counted, and only those with a hash below a bound that leaves few more than k are put in
     order, so that the task that does this gets little more than it returns.
     """
     order, n = hash_order(ids, seed), df.count()
+    if n <= k:
+        return df
     share = (k + 10 * math.sqrt(k) + 100) / max(n, 1)
     if share < 1:
         few = df.filter(order < int(share * 2**64) - 2**63)

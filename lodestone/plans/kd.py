@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +19,7 @@ SAMPLE = 3_000_000
 POINTS_PER_TILE = 50_000
 SELECTED = 0.66  # share of the root's points that each tile inserted below it takes
 ROOT = "0"
+GROUP = 1_000_000  # points of a subtree that one task takes
 CASES = 256  # leaves up to which routing is one nested CASE; beyond about 500 Arrow batches get faster
 
 
@@ -134,7 +134,9 @@ def plan(points: DataFrame, leaves: int, ids: list[str], sample: int = SAMPLE) -
     if leaves <= 1:
         return Plan([Node(ROOT)])
     got = sample_rows(points.select(*dict.fromkeys(["x", "y", "z", *ids])), sample, ids).select(*(F.col(a).cast("double") for a in "xyz")).toArrow()
-    return plan_sample(np.stack([got.column(i).to_numpy() for i in range(3)], axis=1), leaves)
+    xyz = np.stack([got.column(i).to_numpy() for i in range(3)], axis=1)
+    xyz = xyz[np.lexsort(xyz.T)]  # whatever order they came in, equal positions are then mixed alike
+    return plan_sample(np.random.default_rng(0).permutation(xyz), leaves)
 
 
 def plan_exactly(points: DataFrame, levels: int) -> Plan:
@@ -163,46 +165,79 @@ def leaf_stats(points: DataFrame, by: str = "leaf") -> DataFrame:
     return stats.bounds(points, by).withColumn("error", stats.point_error())
 
 
-def _chooser(xyz_of: Callable[[pa.Table], np.ndarray], copies: bool):
+def _climbing(root_length: int, copies: bool):
+    """The points of a subtree in their tiles: from the deepest level on, each node passes half of its points to its parent."""
+
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("point_id")
-        tile = table.column("tile")[0].as_py()
-        up = np.zeros(table.num_rows, dtype=bool)
-        up[voxel.choose(xyz_of(table), table.num_rows // 2)] = True
-        i, kept = table.schema.get_field_index("tile"), table.schema.get_field_index("promoted")
-        moved = table.filter(pa.array(up)).set_column(i, "tile", pa.array([tile[:-1]] * int(up.sum()), pa.string())) if up.any() else table.slice(0, 0)
-        moved = moved.set_column(kept, "promoted", pa.array([True] * moved.num_rows, pa.bool_()))
-        rest = table if copies else table.filter(pa.array(~up))
-        return pa.concat_tables([rest.set_column(kept, "promoted", pa.array([False] * rest.num_rows, pa.bool_())), moved])
+        xyz = np.stack([table.column(a).to_numpy().astype(np.float64) for a in "xyz"], axis=1)
+        names, tile = np.unique(np.array(table.column("tile").to_pylist()), return_inverse=True)
+        held = {str(n): [np.flatnonzero(tile == i)] for i, n in enumerate(names)}
+        out: list[tuple[str, np.ndarray]] = []
+        for length in range(max(map(len, held)), root_length - 1, -1):
+            for path in sorted(p for p in held if len(p) == length):
+                rows = np.sort(np.concatenate(held.pop(path)))
+                up = rows[voxel.choose(xyz[rows], len(rows) // 2)] if length > len(ROOT) else rows[:0]
+                out.append((path, rows if copies else np.setdiff1d(rows, up, assume_unique=True)))
+                if len(up):
+                    held.setdefault(path[:-1], []).append(up)
+        out += [(path, np.concatenate(rows)) for path, rows in held.items()]  # what goes on above the subtree
+        rows, paths = np.concatenate([r for _, r in out]), np.repeat([p for p, _ in out], [len(r) for _, r in out])
+        above = np.char.str_len(paths) < root_length
+        taken = table.take(pa.array(rows))
+        return taken.set_column(taken.schema.get_field_index("tile"), "tile", pa.array(paths)).set_column(taken.schema.get_field_index("above"), "above", pa.array(above))
 
     return run
 
 
-def _xyz(table: pa.Table) -> np.ndarray:
-    return np.stack([table.column(a).to_numpy().astype(np.float64) for a in "xyz"], axis=1)
+def _height(sizes: dict[str, int], most: int, parallel: int) -> int:
+    """The length of paths at which subtrees begin: the shortest that gives ``parallel`` groups of at most ``most`` points."""
+    deepest = max(map(len, sizes))
+    for length in range(1, deepest):
+        groups: dict[str, int] = {}
+        for path, n in sizes.items():
+            if len(path) >= length:
+                groups[path[:length]] = groups.get(path[:length], 0) + n
+        if max(groups.values()) <= most and (len(groups) >= parallel or sum(groups.values()) <= most // 8):
+            return length
+    return deepest
 
 
-def bubble_up(spark: SparkSession, points: DataFrame, refine: str = "ADD") -> DataFrame:
+def bubble_up(spark: SparkSession, points: DataFrame, refine: str = "ADD", most: int = GROUP) -> DataFrame:
     """points (with leaf and point_id) with ``tile``: each node passes half of its points to its parent, level by level.
 
-    ADD moves points, so that each has one tile; REPLACE copies them.  A group is one
-    node, whose size the plan bounds.  Every level is written to the shared folder.
+    ADD moves points, so that each has one tile; REPLACE copies them.  A group is a subtree of at most
+    ``most`` points, or one node, whose size the plan bounds; what leaves the subtrees is written to the
+    shared folder and dealt again, until the root is among them.
     """
     ws = Workspace(spark, "levels")
-    now = points.withColumn("tile", F.col("leaf")).withColumn("promoted", F.lit(False))
-    depth = points.agg(F.max(F.length("leaf"))).first()[0] or 1
-    done: list[DataFrame] = []
-    here = now.filter(F.length("leaf") == depth)
-    for level in range(depth, 1, -1):
-        chosen = ws.keep(here.groupBy("tile").applyInArrow(_chooser(_xyz, refine != "ADD"), here.schema), f"level-{level}")
-        done.append(chosen.filter(~F.col("promoted")))
-        shorter = now.filter(F.length("leaf") == level - 1)
-        here = shorter.unionByName(chosen.filter("promoted").withColumn("promoted", F.lit(False)))
-    done.append(here)
+    sizes = {r["leaf"]: r["n"] for r in points.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row for each leaf
+    if not sizes:
+        return points.withColumn("tile", F.col("leaf"))
+    here = points.withColumn("tile", F.col("leaf")).withColumn("above", F.lit(False))
+    parallel, done, waiting = spark.sparkContext.defaultParallelism, [], here
+    while True:
+        length = _height(sizes, most, parallel)
+        now = here.filter(F.length("tile") >= length)
+        climbed = now.groupBy(F.substring("tile", 1, length).alias("_group")).applyInArrow(_climbing(length, refine != "ADD"), here.schema)
+        if length == len(ROOT):
+            done.append(climbed)
+            break
+        climbed = ws.keep(climbed, f"from-{length}")
+        done.append(climbed.filter(~F.col("above")))
+        # what goes on: the leaves above this height, and half of each subtree's root
+        waiting = waiting.filter(F.length("tile") < length)
+        here = waiting.unionByName(climbed.filter("above").withColumn("above", F.lit(False)))
+        passed = climbed.filter("above").groupBy("tile").agg(F.count("*").alias("n")).collect()  # a row for each node
+        sizes = {p: n for p, n in sizes.items() if len(p) < length}
+        for r in passed:
+            sizes[r["tile"]] = sizes.get(r["tile"], 0) + r["n"]
+        if not sizes:
+            break
     out = done[0]
     for df in done[1:]:
         out = out.unionByName(df)
-    return out.drop("promoted")
+    return out.drop("above")
 
 
 def detail_chain(n: int, box: dict, refine: str = "ADD", target: float | None = None) -> list[int]:

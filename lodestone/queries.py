@@ -164,13 +164,13 @@ def lod_counts(spark, sf_dir):
     return spark.createDataFrame(list(kd.tile_counts(sizes).items()), "path string, n long")
 
 
-@query()
+@query(f"WITH {POINTS} SELECT count(*) AS n, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax, min(z) AS zmin, max(z) AS zmax FROM points")
 def lod_tiles(spark, sf_dir):
-    """Every point in its tile, after points have moved up the tree."""
+    """Every point in its tile, after points have moved up the tree: the tiles' points and boxes together."""
     p = points(spark, sf_dir).withColumn("point_id", F.xxhash64(*IDS, "x", "y", "z"))
     leaves = kd.leaf_count(p.count(), 5_000)
     p = kd.plan(p, leaves, IDS).routed(p).select("point_id", "x", "y", "z", "leaf")
-    return stats.bounds(kd.bubble_up(spark, p), "tile")
+    return stats.merged_bounds(stats.bounds(kd.bubble_up(spark, p), "tile"))
 
 
 @query(_TWO_LEVELS + ", s AS (SELECT substring(leaf, 1, i) AS path FROM l2, range(1, 4) t(i)), u AS (SELECT DISTINCT path FROM s) SELECT a.path, count(*) AS tiles FROM u a JOIN u b ON starts_with(b.path, a.path) GROUP BY a.path")
