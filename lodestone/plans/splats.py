@@ -23,6 +23,9 @@ RATIO = 0.5
 SIGMAS = 3
 ERROR_SCALE, ERROR_GROWTH, CHILD_FACTOR, OUTLIERS = 10.0, 1.1, 1.001, 0.01
 
+#: Turns of a scene by the axis that points up.
+UP = {"z": np.eye(3), "y": np.array([[1.0, 0, 0], [0, 0, -1], [0, 1, 0]]), "x": np.array([[0, 0, -1.0], [0, 1, 0], [1, 0, 0]])}
+
 COLUMNS = ["source_index", "cx", "cy", "cz", "qw", "qx", "qy", "qz", "sx", "sy", "sz", "opacity", "sh0_r", "sh0_g", "sh0_b", "sh_rest"]
 
 
@@ -215,7 +218,7 @@ def content(table: pa.Table) -> tuple[str, bytes]:
 
 def tile_splats(spark: SparkSession, splats: DataFrame, folder: str, per_tile: int = PER_TILE, min_opacity: float = 0.0, degree: int = 3, up: str = "z", transform: list[float] | None = None, factor: float = 1.0) -> dict:
     """Write a splat scene as 3D Tiles: contents under data/, and tileset.json."""
-    turn = np.array({"z": np.eye(3), "y": [[1.0, 0, 0], [0, 0, -1], [0, 1, 0]], "x": [[0, 0, -1.0], [0, 1, 0], [1, 0, 0]]}[up])
+    turn = UP[up]
     ready = prepared(splats, min_opacity, degree)
     if up != "z":
 
