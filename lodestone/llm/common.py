@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..job import Workspace, shared_dir, ship
 
-__all__ = ["Workspace", "batches", "blocks", "even_keys", "mix", "read_table", "shared_dir", "ship", "shuffle_partitions", "text_bytes", "whole_groups"]
+__all__ = ["Workspace", "blocks", "deal", "even_keys", "fresh", "input_bytes", "mix", "read_table", "shared_dir", "ship", "shuffle_partitions", "spread_join", "text_bytes", "whole_groups"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,17 +40,6 @@ def blocks(texts: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, int]]
         yield a, len(texts)
 
 
-def batches(make: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable:
-    """A function for mapInArrow from one on single batches."""
-
-    def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in items:
-            if batch.num_rows and (out := make(batch)) is not None:
-                yield out
-
-    return run
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that spreads every bit (the splitmix64 finaliser)."""
     x = x ^ (x >> np.uint64(30))
@@ -82,6 +72,42 @@ def even_keys(parts: int) -> np.ndarray:
     return out
 
 
+def deal(df: DataFrame, parts: int, *then: str) -> DataFrame:
+    """Rows to ``parts`` partitions evenly by the int column ``part``, in its order and that of the columns ``then``."""
+    return df.repartition(parts, F.get(F.lit(even_keys(parts)), F.col("part") % parts)).sortWithinPartitions("part", *then)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of a table, as the optimiser knows them; 0 if it doesn't."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 10**18 else 0
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name like ``name`` that none of the columns has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+FREQUENT = 100_000  # keys that are broadcast, at most
+SELDOM = 1000  # rows that any key may have in one task
+
+
+def spread_join(rows: DataFrame, one: DataFrame, keys: list[str], many: str, how: str = "inner") -> DataFrame:
+    """rows joined with ``one``, which has a row for each key and in its column ``many`` the number of rows with it.
+
+    Keys with more rows than ``SELDOM`` and than one in ``FREQUENT`` of all are broadcast with what
+    belongs to them, so that their rows stay where they are; by this bound there are fewer than ``FREQUENT`` of them.
+    Both inputs are read twice.
+    """
+    bound = max(SELDOM, (one.agg(F.sum(many)).first()[0] or 0) // FREQUENT)
+    hot = F.broadcast(one.filter(F.col(many) > bound))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(one.filter(F.col(many) <= bound), keys, how)
+    return rows.join(hot, keys).unionByName(cold)
+
+
 def whole_groups(items: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole runs of equal keys and where each run begins, from batches in which such rows follow each other."""
     open_: list[pa.RecordBatch] = []

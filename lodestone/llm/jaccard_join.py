@@ -1,20 +1,22 @@
 """N-gram Jaccard join: every link between texts of similar word-shingle sets, as components.
 
-The sets meet in a signature tree whose upper levels are dealt over the
-cluster and whose lower levels are built in memory:
+The sets meet in signature trees, of which the upper levels are dealt over the
+cluster and the lower levels are built in memory:
 
 1. Sets are reduced to classes of equal sets (partial aggregation).
 2. The root's children are tokens.  A range of the token numbers, wide enough
    to hold more than the tokens that a linked partner may lack, is counted over
    all classes.  A class of which more tokens occur nowhere else than a partner may
    lack has no partner.  Of the others, each hangs under its rarest tokens, so
-   many that two linked sets share one.
-3. Under each token, all meet the first set there (the pivot); exact
-   comparison of the token sets links most members of a group of copies.
-4. Where the sets under one pivot's tokens still make several components,
-   blocks of bounded size get trees of OR-combined bitmaps and size ranges, and the
-   dual traversal yields pairs of unlike components that may overlap enough;
-   these are compared exactly.
+   many that two linked sets share one.  Tokens under which the same class is
+   the first are taken as one child, a family.
+3. Each family gets a tree of OR-combined bitmaps and size ranges.  The dual
+   traversal yields pairs that may overlap enough, and these are compared
+   exactly in the same task.  First each class takes part in the family that has most of
+   its tokens, which links most members of a group of copies; then come the families that
+   still hold several components, and only pairs of unlike components.
+4. Families of more than ``BLOCK`` sets are dealt in blocks: each with the family's first set, then,
+   of families that still hold several components, pairs of blocks.
 
 Tokens are 64-bit numbers of shingles.  Candidates use 48 bits of them, which
 can only add candidates.  Two different shingles of one pair of texts get the same number
@@ -23,6 +25,8 @@ with a chance of about n * n / 2**64.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +35,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, blocks, even_keys, mix, shuffle_partitions, text_bytes, whole_groups
+from .common import Workspace, blocks, deal, input_bytes, mix, shuffle_partitions, spread_join, text_bytes, whole_groups
 from .components import connected_components
-from .signature_tree import LEAF, Tree, candidates, signature
+from .signature_tree import Forest
 from .words import SPACED, Block
 
 UP, DOWN = 80, 100  # a link: DOWN * intersection >= UP * union
-BLOCK = 512  # sets of one side of a block pair
+BLOCK = 512  # sets of a block
+WEIGHT = 1 << 20  # tokens of a block
+SPLIT = 1_000_000  # families that are split, at most, each for its sets and for its tokens
+SHARE = 256 << 20  # bytes of input for which there is a group of tokens in a task
 _LOW = np.uint64(16)
 
 
@@ -93,9 +100,9 @@ def _features(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["doc_id", "n", "h1", "h2", "n1", "n2"])
 
 
-def _dealt(parts: np.ndarray, key: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+def _dealt(parts: int, key: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
     """A row (part, blob) for each part of the keys."""
-    part = parts[key % len(parts)]
+    part = key % parts
     order = np.argsort(part, kind="stable")
     part, rows = part[order], rows[order]
     cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
@@ -103,7 +110,7 @@ def _dealt(parts: np.ndarray, key: np.ndarray, rows: np.ndarray) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array([rows[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], names=["part", "blob"])
 
 
-def _counted(parts: np.ndarray):
+def _counted(parts: int):
     """(part of the token, blob of token and class) for the tokens in range; rows are put together to about 600,000."""
 
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +160,7 @@ def streamed(items: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(open_)
 
 
-def _shared(parts: np.ndarray):
+def _shared(parts: int):
     """(part of the class, blob of class, token and number of classes) for tokens of two classes or more."""
 
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,137 +213,130 @@ def _hung(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in items:
-        rows = [(i, len(s), signature(s).tobytes(), s.tobytes()) for i, s in _texts(batch)]
+        rows = [(i, s.tobytes()) for i, s in _texts(batch)]
         if rows:
-            i, n, bits, tokens = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(tokens, pa.binary())], names=["id", "n", "bits", "tokens"])
-
-
-def _alike(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose token sets are similar enough."""
-    for batch in items:
-        a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))
-        ok = []
-        for s, t in zip(x, y, strict=True):
-            s, t = np.frombuffer(s, dtype=np.uint64), np.frombuffer(t, dtype=np.uint64)
-            if DOWN * min(len(s), len(t)) < UP * max(len(s), len(t)):
-                ok.append(False)
-                continue
-            both = len(s) + len(t) - len(np.unique(np.concatenate([s, t])))
-            ok.append(DOWN * both >= UP * (len(s) + len(t) - both))
-        keep = np.array(ok, dtype=bool)
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(c, dtype=np.int64)[keep]) for c in (a, b)], names=["a", "b"])
-
-
-def _near(bits: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether the bitmaps of sets i and j allow a link."""
-    able = (DOWN * n[i] >= UP * n[j]) & (DOWN * n[j] >= UP * n[i])
-    k = np.flatnonzero(able)
-    x, y, m, o = bits[i[k]], bits[j[k]], n[i[k]], n[j[k]]
-    most = np.minimum(m - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), o - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
-    able[k] = (UP + DOWN) * most >= UP * (m + o)
-    return able
-
-
-def _traversed(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that the dual traversal of each block pair leaves; small block pairs are single leaves and taken together."""
-    for table, start in whole_groups(items, ["token", "i", "j"]):
-        ident, n, comp, side = (table.column(c).to_numpy() for c in ("id", "n", "component", "side"))
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype=np.uint64).reshape(len(n), -1)
-        size = np.diff(np.r_[start, len(n)])
-        ones = np.add.reduceat(side, start)  # rows of the second side; none: a block with itself
-        group = np.repeat(np.arange(len(start)), size)
-        found = []
-        small = size <= LEAF
-        for d in range(1, int(size[small].max(initial=0))):
-            i = np.flatnonzero((group[:-d] == group[d:]) & small[group[:-d]] & (comp[:-d] != comp[d:]))
-            i = i[(ones[group[i]] == 0) | (side[i] != side[i + d])]
-            i = i[_near(bits, n, i, i + d)]
-            found.append((i, i + d))
-        for g in np.flatnonzero(~small & (ones < size)).tolist():
-            rows = np.arange(start[g], start[g] + size[g])
-            p, q = rows[side[rows] == 0], rows[side[rows] == 1]
-            x = Tree(n[p], comp[p], bits[p])
-            if len(q):
-                i, j = candidates(x, Tree(n[q], comp[q], bits[q]), UP, DOWN)
-                found.append((p[i], q[j]))
-            else:
-                i, j = candidates(x, x, UP, DOWN)
-                found.append((p[i[i < j]], p[j[i < j]]))
-        if found:
-            i, j = (np.concatenate(c) for c in zip(*found, strict=True))
-            pairs = np.unique(np.stack([np.minimum(ident[i], ident[j]), np.maximum(ident[i], ident[j])]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-
-def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            i, tokens = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(tokens, pa.binary())], names=["id", "tokens"])
+
+
+def _linking(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (what, a, b): the links that the traversal of each pair of blocks leaves ("link"), and
+    what it took ("work"): trees built, and pairs compared."""
+    trees = compared = 0
+    for table, start in whole_groups(items, ["family", "i", "j"]):
+        ident, label, side, i, j = (table.column(c).to_numpy() for c in ("id", "label", "side", "i", "j"))
+        tokens = [np.frombuffer(t, dtype=np.uint64) for t in table.column("tokens").to_pylist()]
+        pair = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(ident)]))
+        new = np.r_[True, (pair[1:] != pair[:-1]) | (side[1:] != side[:-1])]
+        group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        # a block is traversed with itself, or the first side of a pair of blocks with the second
+        both = np.flatnonzero((i[first[:-1]] != j[first[:-1]]) & (pair[first[:-1]] == pair[first[1:]]))
+        alone = np.flatnonzero(i[first] == j[first])
+        forest = Forest(group, tokens, UP, DOWN)
+        a, b = forest.links(np.r_[alone, both], np.r_[alone, both + 1], label)
+        trees, compared = trees + forest.trees, compared + forest.compared
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(["link"] * len(a)), pa.array(ident[a]), pa.array(ident[b])], names=["what", "a", "b"])
+    yield pa.RecordBatch.from_arrays([pa.array(["work"]), pa.array([trees], pa.int64()), pa.array([compared], pa.int64())], names=["what", "a", "b"])
+
+
+def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", work: dict[str, int] | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs.
 
     A text's words are runs of characters other than white space, A-Z
     lower-cased; its set has its distinct shingles of five words, or all its words as
     one if it has fewer.  Texts link when 100 * intersection >= 80 * union.
+    ``work``, if given, gets the numbers of trees built, pairs compared and links found.
 
     Null and empty texts and texts of white space have an empty set and no link.
     Rows without an id get no component.  A repeated row is a copy.  Rows that
-    share an id are judged each by its own text; where that id is the smallest
-    of two classes they count as one document.  No rows give no rows.
+    share an id, whatever their texts, are one document: it is linked with all that any of them is.
+    Very long texts are taken whole; one text's set has to fit in a worker's memory.
+    Other columns than id and text are left out.  No rows give no rows.
     """
     ws, parts = Workspace(spark, "jaccard"), shuffle_partitions(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     feats = ws.keep(docs.mapInArrow(_features, "doc_id long, n long, h1 long, h2 long, n1 long, n2 long"), "features")
-    classes = feats.filter("doc_id is not null and n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
-    even = even_keys(parts)
-    counted = docs.mapInArrow(_counted(even), "part int, blob binary").repartition(parts, "part").sortWithinPartitions("part")
-    shared = counted.mapInArrow(_shared(even), "part int, blob binary")
+    valid = feats.filter("doc_id is not null and n > 0")
+    equal = ["h1", "h2", "n"]
+    classes = valid.groupBy(*equal).agg(F.min("doc_id").alias("id"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.count("*").alias("many"))
+    classes = ws.keep(classes, "classes")
+    shared_ids = ws.keep(valid.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("h1").alias("low"), F.max("h1").alias("high")).filter("rows > 1"), "shared-ids")
+    repeated = bool(shared_ids.take(1))
+
+    # tokens of two classes or more, and the tokens under which each class hangs; a task holds one group of tokens at a time
+    groups = parts * min(64, max(1, math.ceil(input_bytes(docs) / parts / SHARE)))
+    counted = deal(docs.mapInArrow(_counted(groups), "part int, blob binary"), parts)
     h = F.shiftrightunsigned("h1", 16)
-    rows = classes.select(F.get(F.lit(even), (h % parts).cast("int")).alias("part"), h.alias("h"), "id", "n", "n1", "n2", F.lit(None).cast("binary").alias("blob"))
+    rows = classes.select((h % groups).cast("int").alias("part"), h.alias("h"), "id", "n", "n1", "n2", F.lit(None).cast("binary").alias("blob"))
     none = [F.lit(None).cast("long").alias(c) for c in ("h", "id", "n", "n1", "n2")]
-    rows = rows.unionByName(shared.select("part", *none, "blob")).repartition(parts, "part").sortWithinPartitions("part")
+    rows = deal(rows.unionByName(counted.mapInArrow(_shared(groups), "part int, blob binary").select("part", *none, "blob")), parts)
     hung = ws.keep(rows.mapInArrow(_hung, "token long, id long, n long"), "hung")
-    pivots = hung.groupBy("token").agg(F.min("id").alias("pivot"), F.count("*").alias("many")).filter("many > 1")
-    hung = ws.keep(hung.join(pivots, "token"), "under")
-    met = hung.filter("id <> pivot").groupBy(F.col("id").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("tokens"))
-    met = ws.keep(met, "met")
-    wanted = hung.select(F.col("id").alias("doc_id")).distinct()
-    sets = ws.keep(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id long, n long, bits binary, tokens binary"), "sets")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        s, t = (sets.select(F.col("id").alias(c), F.col("tokens").alias(v)) for c, v in (("a", "x"), ("b", "y")))
-        return pairs.select("a", "b").join(s, "a").join(t, "b").mapInArrow(_alike, "a long, b long")
-
-    def labelled(df: DataFrame, comp: DataFrame, key: str, out: str) -> DataFrame:
+    first = ws.keep(hung.groupBy("token").agg(F.min("id").alias("family"), F.count("*").alias("many")).filter("many > 1"), "first")
+    under = spread_join(hung, first, ["token"], "many")
+    held = ws.keep(under.groupBy("family", "id").agg(F.count("*").alias("tokens"), F.first("n").alias("n")), "held")
+
+    sets = docs.join(held.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets, "id long, tokens binary")
+    sets = ws.keep(sets.dropDuplicates(["id", "tokens"]) if repeated else sets, "sets")
+    links: list[DataFrame] = []
+
+    def traversed(rows: DataFrame, name: str) -> bool:
+        """Links from rows (family, i, j, side, id, label): whether there are any."""
+        rows = rows.join(sets, "id").repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j", "side")
+        got = ws.keep(rows.mapInArrow(_linking, "what string, a long, b long"), name)
+        links.append(got.filter("what = 'link'").select("a", "b"))
+        if work is not None:
+            for r in got.groupBy("what").agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")).collect():  # two rows
+                for key, n in (("links", r.n),) if r.what == "link" else (("trees", r.a), ("compared", r.b)):
+                    work[key] = work.get(key, 0) + n
+        return bool(links[-1].take(1))
+
+    if repeated:
+        texts = valid.join(shared_ids.filter("low <> high").select("doc_id"), "doc_id", "left_semi").select("doc_id", *equal).distinct()
+        links.append(ws.keep(texts.join(classes, equal).select(F.col("doc_id").alias("a"), F.col("id").alias("b")), "links-of-ids"))
+
+    # each class in the family that has most of its tokens
+    main = held.filter("id <> family").groupBy("id").agg(F.max_by("family", F.struct("tokens", -F.col("family"))).alias("family"), F.first("n").alias("n"))
+    main = ws.keep(main, "main")
+    sizes = ws.keep(main.groupBy("family").agg(F.count("*").alias("k"), F.sum("n").alias("w")), "sizes")
+    all_, blocks_ = sizes.agg(F.sum("k"), F.sum("w")).first(), F.ceil(F.greatest(F.col("k") / BLOCK, F.col("w") / WEIGHT)).cast("int")
+    split = sizes.filter((F.col("k") > max(BLOCK, (all_[0] or 0) // SPLIT)) | (F.col("w") > max(WEIGHT, (all_[1] or 0) // SPLIT)))
+    split = split.select("family", blocks_.alias("blocks"))  # so few that they can be broadcast
+    own = F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int")
+    rows = main.join(F.broadcast(split), "family", "left").select("family", "id", own.alias("i"))
+    heads = sizes.join(F.broadcast(split), "family", "left").select("family", F.col("family").alias("id"), F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("i"))
+    rows = rows.unionByName(heads).select("family", "id", "i", F.col("i").alias("j"), F.lit(0).alias("side"), F.col("id").alias("label"))
+    traversed(rows, "links-1")
+    every = lambda: functools.reduce(DataFrame.unionByName, links)
+    comp = connected_components(spark, ws, every(), "cc1")
+
+    # families that still hold several components: the largest one's sets with the others', and these with each other
+    def labelled(df: DataFrame, key: str, out: str) -> DataFrame:
         c = comp.select(F.col("node").alias(key), F.col("component").alias("_c"))
         return df.join(c, key, "left").withColumn(out, F.coalesce("_c", key)).drop("_c")
 
-    first = met.groupBy("a").agg(F.max_by("b", F.struct("tokens", -F.col("b"))).alias("b"))
-    links = ws.keep(linked(first), "links-1")
-    comp = connected_components(spark, ws, links, "cc1")
-    others = labelled(labelled(met, comp, "a", "ca"), comp, "b", "cb").filter("ca <> cb")
-    links = links.unionByName(ws.keep(linked(others), "links-2"))
-    comp = connected_components(spark, ws, links, "cc2")
-
-    # tokens with the same first set are taken as one: copies share most of theirs, and would meet under each
-    families = hung.groupBy(F.col("pivot").alias("token"), "id").agg(F.first("n").alias("n"))
-    held = ws.keep(labelled(families, comp, "id", "component"), "held")
-    by = held.groupBy("token", "component").agg(F.count("*").alias("k"))
-    mixed = by.groupBy("token").agg(F.max_by("component", "k").alias("main"), F.max("k").alias("in_main"), F.sum("k").alias("all"), F.count("*").alias("components")).filter("components > 1")
-    held = held.join(mixed, "token").join(sets.select("id", "bits").dropDuplicates(["id"]), "id")
-    is_main, spread = F.expr("component = main"), F.expr("pmod(xxhash64(id), 1000003)")
-    k_main, k_rest = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("in_main", "rest"))
-    held = held.withColumn("rest", F.expr("all - in_main")).withColumn("km", k_main).withColumn("kr", k_rest)
-    block = F.when(is_main, spread % F.col("km")).otherwise(spread % F.col("kr")).cast("int")
-    held = held.withColumn("main_", is_main).withColumn("own", block)
-    # main blocks are -1, -2, ...; the others 0, 1, ...
-    pairs = F.when(F.col("main_"), F.expr("transform(sequence(0, kr - 1), r -> struct(-1 - own as i, r as j, 0 as side))")).otherwise(
-        F.expr("concat(transform(sequence(1, km), m -> struct(-m as i, own as j, 1 as side)), transform(sequence(0, kr - 1), r -> struct(least(own, r) as i, greatest(own, r) as j, if(own <= r, 0, 1) as side)))")
+    held = ws.keep(labelled(held.select("family", "id", "n"), "id", "label"), "labelled")
+    by = held.groupBy("family", "label").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
+    number = lambda k, w: F.ceil(F.greatest(k / BLOCK, w / WEIGHT)).cast("int")
+    mixed = by.groupBy("family").agg(F.max_by("label", "k").alias("main"), F.max_by("w", "k").alias("w"), F.max("k").alias("k"), F.sum("k").alias("many"), F.sum("w").alias("weight"), F.count("*").alias("labels"))
+    k, w, many, weight = map(F.col, ("k", "w", "many", "weight"))
+    mixed = mixed.filter("labels > 1").select("family", "main", "many", number(k, w).alias("km"), number(many - k, weight - w).alias("kr"), (number(many, weight) == 1).alias("one"))
+    mixed = ws.keep(mixed, "mixed")
+    held = spread_join(held, mixed, ["family"], "many")
+    is_main, spread = F.expr("label = main"), F.expr("pmod(xxhash64(id), 1000003)")
+    held = held.withColumn("is_main", is_main).withColumn("own", F.when(is_main, spread % F.col("km")).otherwise(spread % F.col("kr")).cast("int"))
+    # blocks of the largest component are -1, -2, ...; the others 0, 1, ...
+    pairs = (
+        F.when(F.col("one"), F.expr("array(struct(0 as i, 0 as j, 0 as side))"))
+        .when(F.col("is_main"), F.expr("transform(sequence(0, kr - 1), r -> struct(-1 - own as i, r as j, 0 as side))"))
+        .otherwise(F.expr("concat(transform(sequence(1, km), m -> struct(-m as i, own as j, 1 as side)), transform(sequence(0, kr - 1), r -> struct(least(own, r) as i, greatest(own, r) as j, if(own <= r, 0, 1) as side)))"))
     )
-    dealt = held.select("token", "id", "n", "component", "bits", F.explode(pairs).alias("p")).select("token", "p.i", "p.j", "p.side", "id", "n", "component", "bits")
-    dealt = dealt.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j")
-    rest = ws.keep(dealt.mapInArrow(_traversed, "a long, b long").distinct(), "rest")
-    more = ws.keep(linked(rest), "links-3")
-    if more.take(1):
-        comp = connected_components(spark, ws, links.unionByName(more), "cc3")
-    best = labelled(classes, comp, "id", "component_id").select("h1", "h2", F.col("n").alias("n_"), "component_id")
-    out = feats.join(best.withColumnRenamed("h1", "h1_").withColumnRenamed("h2", "h2_"), F.expr("h1 = h1_ and h2 = h2_ and n = n_ and doc_id is not null"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    rows = held.select("family", "id", "label", F.explode(pairs).alias("p")).select("family", "p.i", "p.j", "p.side", "id", "label")
+    if traversed(rows, "links-2"):
+        comp = connected_components(spark, ws, every(), "cc2")
+    best = ws.keep(labelled(classes, "id", "component_id").select(*equal, "component_id", "many"), "best")
+    alone = F.when(F.col("n") == 0, F.col("doc_id"))
+    out = spread_join(valid.select("doc_id", *equal), best, equal, "many").select("doc_id", "n", "component_id")
+    out = out.unionByName(feats.filter("doc_id is null or n = 0").select("doc_id", "n", alone.alias("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
