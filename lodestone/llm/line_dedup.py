@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, even_keys, mix, shuffle_partitions, text_bytes
+from .common import Workspace, deal, even_keys, fresh, input_bytes, mix, shuffle_partitions, text_bytes
 
 LIMIT = 10
 LEAST = 1
-FILTER_BYTES = 64 << 20  # of filters sent to each task; beyond it keys are joined
+FILTER_BYTES = 64 << 20  # of filters sent to each task; beyond it keys go to the filters
+SHARD = 64 << 20
+BATCH = 1024  # documents that ask together
 _SLOTS = 4
 STATE = "shard int, keys binary, filter binary, exceptions binary, hot long"
 _WHITE = b" \t\n\r\x0b\x0c"
@@ -42,10 +44,27 @@ class Cuckoo:
         buckets = 1 << max(0, int(np.ceil(np.log2(max(1, len(hi)) / (_SLOTS * 0.85)))))
         while True:
             out = cls(np.zeros((buckets, _SLOTS), dtype=np.uint32))
-            if all(out.insert(h, x) for h, x in zip(hi, lo, strict=True)):
+            left = out._fill(hi, lo)
+            if all(out.insert(h, x) for h, x in zip(hi[left], lo[left], strict=True)):
                 return out
             buckets *= 2
 
+    def _fill(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """Put all keys at once into the first or the second of their buckets; which found no room."""
+        mark, *two = self.parts(hi, lo, len(self.slots))
+        left, used = np.arange(len(hi)), np.zeros(len(self.slots), dtype=np.int64)
+        for at in (*two, *two):
+            bucket = at[left]
+            order = np.argsort(bucket, kind="stable")
+            left, bucket = left[order], bucket[order]
+            first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(left) else left
+            slot = used[bucket] + np.arange(len(left)) - np.repeat(first, np.diff(np.r_[first, len(left)]))
+            fits = slot < _SLOTS
+            self.slots[bucket[fits], slot[fits]] = mark[left[fits]]
+            np.add.at(used, bucket[fits], 1)
+            left = left[~fits]
+        return left
+
     @staticmethod
     def parts(hi: np.ndarray, lo: np.ndarray, buckets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Fingerprint and both buckets."""
@@ -109,8 +128,10 @@ def _halves(digests: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _summed(hi: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((lo, hi))
     hi, lo, n = hi[order], lo[order], n[order]
+    if not len(n):
+        return hi, lo, n
     cut = np.flatnonzero(np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])])
-    return hi[cut], lo[cut], np.add.reduceat(n, cut) if len(cut) else n[:0]
+    return hi[cut], lo[cut], np.add.reduceat(n, cut)
 
 
 def _blob(hi: np.ndarray, lo: np.ndarray, n: np.ndarray) -> bytes:
@@ -237,39 +258,74 @@ def _sieving(shared, column: str, least: int):
     return run
 
 
-def _lines(least: int):
-    def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in items:
-            rows = batch.column(0).to_pylist()
-            pairs = [(r, i, d) for r, t in zip(rows, text_bytes(batch.column(1)), strict=True) for i, d in enumerate(_keys(t, least)[1]) if d is not None]
-            if pairs:
-                r, i, d = zip(*pairs, strict=True)
-                hi, lo = _halves(b"".join(d))
-                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(i, pa.int32()), pa.array(hi.astype(np.int64)), pa.array(lo.astype(np.int64))], names=["row", "line", "hi", "lo"])
+def _asking(shards: int, least: int):
+    """(shard, batch, keys): the distinct keys of each batch of documents."""
 
-    return run
+    def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen = None, set()
 
+        def out() -> pa.RecordBatch:
+            digests = np.frombuffer(b"".join(seen), dtype="V16")
+            shard = (_halves(digests.tobytes())[0] % np.uint64(shards)).astype(np.int32)
+            order = np.argsort(shard, kind="stable")
+            shard, digests = shard[order], digests[order]
+            cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+            blobs = [digests[a:b].tobytes() for a, b in zip(cut, np.r_[cut[1:], len(shard)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(shard[cut]), pa.array([now] * len(cut), pa.int64()), pa.array(blobs, pa.binary())], names=["part", "batch", "keys"])
 
-def _hot(limit: int):
-    def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in items:
-            for blob in batch.column(0).to_pylist():
-                hi, lo, n = _open(blob)
-                yield pa.RecordBatch.from_arrays([pa.array(x[n >= limit].astype(np.int64)) for x in (hi, lo)], names=["hi", "lo"])
+            for at, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
+                if at != now or len(seen) > 300_000:
+                    if seen:
+                        yield out()
+                    now, seen = at, set()
+                seen.update(d for d in _keys(text, least)[1] if d is not None)
+        if seen:
+            yield out()
 
     return run
 
 
-def _dropping(column: str):
+def _answering(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(batch, keys): which of the keys asked for the shard's filter holds; a shard's filter comes before what is asked of it."""
+    shard = sieve = wrong = None
+    for batch in items:
+        found = []
+        for part, at, keys, sieve_, wrong_ in zip(*(batch.column(c).to_pylist() for c in ("part", "batch", "keys", "filter", "exceptions")), strict=True):
+            if sieve_ is not None:
+                shard, sieve = part, Cuckoo(np.frombuffer(sieve_, dtype=np.uint32).reshape(-1, _SLOTS))
+                wrong = set(map(tuple, np.frombuffer(wrong_, dtype=np.uint64).reshape(-1, 2).tolist()))
+            elif part == shard:
+                hi, lo = _halves(keys)
+                yes = sieve.holds(hi, lo)
+                for i in np.flatnonzero(yes).tolist() if wrong else ():
+                    yes[i] = (int(hi[i]), int(lo[i])) not in wrong
+                if yes.any():
+                    found.append((at, np.frombuffer(keys, dtype="V16")[yes].tobytes()))
+        if found:
+            at, keys = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(keys, pa.binary())], names=["batch", "keys"])
+
+
+def _dropping(column: str, least: int, batch_: str, keys_: str):
+    """Documents without the lines of which an answer to their batch has the key; answers come before documents."""
+
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, hot = None, set()
         for batch in items:
-            judged = []
-            for text, at in zip(text_bytes(batch.column(column)), batch.column("_drop").to_pylist(), strict=True):
-                lines = text.split(b"\n")
-                drop = np.zeros(len(lines), dtype=bool)
-                drop[at or []] = True
-                judged.append((lines, drop))
-            yield _kept(batch.drop_columns(["_drop", "_row"]), column, judged)
+            answers = batch.column(keys_).to_pylist()
+            docs = batch.filter(pa.array([a is None for a in answers], pa.bool_())).drop_columns([batch_, keys_])
+            texts, judged = iter(text_bytes(docs.column(column))), []
+            for at, keys in zip(batch.column(batch_).to_pylist(), answers, strict=True):
+                if at != now:
+                    now, hot = at, set()
+                if keys is not None:
+                    hot.update(keys[i : i + 16] for i in range(0, len(keys), 16))
+                else:
+                    lines, digests = _keys(next(texts), least)
+                    judged.append((lines, np.array([d in hot for d in digests], dtype=bool)))
+            if judged:
+                yield _kept(docs, column, judged)
 
     return run
 
@@ -280,15 +336,19 @@ class LineDedup:
     A text's lines end at line feeds; null and empty texts have one empty line.  A
     line's key is the line without white space around it, A-Z lower-cased.  Keys
     of ``least`` code points or more found in ``limit`` documents or more lose all their lines;
-    repeated rows count as documents of their own.
+    repeated rows count as documents of their own.  Very long texts are taken whole.
+
+    By default there are two shards for each shuffle partition, and one for each ``SHARD``
+    bytes of the documents first inserted.
     """
 
     def __init__(self, spark: SparkSession, limit: int = LIMIT, least: int = LEAST, shards: int | None = None):
-        self.spark, self.limit, self.least = spark, limit, least
-        self.shards = shards or 2 * shuffle_partitions(spark)
+        self.spark, self.limit, self.least, self.shards = spark, limit, least, shards
         self.ws, self.version, self.state = Workspace(spark, "lines"), 0, None
 
     def _update(self, docs: DataFrame, text_col: str, sign: int) -> LineDedup:
+        if self.shards is None:
+            self.shards = max(2 * shuffle_partitions(self.spark), min(1 << 20, input_bytes(docs.select(text_col)) // SHARD))
         new = docs.select(text_col).mapInArrow(_counted(self.shards, self.least, sign), STATE)
         if self.state is not None:
             new = new.unionByName(self.state)
@@ -312,7 +372,8 @@ class LineDedup:
         """docs with the kept lines as text (null becomes empty), n_lines and n_dropped; inserted documents only.
 
         The filters and exceptions go to every task if they have at most
-        ``filter_bytes``; else lines are joined with the counted keys.  Both are exact.
+        ``filter_bytes``.  Else the distinct keys of each batch of documents go to the filters of their shards,
+        and those that are held come back to the batch, so a line's key is sent once for a batch however often it occurs.
         No rows give no rows; columns named n_lines and n_dropped are replaced.
         """
         docs = docs.drop("n_lines", "n_dropped")
@@ -321,12 +382,17 @@ class LineDedup:
         if size <= filter_bytes:
             sieve = _Sieve(self.shards, self.state.select("shard", "filter", "exceptions").collect())
             return docs.mapInArrow(_sieving(self.spark.sparkContext.broadcast(sieve), text_col, self.least), schema)
-        rows = self.ws.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-        hot = self.state.select("keys").mapInArrow(_hot(self.limit), "hi long, lo long")
-        drop = rows.select("_row", text_col).mapInArrow(_lines(self.least), "row long, line int, hi long, lo long").join(hot, ["hi", "lo"])
-        drop = drop.groupBy("row").agg(F.collect_list("line").alias("_drop"))
-        joined = rows.join(drop, rows["_row"] == drop["row"], "left").drop("row")
-        return joined.mapInArrow(_dropping(text_col), schema)
+        parts, batch_ = shuffle_partitions(self.spark), fresh("batch", docs.columns)
+        keys_ = fresh("keys", docs.columns)
+        rows = self.ws.keep(docs.withColumn(batch_, F.floor(F.monotonically_increasing_id() / BATCH)), "rows")
+        asked = rows.select(batch_, text_col).mapInArrow(_asking(self.shards, self.least), "part int, batch long, keys binary")
+        none = F.lit(None).cast("binary")
+        filters = self.state.select(F.col("shard").alias("part"), F.lit(-1).cast("long").alias("batch"), none.alias("keys"), "filter", "exceptions")
+        asked = filters.unionByName(asked.withColumns({"filter": none, "exceptions": none}))
+        answers = deal(asked, parts, "batch").mapInArrow(_answering, "batch long, keys binary")
+        answers = answers.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields), F.col("batch").alias(batch_), F.col("keys").alias(keys_))
+        both = answers.unionByName(rows.withColumn(keys_, none)).repartition(parts, batch_).sortWithinPartitions(batch_, F.col(keys_).isNull())
+        return both.mapInArrow(_dropping(text_col, self.least, batch_, keys_), schema)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, text_col: str = "text", limit: int = LIMIT, least: int = LEAST) -> DataFrame:
