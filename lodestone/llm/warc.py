@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, shared_dir, text_bytes
+from .common import Workspace, shared_dir, spread_join, text_bytes
 
 LEAST = 1000  # bytes of a payload that may be revisited
 ARCHIVE = 32 << 20  # bytes of gzipped records in an archive
@@ -216,14 +216,16 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, least: in
     Of records with equal payloads of ``least`` bytes or more, that with the
     largest page_id is a response and the others revisit it.  Rows equal to the
     response in page_id too are responses; so are rows without a page_id, and smaller payloads.
-    Null html is an empty payload.  No rows write no archive.
+    Null html is an empty payload.  No rows write no archive.  Very long payloads are written whole.
+    Columns of any other names are left out.
     """
     ws = Workspace(spark, "warc")
     html = F.coalesce("html", F.lit(""))
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("digest"), F.octet_length(html).alias("bytes"))
-    large = pages.filter((F.col("bytes") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest", "bytes")
-    last = large.groupBy("digest", "bytes").agg(F.max("page_id").alias("last"), F.min("page_id").alias("first")).filter("first < last")
-    revisits = large.join(last.drop("first"), ["digest", "bytes"]).filter("page_id < last").select("page_id", "digest", F.col("last").alias("refers_to")).distinct()
+    large = ws.keep(pages.filter((F.col("bytes") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest", "bytes"), "large")
+    last = large.groupBy("digest", "bytes").agg(F.max("page_id").alias("last"), F.min("page_id").alias("first"), F.count("*").alias("many"))
+    last = ws.keep(last.filter("first < last").drop("first"), "last")
+    revisits = spread_join(large, last, ["digest", "bytes"], "many").filter("page_id < last").select("page_id", "digest", F.col("last").alias("refers_to")).distinct()
     revisits = ws.keep(revisits, "revisits")
     made = pages.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
     return ws.keep(made.mapInArrow(_writing(folder, archive_bytes), "archive string, records long"), "archives")
