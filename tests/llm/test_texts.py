@@ -97,27 +97,88 @@ def test_components_of_odd_rows(spark):
     assert jaccard_components(spark, frame(spark, [])).count() == 0
 
 
-def test_signature_tree_leaves_no_pair_out():
+def odd_sets(seed, groups=40, each=6, n=40):
     import numpy as np
 
-    from lodestone.llm.signature_tree import Tree, candidates, signature
-
-    rng = np.random.default_rng(3)
+    rng = np.random.default_rng(seed)
     sets = []
-    for _ in range(40):
-        base = rng.integers(0, 2**63, 40).astype(np.uint64)
-        for _ in range(6):
-            keep = rng.random(40) < 0.93
+    for _ in range(groups):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        for _ in range(each):
+            keep = rng.random(n) < 0.93
             sets.append(np.unique(np.concatenate([base[keep], rng.integers(0, 2**63, 2).astype(np.uint64)])))
-    n, bits = np.array([len(s) for s in sets]), np.stack([signature(s) for s in sets])
-    tree = Tree(n, np.arange(len(sets)), bits)
-    i, j = candidates(tree, tree, 80, 100)
-    found = set(zip(i.tolist(), j.tolist(), strict=True))
+    return sets
+
+
+@pytest.mark.parametrize("n", [1, 3, 40, 700])
+def test_signature_trees_leave_no_pair_out(n):
+    import numpy as np
+
+    from lodestone.llm.signature_tree import Forest
+
+    sets = odd_sets(3, n=n)
+    group = np.arange(len(sets)) // 100
+    forest = Forest(group, sets, 80, 100)
+    every, root = [], np.arange(len(sets))
+    alike = lambda p, q: every.append((forest.order[p], forest.order[q])) and False
+    forest.links(np.arange(3), np.arange(3), root, alike)  # nothing is ever joined, so every candidate is asked for
+    found = {(min(a, b), max(a, b)) for a, b in every}
+    assert len(found) == len(every) and all(group[a] == group[b] for a, b in found)
+    links = set()
     for a, b in itertools.combinations(range(len(sets)), 2):
         both = len(np.intersect1d(sets[a], sets[b]))
-        if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
-            assert (a, b) in found and (b, a) in found
-    assert len(found) < len(sets) ** 2 / 4
+        if group[a] == group[b] and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            links.add((a, b))
+    assert links <= found and (n < 40 or len(found) < 100 * 99 / 4)
+    got = {(min(a, b), max(a, b)) for a, b in zip(*(x.tolist() for x in forest.links(np.arange(3), np.arange(3), root)), strict=True)}
+    assert got <= links
+
+    def parts(edges):
+        up = list(range(len(sets)))
+        for _ in up:
+            for a, b in edges:
+                up[a] = up[b] = min(up[a], up[b])
+        return up
+
+    assert parts(got) == parts(links)
+
+
+def test_trees_between_blocks():
+    import numpy as np
+
+    from lodestone.llm.signature_tree import Forest
+
+    sets = odd_sets(9)
+    side = np.arange(len(sets)) % 2
+    order = np.argsort(side, kind="stable")
+    a, b = Forest(side[order], [sets[i] for i in order], 80, 100).links(np.zeros(1, dtype=int), np.ones(1, dtype=int), np.arange(len(sets)))
+    assert len(a) and (side[order[a]] != side[order[b]]).all()
+
+
+def test_all_links_come_through_the_trees(spark, monkeypatch):
+    texts = near_copies(3, groups=6) + [" ".join(f"t{i if i != k else 'x' + str(k)}" for i in range(80)) for k in range(60)]
+    work = {}
+    want = sorted(brute_components(texts, range(len(texts))))
+    assert sorted(map(tuple, jaccard_components(spark, frame(spark, texts), work=work).collect())) == want
+    linked = sum(a != c for a, _, c in want)
+    equal = len(texts) - len({shingles(t) for t in texts})
+    assert work["trees"] > 10 and linked - equal <= work["links"] <= work["compared"] < len(texts) * 12
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    df = frame(spark, [a, a + " more", b, b + " more", c, a], [3, 5, 5, 7, 9, 3])
+    got = jaccard_components(spark, df).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (3, 3), (5, 3), (5, 3), (7, 3), (9, 9)]
+
+
+def test_hot_keys_are_broadcast(spark, monkeypatch):
+    from lodestone.llm import common
+
+    monkeypatch.setattr(common, "SELDOM", 3)
+    texts = near_copies(4, groups=5) * 3 + ["hot text that everyone has copied"] * 20
+    got = jaccard_components(spark, frame(spark, texts)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_components(texts, range(len(texts))))
 
 
 # ---------------------------------------------------------------- lines
@@ -169,10 +230,21 @@ def test_cuckoo_filter():
     assert sieve.holds(hi[2500:], lo[2500:]).all() and sieve.holds(hi[:2500], lo[:2500]).sum() < 5
 
 
-def test_lines_of_no_rows_and_clashing_columns(spark):
-    assert dedup_lines(spark, frame(spark, [])).count() == 0
-    df = spark.createDataFrame([(1, "a\nb", 9)], "doc_id long, text string, n_lines int")
-    assert dedup_lines(spark, df).first().n_lines == 2
+@pytest.mark.parametrize("filter_bytes", [line_dedup.FILTER_BYTES, 0])
+def test_lines_of_no_rows_and_clashing_columns(spark, filter_bytes):
+    none = frame(spark, [])
+    assert LineDedup(spark).insert(none).apply(none, filter_bytes=filter_bytes).count() == 0
+    names = ["n_lines", "row", "_row", "_drop", "batch", "Keys", "part", "shard", "filter"]
+    df = spark.createDataFrame([(1, "a\nb", *[9] * len(names)), (None, "A\n" + "c\n" * 50_000, *[9] * len(names))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = LineDedup(spark, 2).insert(df).apply(df, filter_bytes=filter_bytes).orderBy("doc_id").collect()
+    assert [(r.text, r.n_lines, r.n_dropped, r.row, r.batch, r.Keys, r.part) for r in got] == [("c\n" * 50_000, 50_002, 1, 9, 9, 9, 9), ("b", 2, 1, 9, 9, 9, 9)]
+
+
+def test_batches_of_documents_ask_the_filters(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BATCH", 3)
+    texts = [f"common\n{i % 4}\nown {i}" for i in range(200)] + LINES
+    got = LineDedup(spark, 10).insert(frame(spark, texts)).apply(frame(spark, texts), filter_bytes=0).orderBy("doc_id").collect()
+    assert [(r.n_lines, r.n_dropped, r.text) for r in got] == brute_lines(texts, 10)
 
 
 # ---------------------------------------------------------------- benchmark
