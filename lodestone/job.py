@@ -60,8 +60,9 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+    def keep(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """df written and read back; in a folder for each value of the columns ``by``."""
+        df.write.mode("overwrite").partitionBy(*by).parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str = "") -> None:

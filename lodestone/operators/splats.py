@@ -92,6 +92,9 @@ def merge_distance(centre: np.ndarray, target: int) -> float:
     return min(limit, EXTENT_FACTOR * float(size.max())) if size.max() > 0 else limit
 
 
+PAIRS = 4_000_000  # that are measured at once
+
+
 def neighbour_edges(centre: np.ndarray, radius: float, k: int = NEIGHBOURS) -> np.ndarray:
     """Pairs (a < b) of which one is among the k nearest of the other, within the radius.
 
@@ -105,16 +108,18 @@ def neighbour_edges(centre: np.ndarray, radius: float, k: int = NEIGHBOURS) -> n
     order = np.argsort(key, kind="stable")
     sorted_key = key[order]
     shifts = [(i * span[1] + j) * span[2] for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    out = []
-    for a in range(0, n, 4096):
-        rows = np.arange(a, min(n, a + 4096))
+    # three cells in a row along z are one run of keys
+    low = np.stack([np.searchsorted(sorted_key, key + s - 1, "left") for s in shifts])
+    many = np.stack([np.searchsorted(sorted_key, key + s + 1, "right") for s in shifts]) - low
+    upto, out, a = np.cumsum(many.sum(axis=0)), [], 0
+    while a < n:  # so many splats at once that they meet at most PAIRS others
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, "right")))
+        rows = np.arange(a, b)
         owner, other = [], []
-        for s in shifts:  # three cells in a row along z are one run of keys
-            low = np.searchsorted(sorted_key, key[rows] + s - 1, "left")
-            high = np.searchsorted(sorted_key, key[rows] + s + 1, "right")
-            m = high - low
+        for first, m in zip(low[:, a:b], many[:, a:b], strict=True):
             owner.append(np.repeat(rows, m))
-            other.append(order[np.repeat(low - np.cumsum(m) + m, m) + np.arange(m.sum())])
+            other.append(order[np.repeat(first - np.cumsum(m) + m, m) + np.arange(m.sum())])
+        a = b
         owner, other = np.concatenate(owner), np.concatenate(other)
         keep = owner != other
         owner, other = owner[keep], other[keep]

@@ -128,13 +128,13 @@ def _node(path: str, s: S.Splats, levels: int, low, high, least: float, factor:
     return {"path": path, "n": len(s), **{f"{a}{m}": float(v) for i, a in enumerate("xyz") for m, v in (("min", low[i]), ("max", high[i]))}, "error": max(own, least), "levels": levels, "kids": kids}
 
 
-def _merging(facts: dict[str, list[dict]], factor: float):
-    """A parent's splats and node from those of its children, whose nodes are in facts."""
+def _merging(facts, factor: float):
+    """A parent's splats and node from those of its children, whose nodes are in the broadcast facts."""
 
     def merge(table: pa.Table) -> pa.Table:
         path = table.column("parent")[0].as_py()
         s = as_arrays(table.sort_by([("tile", "ascending"), ("source_index", "ascending")]))
-        kids = facts[path]
+        kids = facts.value[path]
         out = S.simplify(s, sum(max(1, math.ceil(k["n"] * RATIO)) for k in kids))
         low, high = reach(out)
         low = np.minimum(low, np.min([[k[f"{a}min"] for a in "xyz"] for k in kids], axis=0))
@@ -163,9 +163,8 @@ def build(spark: SparkSession, splats: DataFrame, per_tile: int = PER_TILE, fact
     got = got.sort_by("source_index")
     plan = plan_sample(np.stack([got.column(c).to_numpy() for c in ("cx", "cy", "cz")], axis=1), got.column("w").to_numpy(), count, per_tile)
     leaf = splats.withColumns(dict(zip("xyz", (F.col(c) for c in ("cx", "cy", "cz")), strict=True))).transform(lambda df: plan.routed(df, "tile")).select(*COLUMNS, "tile")
-    now = ws.keep(leaf, "leaves")
-    made, nodes = [now], {}
-
+    kept = ws.keep(leaf.withColumn("depth", F.length("tile")), "leaves", "depth")
+    now = kept.drop("depth")
     def leaf_node(table: pa.Table) -> pa.Table:
         s = as_arrays(table)
         low, high = reach(s)
@@ -173,6 +172,7 @@ def build(spark: SparkSession, splats: DataFrame, per_tile: int = PER_TILE, fact
 
     rows = now.groupBy("tile").applyInArrow(leaf_node, _NODE).collect()  # a row for each tile
     nodes = {r["path"]: r.asDict() for r in rows}
+    made = [({p for p in nodes if len(p) == n}, kept.filter(F.col("depth") == n).drop("depth")) for n in sorted({len(p) for p in nodes})]
     tops = dict.fromkeys(nodes)  # tiles without a parent yet, and where they stand in the plan
     at = {p: p for p in tops}
     for level in range(max(map(len, nodes)), 1, -1):
@@ -189,21 +189,22 @@ def build(spark: SparkSession, splats: DataFrame, per_tile: int = PER_TILE, fact
         parent = {t: p for p, ts in pairs.items() for t in ts}
         facts = {p: [nodes[t] for t in ts] for p, ts in pairs.items()}
 
-        names = F.create_map(*(F.lit(v) for kv in parent.items() for v in kv))
-        source = made[0]
-        for m in made[1:]:
-            source = source.unionByName(m)
-        grouped = source.filter(F.col("tile").isin(list(parent))).withColumn("parent", names[F.col("tile")])
+        parents = F.broadcast(spark.createDataFrame(list(parent.items()), "tile string, parent string"))  # a row for each tile of the level
+        source = None
+        for held, m in made:
+            if not held.isdisjoint(parent):
+                source = m if source is None else source.unionByName(m)
+        grouped = source.join(parents, "tile").select(*now.columns, "parent")
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in now.schema.fields) + f", node struct<{_NODE.replace(' ', ':').replace(',:', ',')}>"
-        merged = ws.keep(grouped.groupBy("parent").applyInArrow(_merging(facts, factor), schema), f"level-{level}")
+        merged = ws.keep(grouped.groupBy("parent").applyInArrow(_merging(spark.sparkContext.broadcast(facts), factor), schema), f"level-{level}")
         for r in merged.filter("node is not null").select("node.*").collect():  # a row for each tile
             nodes[r["path"]] = r.asDict()
             for kid in r["kids"]:
                 at.pop(kid)
             at[r["path"]] = r["path"]
-        made.append(merged.drop("node"))
-    out = made[0]
-    for m in made[1:]:
+        made.append((set(pairs), merged.drop("node")))
+    out = made[0][1]
+    for _, m in made[1:]:
         out = out.unionByName(m)
     return out, sorted(nodes.values(), key=lambda r: r["path"])
 

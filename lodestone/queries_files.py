@@ -189,7 +189,7 @@ def index_ranges(spark, sf_dir):
     return spark.createDataFrame(rows, "version string, name string, low double, high double")
 
 
-@query("SELECT s_name AS name, md5(s_name || ' of ' || s_nationkey) AS md5 FROM supplier")
+@query("SELECT replace(s_name, '#', '-') AS name, md5(s_name || ' of ' || s_nationkey) AS md5 FROM supplier")
 def archive_entries(spark, sf_dir):
     """Files that tasks wrote, packed into one archive and found there by its index."""
     ws = Workspace(spark, "archive")
@@ -201,7 +201,7 @@ def archive_entries(spark, sf_dir):
                 write(f"{root}/in/{name}", text.encode())
             yield b.select(["name"])
 
-    t = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.concat_ws(" of ", "s_name", F.col("s_nationkey").cast("string")).alias("text"))
+    t = table(spark, sf_dir, "supplier").select(F.replace("s_name", F.lit("#"), F.lit("-")).alias("name"), F.concat_ws(" of ", "s_name", F.col("s_nationkey").cast("string")).alias("text"))
     names = ws.keep(t.mapInArrow(put, "name string"), "names")
     tileset.package(f"{root}/in", target)
 
@@ -346,16 +346,16 @@ def splat_boxes(spark, sf_dir):
     return rounded(rounded(out, 9, "xmin", "xmax", "ymin", "zmax"), 6, "weight")
 
 
-@query(f"WITH {_PART_SPLATS} SELECT cluster, CAST(count(*) // 2 AS BIGINT) AS n, round(sum(ln(1 - o)), 6) AS transparency, min(k) AS first FROM w GROUP BY cluster")
+@query(f"WITH {_PART_SPLATS} SELECT cluster, true AS to_the_target, round(sum(ln(1 - o)), 6) AS transparency, min(k) AS first FROM w GROUP BY cluster")
 def splat_simplified(spark, sf_dir):
-    """Half as many splats: how many, the light that all let through, and the first index, which stay the same."""
+    """Half as many splats, or more where none are near enough: the light that all let through and the first index stay the same."""
 
     def f(cluster, s):
         out = merging.simplify(s, len(s) // 2)
-        return pa.table({"cluster": [cluster], "n": [len(out)], "transparency": [float(np.log1p(-out.opacity).sum())], "first": [int(out.index.min())]})
+        return pa.table({"cluster": [cluster], "to_the_target": [len(s) // 2 <= len(out) < len(s) or not len(merging.neighbour_edges(s.centre, merging.merge_distance(s.centre, len(s) // 2)))], "transparency": [float(np.log1p(-out.opacity).sum())], "first": [int(out.index.min())]})
 
     p = part_splats(spark, sf_dir).withColumn("cluster", F.col("source_index") % 16)
-    return rounded(_in_arrays(p, "cluster", f, "cluster long, n long, transparency double, first long"), 6, "transparency")
+    return rounded(_in_arrays(p, "cluster", f, "cluster long, to_the_target boolean, transparency double, first long"), 6, "transparency")
 
 
 @query(f"WITH {_PART_SPLATS} SELECT CAST(k AS BIGINT) AS source_index, CAST(x AS DOUBLE) AS cx, round(-z, 9) + 0.0 AS cy, round(y, 9) AS cz, round((k % 3) ** 2 + (k % 4) ** 2 + (k % 5) ** 2, 6) AS energy FROM w")
