@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by inner product: multiprobe p-stable hashing.
 
-Vectors are lengthened by one component to a common norm, which turns the
-largest inner product into the smallest distance.  Each table hashes
+Rows are taken in bands of like norms.  In a band they are lengthened by one component to its
+norm, which turns the largest inner product into the smallest distance; a query looks into every
+band.  Each table hashes
 ``hashes`` Gaussian projections, made orthogonal, in steps of ``width``.  A query visits
 its own bucket and then those with the least estimated distance, so many that recall is met.
 What the tables find is merged and ranked by the exact product in double precision.
@@ -22,6 +23,7 @@ from .jaccard_join import streamed
 
 TABLES, HASHES, WIDTH, PROBES = 3, 10, 3.0, 300
 NEIGHBOURS = 20
+BAND, BANDS = 1.25, 32  # the ratio of norms in a band, and how many bands there are at most; the last has all smaller norms
 BRUTE = 1024  # queries that the exact search compares with all rows at once
 
 
@@ -33,20 +35,30 @@ class Hashes:
         while sum(q.shape[1] for q in each) < tables * hashes:
             each.append(np.linalg.qr(rng.normal(size=(size, size)))[0])
         # unit rows times the root of the dimension have the spread of Gaussian ones
-        self.lines = np.concatenate(each, axis=1)[:, : tables * hashes] * np.sqrt(size) / norm
+        self.lines = np.concatenate(each, axis=1)[:, : tables * hashes] * np.sqrt(size)
         self.shift = rng.uniform(0, width, tables * hashes)
         self.odd = rng.integers(1, 1 << 62, tables * hashes, dtype=np.int64).astype(np.uint64) | np.uint64(1)
         self.salt = rng.integers(1, 1 << 62, tables, dtype=np.int64).astype(np.uint64)
+        self.band_salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64)) * (np.arange(BANDS) > 0).astype(np.uint64)
+
+    def bands(self, x: np.ndarray) -> np.ndarray:
+        """0 for the largest norms."""
+        norm = np.sqrt((x * x).sum(axis=1))
+        return np.clip(np.floor(np.log(self.norm / norm) / np.log(BAND) + 1e-9), 0, BANDS - 1).astype(np.int64)
 
     def project(self, x: np.ndarray, query: bool) -> np.ndarray:
-        """In steps of the width; a query is scaled to the norm, a row is lengthened to it."""
+        """In steps of the width, as parts of the norm: a query is scaled to it, a row is lengthened to its band's."""
         if query:
-            x = x * (self.norm / np.linalg.norm(x, axis=1))[:, None]
+            x = x / np.linalg.norm(x, axis=1)[:, None]
             last = np.zeros(len(x))
         else:
-            last = np.sqrt(np.maximum(self.norm**2 - (x * x).sum(axis=1), 0))
+            x = x / (self.norm / BAND ** self.bands(x))[:, None]
+            last = np.sqrt(np.maximum(1 - (x * x).sum(axis=1), 0))
         return (np.concatenate([x, last[:, None]], axis=1) @ self.lines + self.shift) / self.width
 
+    def row_keys(self, x: np.ndarray) -> np.ndarray:
+        return self.keys(self.project(x, False)) + self.band_salt[self.bands(x)][:, None]
+
     def keys(self, steps: np.ndarray) -> np.ndarray:
         """(rows, tables): numbers of the buckets."""
         part = np.floor(steps).astype(np.int64).astype(np.uint64) * self.odd
@@ -99,7 +111,7 @@ def _counting(shared):
         hashes, dim = shared.value
         for batch in items:
             if batch.num_rows:
-                key, n = np.unique(hashes.keys(hashes.project(_matrix(batch.column(0), dim), False)), return_counts=True)
+                key, n = np.unique(hashes.row_keys(_matrix(batch.column(0), dim)), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n)], names=["key", "n"])
 
     return run
@@ -126,7 +138,8 @@ def _dealing(shared, is_query: bool, parts: int, probes: int):
     """Rows and queries to the parts that hold their buckets; a bucket in ``heavy`` lies in several."""
 
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, dim, heavy = shared.value
+        hashes, dim, heavy, bands = shared.value
+        salts = hashes.band_salt[bands]
         names, copies = np.array(sorted(heavy), dtype=np.uint64), np.array([heavy[k] for k in sorted(heavy)], dtype=np.int64)
 
         def shares(key: np.ndarray) -> np.ndarray:
@@ -139,17 +152,16 @@ def _dealing(shared, is_query: bool, parts: int, probes: int):
             if not batch.num_rows:
                 continue
             ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1), dim)
-            steps = hashes.project(x, is_query)
-            keys = hashes.keys(steps)
             if not is_query:
-                key, row = keys.reshape(-1), np.repeat(np.arange(len(ids)), hashes.tables)
+                key, row = hashes.row_keys(x).reshape(-1), np.repeat(np.arange(len(ids)), hashes.tables)
                 salt = (mix(ids[row].astype(np.uint64)) % shares(key).astype(np.uint64)).astype(np.int64)
                 yield _blobs(_split(parts, _part(key, salt, parts), 0, lambda m: np.int64(len(m)).tobytes() + key[m].tobytes() + ids[row[m]].tobytes() + x[row[m]].tobytes()))  # noqa: B023
                 continue
-            row, key = [], []
+            steps = hashes.project(x, True)
+            keys, row, key = hashes.keys(steps), [], []
             for i in range(len(ids)):
                 for t in range(hashes.tables):
-                    key.append(hashes.probes(steps[i], keys[i, t], t, probes))
+                    key.append((hashes.probes(steps[i], keys[i, t], t, probes)[:, None] + salts).reshape(-1))
                     row.append(np.full(len(key[-1]), i))
             row, key = np.concatenate(row), np.concatenate(key)
             n = shares(key)
@@ -292,7 +304,7 @@ def nearest(spark: SparkSession, rows: DataFrame, queries: DataFrame, id_col: st
     components isn't the most frequent one among the rows (the largest of several).  A row with the query's
     id is no candidate.  A repeated row counts once, and a repeated query is answered once.
     A query for which the buckets hold fewer than k rows is compared with every row.
-    No rows or no queries give no rows.
+    No rows or no queries give no rows.  Other columns are left out, whatever their names.
     """
     ws, parts = Workspace(spark, "nearest"), shuffle_partitions(spark)
     form, cols = "id long, dim int, vec binary, norm2 double", [F.col(id_col).cast("long"), F.col(vec_col)]
@@ -309,7 +321,12 @@ def nearest(spark: SparkSession, rows: DataFrame, queries: DataFrame, id_col: st
     bound = max(256, most["n"] * tables // (4 * parts))
     big = base.select("vec").mapInArrow(_counting(sc.broadcast((made, dim))), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > bound)
     heavy = {r["key"] % 2**64: -(-r["n"] // bound) for r in big.collect()}
-    shared = sc.broadcast((made, dim, heavy))
+    norm = F.sqrt("norm2")
+    band = F.least(F.lit(BANDS - 1), F.greatest(F.lit(0), F.floor(F.log(F.lit(made.norm) / norm) / F.log(F.lit(BAND)) + 1e-9)))
+    bands = {int(r["b"]) for r in base.select(band.alias("b")).distinct().collect()}  # BANDS rows at most
+    # beside those that hold rows their neighbours, for the last bits of a logarithm
+    bands = np.array(sorted({min(BANDS - 1, max(0, b + d)) for b in bands for d in ((0,) if len(bands) == 1 else (-1, 0, 1))}))
+    shared = sc.broadcast((made, dim, heavy, bands))
     form = "part int, kind int, blob binary"
     dealt = base.select("id", "vec").mapInArrow(_dealing(shared, False, parts, probes), form).unionByName(asked.select("id", "vec").mapInArrow(_dealing(shared, True, parts, probes), form))
     even = F.get(F.lit(even_keys(parts)), F.col("part"))
