@@ -155,6 +155,24 @@ def test_few_and_odd_vectors(spark):
     assert nearest(spark, df, df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["mixed norms", "an outlier"])
+def test_recall_where_norms_differ(spark, kind):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(12, 32))[rng.integers(0, 12, 3000)] * 0.5 + rng.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x *= np.exp(rng.normal(0, 0.5, 3000))[:, None] if kind == "mixed norms" else np.where(np.arange(3000) == 7, 3.0, 1.0)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in nearest(spark, df.withColumns({"id": F.lit(1), "key": F.lit(2)}), df.filter("vec_id % 50 = 0")).collect():
+        got[r.query_id].add(r.vec_id)
+    each = []
+    for q in range(0, 3000, 50):
+        s = x @ x[q]
+        s[q] = -np.inf
+        each.append(len(set(np.argsort(-s)[:20].tolist()) & got[q]) / 20)
+    assert np.mean(each) >= 0.9 and min(each) >= 0.5, (np.mean(each), min(each))
+
+
 def test_a_hot_bucket_is_spread(spark):
     rng = np.random.default_rng(2)
     x = np.concatenate([np.tile(rng.normal(size=8), (700, 1)) + rng.normal(size=(700, 8)) * 1e-3, rng.normal(size=(300, 8))])
