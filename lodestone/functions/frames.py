@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
-import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .crs import from_earth, parsed, through, to_earth
+
 # WGS 84 and GRS 80 (fixed values)
 A = 6378137.0
 F_WGS84 = 1 / 298.257223563
@@ -32,102 +34,49 @@ def mercator_to_geodetic(x: Column, y: Column) -> tuple[Column, Column]:
     return F.degrees(x / A), F.degrees(2 * F.atan(F.exp(y / A)) - math.pi / 2)
 
 
-def _series(flattening: float) -> tuple[float, tuple[float, ...], tuple[float, ...]]:
-    """Rectifying radius, and the coefficients of both inverse series."""
-    n = flattening / (2 - flattening)
-    beta = (
-        n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360,
-        n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440,
-        17 * n**3 / 480 - 37 * n**4 / 840,
-        4397 * n**4 / 161280,
-    )
-    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630)
-    return A / (1 + n) * (1 + n**2 / 4 + n**4 / 64), beta, delta
+#: CRS of one's own by name: (to earth-centred, from earth-centred), each a function of points with x, y and z.
+OWN: dict[str, tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame] | None]] = {}
 
 
-def transverse_mercator_to_geodetic(x: Column, y: Column, lon0: float, false_north: float = 0.0, false_east: float = 500000.0, scale: float = 0.9996, flattening: float = F_WGS84) -> tuple[Column, Column]:
-    """Inverse transverse Mercator to degrees, by Krueger's series to the fourth order in n."""
-    rectifying, beta, delta = _series(flattening)
-    xi, eta = (y - false_north) / (scale * rectifying), (x - false_east) / (scale * rectifying)
-    xi1 = xi - sum((b * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, b in enumerate(beta, 1)), F.lit(0.0))
-    eta1 = eta - sum((b * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, b in enumerate(beta, 1)), F.lit(0.0))
-    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
-    lat = chi + sum((d * F.sin(2 * j * chi) for j, d in enumerate(delta, 1)), F.lit(0.0))
-    return F.lit(lon0) + F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))), F.degrees(lat)
+def register_crs(name: str, to_earth: Callable[[DataFrame], DataFrame], from_earth: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """A CRS without a closed form here, such as one with a grid; from_earth is needed for images in it."""
+    if name in OWN:
+        raise ValueError(f"there is a CRS {name}")
+    OWN[name] = to_earth, from_earth
 
 
-def to_ecef(crs: str, x: Column, y: Column, z: Column) -> Triple:
-    """EPSG:4978 coordinates of a point in one of the CRS with a closed form; x is longitude or east.
+def _point() -> Column:
+    return F.struct(*(F.col(a).cast("double").alias(a) for a in "xyz"))
 
-    Known are 4978, 4326 and 4979, 3857, UTM (326xx, 327xx, 258xx) and 3067.  A
-    bare number counts as an EPSG code.
-    """
-    m = re.fullmatch(r"(?:epsg:)?(\d+)", crs.strip().lower())
-    code = int(m[1]) if m else 0
-    if code == 4978:
+
+def to_ecef(crs: str, x: Column, y: Column, z: Column) -> Triple:
+    """EPSG:4978 coordinates of a point in a CRS with a closed form; x is longitude or east.  See crs.parsed."""
+    c = parsed(crs)
+    if c.kind == "geocent":
         return x, y, z
-    if code in (4326, 4979):
-        return geodetic_to_ecef(x, y, z)
-    if code == 3857:
-        return geodetic_to_ecef(*mercator_to_geodetic(x, y), z)
-    zone = code % 100
-    if code // 100 in (326, 327) and 1 <= zone <= 60:
-        return geodetic_to_ecef(*transverse_mercator_to_geodetic(x, y, 6 * zone - 183.0, 1e7 if code // 100 == 327 else 0.0), z)
-    if code == 3067 or code // 100 == 258 and 28 <= zone <= 38:
-        lon0 = 27.0 if code == 3067 else 6 * zone - 183.0
-        return geodetic_to_ecef(*transverse_mercator_to_geodetic(x, y, lon0, flattening=F_GRS80), z, F_GRS80)
-    raise ValueError(f"no closed form for CRS {crs!r}")
+    out = through(to_earth(c), F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), z.cast("double").alias("z")))
+    return out["x"], out["y"], out["z"]
 
 
-def reprojected(points: DataFrame, crs: str) -> DataFrame:
-    """points with earth-centred x, y and z.
-
-    Projected CRS go through longitude and latitude as columns of their own, and each
-    step of the series is evaluated once: one expression for all would repeat them many times over.
-    """
-    m = re.fullmatch(r"(?:epsg:)?(\d+)", crs.strip().lower())
-    code = int(m[1]) if m else 0
-    if code in (4978, 4326, 4979):
-        return points.withColumns(dict(zip("xyz", to_ecef(crs, *(F.col(a) for a in "xyz")), strict=True)))
-    to_ecef(crs, F.lit(0.0), F.lit(0.0), F.lit(0.0))  # unknown ones raise
-    point = F.struct(*(F.col(a).cast("double").alias(a) for a in "xyz"))
-    once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
-    flattening = F_GRS80 if code == 3067 or code // 100 == 258 else F_WGS84
-
-    def geodetic(p: Column) -> Column:
-        if code == 3857:
-            lon, lat = mercator_to_geodetic(p["x"], p["y"])
-            return F.struct(lon.alias("lon"), lat.alias("lat"), p["z"].alias("h"))
-        lon0, north = (27.0, 0.0) if code == 3067 else (6 * (code % 100) - 183.0, 1e7 if code // 100 == 327 else 0.0)
-        return transverse_mercator_once(p["x"], p["y"], p["z"], lon0, north, flattening, once)
-
-    def earth(g: Column) -> Column:
-        x, y, z = geodetic_to_ecef(g["lon"], g["lat"], g["h"], flattening)
-        return F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
-
-    out = points.withColumn("_e", once(once(point, geodetic), earth))
+def _stepped(points: DataFrame, steps: list) -> DataFrame:
+    if not steps:
+        return points
+    out = points.withColumn("_e", through(steps, _point()))
     return out.withColumns({a: F.col(f"_e.{a}") for a in "xyz"}).drop("_e")
 
 
-def transverse_mercator_once(x: Column, y: Column, h: Column, lon0: float, false_north: float, flattening: float, once) -> Column:
-    """The inverse series as nested steps, each over a struct that is evaluated once; (lon, lat, h)."""
-    s = _series(flattening)
-    start = F.struct(((y - false_north) / (0.9996 * s[0])).alias("xi"), ((x - 500000.0) / (0.9996 * s[0])).alias("eta"), h.alias("h"))
-
-    def back(p: Column) -> Column:
-        xi1 = p["xi"] - sum((b * F.sin(2 * j * p["xi"]) * F.cosh(2 * j * p["eta"]) for j, b in enumerate(s[1], 1)), F.lit(0.0))
-        eta1 = p["eta"] - sum((b * F.cos(2 * j * p["xi"]) * F.sinh(2 * j * p["eta"]) for j, b in enumerate(s[1], 1)), F.lit(0.0))
-        return F.struct(xi1.alias("xi"), eta1.alias("eta"), p["h"].alias("h"))
-
-    def sphere(p: Column) -> Column:
-        lon = F.lit(lon0) + F.degrees(F.atan2(F.sinh(p["eta"]), F.cos(p["xi"])))
-        return F.struct(lon.alias("lon"), F.asin(F.sin(p["xi"]) / F.cosh(p["eta"])).alias("chi"), p["h"].alias("h"))
+def reprojected(points: DataFrame, crs: str) -> DataFrame:
+    """points with earth-centred x, y and z."""
+    return OWN[crs][0](points) if crs in OWN else _stepped(points, to_earth(parsed(crs)))
 
-    def ellipsoid(p: Column) -> Column:
-        lat = p["chi"] + sum((d * F.sin(2 * j * p["chi"]) for j, d in enumerate(s[2], 1)), F.lit(0.0))
-        return F.struct(p["lon"].alias("lon"), F.degrees(lat).alias("lat"), p["h"].alias("h"))
 
-    return once(once(once(start, back), sphere), ellipsoid)
+def projected(points: DataFrame, crs: str) -> DataFrame:
+    """Earth-centred points with x, y and z of a CRS."""
+    if crs in OWN:
+        if OWN[crs][1] is None:
+            raise ValueError(f"nothing leads from the earth to {crs}")
+        return OWN[crs][1](points)
+    return _stepped(points, from_earth(parsed(crs)))
 
 
 @dataclass(frozen=True)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import model
-from .functions import colour, frames, scalar
+from .functions import colour, crs, frames, scalar
 from .job import ship
 from .operators import knn, raster, sample, stats, transforms, voxel
 from .operators import splats as operators_splats
@@ -369,6 +369,31 @@ def colour_reverse(spark, sf_dir):
     return _colours(spark, sf_dir, "intensity:magma:reverse", 1000.0, 100000.0)
 
 
+_SYSTEMS = ("EPSG:32633", "EPSG:32733", "EPSG:25832", "EPSG:3067", "EPSG:2154", "EPSG:3035", "EPSG:3034", "EPSG:5070", "EPSG:3395", "EPSG:3413", "EPSG:3031", "EPSG:3857", "EPSG:3946", "EPSG:32633+5773", "+proj=lcc +lat_1=28.3833333 +lat_2=30.2833333 +lat_0=27.8333333 +lon_0=-99 +x_0=600000 +units=us-ft +ellps=clrk66")
+
+
+def _system_sql(i: int, name: str) -> str:
+    c = crs.parsed(name)
+    lat = f"{'-' if c.lat0 < 0 or name.endswith(':32733') else ''}(30 + s_suppkey % 50 + 0.125)"
+    return f"SELECT {i} AS system, CAST(s_suppkey AS BIGINT) AS s_suppkey, CAST({c.lon0} + (s_suppkey * 7 % 6 - 2.5) AS DOUBLE) AS lon, CAST({lat} AS DOUBLE) AS lat, CAST(round(s_acctbal, 2) AS DOUBLE) AS h FROM supplier"
+
+
+@query(f"SELECT system, s_suppkey, round(CASE WHEN lon > 180 THEN lon - 360 ELSE lon END, 7) + 0.0 AS lon, round(lat, 7) AS lat, round(h, 4) + 0.0 AS h FROM ({' UNION ALL '.join(_system_sql(i, n) for i, n in enumerate(_SYSTEMS))})")
+def crs_round_trips(spark, sf_dir):
+    """Longitude and latitude to the earth, to each of the systems, back to the earth, and to longitude and latitude."""
+    out, k = None, F.col("s_suppkey")
+    for i, name in enumerate(_SYSTEMS):
+        c = crs.parsed(name)
+        geo = crs.Crs("longlat", ellipsoid=c.ellipsoid)
+        lat = (k % 50 + 30.125) * (-1 if c.lat0 < 0 or name.endswith(":32733") else 1)
+        p = table(spark, sf_dir, "supplier").select(F.lit(i).alias("system"), k.cast("long").alias("s_suppkey"), (F.lit(c.lon0) + (k * 7 % 6 - 2.5)).alias("x"), lat.alias("y"), F.round("s_acctbal", 2).alias("z"))
+        point = F.struct("x", "y", "z")
+        p = p.select("system", "s_suppkey", crs.through([*crs.to_earth(geo), *crs.from_earth(c)], point).alias("p")).select("system", "s_suppkey", "p.*")
+        p = p.select("system", "s_suppkey", crs.through([*crs.to_earth(c), *crs.from_earth(geo)], point).alias("p")).select("system", "s_suppkey", F.col("p.x").alias("lon"), F.col("p.y").alias("lat"), F.col("p.z").alias("h"))
+        out = p if out is None else out.unionByName(p)
+    return rounded(rounded(out, 7, "lon", "lat"), 4, "h")
+
+
 @query(
     f"""WITH {POINTS}, c AS (SELECT {_ramp_sql(colour.GRADIENTS["grayscale"], _RANGE)} FROM points)
 SELECT CAST(floor(10 * 0.75 + r * 0.25 + 0.5) AS INTEGER) AS r, CAST(floor(200 * 0.75 + g * 0.25 + 0.5) AS INTEGER) AS g, CAST(floor(90 * 0.75 + b * 0.25 + 0.5) AS INTEGER) AS b, count(*) AS n FROM c GROUP BY ALL"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from lodestone import model, queries, queries_files, queries_sources  # noqa: F401
-from lodestone.functions import colour, frames
+from lodestone.functions import colour, crs, frames
 from lodestone.operators import knn, sample, stats, transforms, voxel
 from lodestone.plans import kd
 
@@ -198,6 +198,44 @@ def test_projected_crs(spark):
         frames.to_ecef("EPSG:2056", F.lit(0), F.lit(0), F.lit(0))
 
 
+# worked examples of published guidance: system, longitude, latitude, east, north
+EXAMPLES = [
+    ("+proj=lcc +lat_1=28.383333333333333 +lat_2=30.283333333333333 +lat_0=27.833333333333333 +lon_0=-99 +x_0=609601.2192024384 +units=us-ft +ellps=clrk66", -96.0, 28.5, 2963503.91, 254759.80),
+    ("+proj=stere +lat_0=-90 +lat_ts=-71 +lon_0=70 +x_0=6000000 +y_0=6000000", 120.0, -75.0, 7255380.79, 7053389.56),
+    ("EPSG:3035", 5.0, 50.0, 3962799.45, 2999718.85),
+    ("+proj=merc +lon_0=110 +k=0.997 +x_0=3900000 +y_0=900000 +ellps=bessel", 120.0, -3.0, 5009726.58, 569150.82),
+    ("+proj=tmerc +lat_0=49 +lon_0=-2 +k=0.9996012717 +x_0=400000 +y_0=-100000 +ellps=airy", 0.5, 50.5, 577274.99, 69740.50),
+    ("+proj=lcc +lat_1=18 +lat_0=18 +lon_0=-77 +k_0=1 +x_0=250000 +y_0=150000 +ellps=clrk66", -76.943683, 17.932167, 255966.58, 142493.51),
+]
+
+
+@pytest.mark.parametrize("name,lon,lat,east,north", EXAMPLES)
+def test_published_examples(spark, name, lon, lat, east, north):
+    c = crs.parsed(name)
+    geo = crs.Crs("longlat", ellipsoid=c.ellipsoid)
+    p = F.struct(F.lit(lon).alias("x"), F.lit(lat).alias("y"), F.lit(50.0).alias("z"))
+    there = crs.through([*crs.to_earth(geo), *crs.from_earth(c)], p)
+    row = spark.range(1).select(there.alias("p")).select("p.*").first()
+    assert (row.x, row.y, row.z) == (pytest.approx(east, abs=0.05), pytest.approx(north, abs=0.05), pytest.approx(50, abs=1e-4))
+    back = spark.range(1).select(crs.through([*crs.to_earth(c), *crs.from_earth(geo)], F.struct(F.lit(row.x).alias("x"), F.lit(row.y).alias("y"), F.lit(row.z).alias("z"))).alias("p")).select("p.*").first()
+    assert (back.x, back.y) == (pytest.approx(lon, abs=1e-8), pytest.approx(lat, abs=1e-8))
+
+
+def test_names_of_systems(spark):
+    wkt = 'PROJCS["RGF93 / Lambert-93",GEOGCS["RGF93",DATUM["x",SPHEROID["GRS 1980",6378137,298.257222101]],PRIMEM["Greenwich",0],UNIT["degree",0.0174532925199433]],PROJECTION["Lambert_Conformal_Conic_2SP"],PARAMETER["latitude_of_origin",46.5],PARAMETER["central_meridian",3],PARAMETER["standard_parallel_1",49],PARAMETER["standard_parallel_2",44],PARAMETER["false_easting",700000],PARAMETER["false_northing",6600000],UNIT["metre",1]]'
+    assert crs.parsed(wkt) == crs.parsed("EPSG:2154") == crs.parsed("+proj=lcc +lat_0=46.5 +lon_0=3 +lat_1=49 +lat_2=44 +x_0=700000 +y_0=6600000 +ellps=GRS80")
+    assert crs.parsed(f'COMPD_CS["both",{wkt},VERT_CS["h",VERT_DATUM["d",2005],UNIT["metre",1]]]') == crs.parsed("EPSG:2154+5720")
+    assert crs.parsed("+proj=utm +zone=33 +south") == crs.parsed("EPSG:32733") and crs.parsed("EPSG:25832+7837") == crs.parsed("25832")
+    for bad in ("EPSG:2056", "+proj=somerc +lat_0=46", "+proj=lcc +ellps=nothing", "+proj=stere +lat_0=52", "PROJCS[]", "nonsense"):
+        with pytest.raises(ValueError):
+            crs.parsed(bad)
+    frames.register_crs("site", lambda p: p.withColumn("x", F.col("x") + 7), lambda p: p.withColumn("x", F.col("x") - 7))
+    p = spark.createDataFrame([(1.0, 2.0, 3.0)], "x double, y double, z double")
+    assert frames.reprojected(p, "site").first().x == 8 and frames.projected(p, "site").first().x == -6
+    with pytest.raises(ValueError):
+        frames.register_crs("site", lambda p: p)
+
+
 def test_placements():
     p = frames.placement()
     assert p.origin == (6378137.0, 0.0, 0.0)
