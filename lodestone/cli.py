@@ -29,7 +29,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--z-offset", type=float, default=0.0)
     p.add_argument("--keep-withheld", action="store_true")
     p.add_argument("--colorize", help="attribute:gradient[:modifier...]")
-    p.add_argument("--orthophoto", help="a GeoTIFF in the points' CRS")
+    p.add_argument("--orthophoto", help="a GeoTIFF")
     p.add_argument("--min-alpha", type=int, default=1)
     p.add_argument("--drop-uncoloured", action="store_true")
     p.add_argument("--tiles-per-file", type=int, default=2000)

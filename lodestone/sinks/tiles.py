@@ -188,8 +188,14 @@ def encoded(tiles: DataFrame, encoder: str) -> DataFrame:
     return tiles.groupBy("tile").applyInArrow(run, "tile string, path string, content binary")
 
 
-def written(contents: DataFrame, folder: str) -> DataFrame:
-    """Write each content to its path under the folder; (tile, path, bytes).
+def through(middleware: list[Callable[[str, bytes], tuple[str, bytes]]], path: str, content: bytes) -> tuple[str, bytes]:
+    for step in middleware:
+        path, content = step(path, content)
+    return path, content
+
+
+def written(contents: DataFrame, folder: str, middleware: list[Callable[[str, bytes], tuple[str, bytes]]] = []) -> DataFrame:  # noqa: B006
+    """Write each content, as the middleware leaves it, to its path under the folder; (tile, path, bytes).
 
     A path depends on the tile alone and its content on its points, so an
     attempt that is run again writes the same file.
@@ -199,8 +205,9 @@ def written(contents: DataFrame, folder: str) -> DataFrame:
         from ..storage import write
 
         for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+            pairs = [through(middleware, p, c) for p, c in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True)]
+            for path, content in pairs:
                 write(f"{folder}/{path}", content)
-            yield pa.RecordBatch.from_arrays([b.column("tile"), b.column("path"), pa.array([len(c) for c in b.column("content").to_pylist()], pa.int64())], names=["tile", "path", "bytes"])
+            yield pa.RecordBatch.from_arrays([b.column("tile"), pa.array([p for p, _ in pairs]), pa.array([len(c) for _, c in pairs], pa.int64())], names=["tile", "path", "bytes"])
 
-    return contents.select("tile", "path", "content").mapInArrow(run, "tile string, path string, bytes long").withColumn("path", F.col("path"))
+    return contents.select("tile", "path", "content").mapInArrow(run, "tile string, path string, bytes long")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import lzma
+import math
 import re
 import struct
 import zlib
@@ -26,6 +27,11 @@ _FORMS = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f
 _WIDTH, _HEIGHT, _BITS, _CODEC, _PHOTO, _STRIPS, _SAMPLES, _ROWS, _STRIP_SIZES, _PLANAR, _PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
 _PALETTE, _TILE_W, _TILE_H, _TILES, _TILE_SIZES, _EXTRA, _FORMAT = 320, 322, 323, 324, 325, 338, 339
 _SCALE, _TIEPOINT, _MATRIX, _GEOKEYS, _METADATA, _NODATA, _SUBFILE = 33550, 33922, 34264, 34735, 42112, 42113, 254
+_GEODOUBLES = 34736
+# projection methods, ellipsoids and units of GeoTIFF keys (fixed values)
+_METHODS = {1: "tmerc", 7: "merc", 8: "lcc", 9: "lcc", 10: "laea", 11: "aea", 15: "stere"}
+_BALLS = {7030: "wgs84", 7019: "grs80", 7022: "intl", 7004: "bessel", 7008: "clrk66", 7001: "airy", 7024: "krass"}
+_METRES = {9001: 1.0, 9002: 0.3048, 9003: 1200 / 3937, 9036: 1000.0}
 CODECS = {1: "none", 5: "lzw", 8: "deflate", 32946: "deflate", 32773: "packbits", 34925: "lzma", 50000: "zstd"}
 
 
@@ -170,10 +176,42 @@ class Image:
         keys = self.tags.get(_GEOKEYS, ())
         return next((keys[i + 3] for i in range(4, len(keys) - 3, 4) if keys[i] == key and keys[i + 1] == 0), None)
 
+    def geonumber(self, *found: int) -> float | None:
+        """The first of the keys that has a number of its own."""
+        keys, numbers = self.tags.get(_GEOKEYS, ()), self.tags.get(_GEODOUBLES, ())
+        at = {keys[i]: keys[i + 3] for i in range(4, len(keys) - 3, 4) if keys[i + 1] == _GEODOUBLES}
+        return next((float(numbers[at[k]]) for k in found if k in at and at[k] < len(numbers)), None)
+
     def crs(self) -> str | None:
+        """An EPSG code, with that of the heights, or a PROJ string of the parameters that the keys give."""
         flat = next((c for c in (self.geokey(3072), self.geokey(2048)) if c and c != 32767), None)
         high = self.geokey(4096)
-        return f"EPSG:{flat}" + (f"+{high}" if high and high != 32767 else "") if flat else None
+        if flat and not (self.geokey(3072) == 32767 and self.geokey(3075)):
+            return f"EPSG:{flat}" + (f"+{high}" if high and high != 32767 else "")
+        return self._described()
+
+    def _described(self) -> str | None:
+        kind = _METHODS.get(self.geokey(3075) or 0)
+        if kind is None:
+            return None
+        g = self.geonumber
+        parts = [f"+proj={kind}"]
+        values = {"lon_0": g(3095, 3080, 3084, 3088), "lat_0": g(3081, 3085, 3089), "lat_1": g(3078), "lat_2": g(3079), "k_0": g(3092, 3093), "x_0": g(3082, 3086, 3090), "y_0": g(3083, 3087, 3091)}
+        unit = _METRES.get(self.geokey(3076) or 9001, g(3077) or 1.0)
+        if kind == "stere":
+            lat = values["lat_0"] if values["lat_0"] is not None else 90.0
+            values |= {"lat_0": 90.0 if lat >= 0 else -90.0, "lat_ts": values.pop("lat_1") if values["lat_1"] is not None else None if abs(lat) == 90 else lat}
+        for k in ("x_0", "y_0"):
+            values[k] = None if values[k] is None else values[k] * unit
+        parts += [f"+{k}={v!r}" for k, v in values.items() if v is not None and not (k in ("lat_1", "lat_2") and kind not in ("lcc", "aea"))]
+        a, rf, b = g(2057), g(2059), g(2058)
+        if a:
+            parts += [f"+a={a!r}"] + ([f"+rf={rf!r}"] if rf else [f"+b={b if b else a!r}"])
+        elif self.geokey(2056) in _BALLS:
+            parts.append(f"+ellps={_BALLS[self.geokey(2056)]}")
+        elif self.geokey(2048) in (4269, 4258, 4283):
+            parts.append("+ellps=grs80")
+        return " ".join([*parts, f"+to_meter={unit!r}"])
 
     def nodata(self) -> float | None:
         text = self.tags.get(_NODATA, (b"",))[0].rstrip(b"\0 ").decode("ascii", "replace")
@@ -279,13 +317,16 @@ class Blocks(InputPartition):
 class Reader(DataSourceReader):
     """A partition has some blocks; all planes of a block go together."""
 
-    def __init__(self, uri: str, bands: int, each: int = 64):
-        self.uri, self.bands, self.each = uri, bands, each
+    def __init__(self, uri: str, bands: int, window: tuple[int, ...] | None = None, each: int = 64):
+        self.uri, self.bands, self.window, self.each = uri, bands, window, each
 
     def partitions(self) -> list[Blocks]:
+        by: dict[tuple[int, int], list] = {}
         with File(self.uri) as f:
-            by: dict[tuple[int, int], list] = {}
-            for b in largest(images(f.read)).blocks():
+            image = largest(images(f.read))
+        (w, h), (left, top, right, bottom) = image.block, self.window or (0, 0, *image.size)
+        for b in image.blocks():
+            if b[1] < right and b[1] + w > left and b[2] < bottom and b[2] + h > top:
                 by.setdefault(b[1:3], []).append(b)
         groups = list(by.values())
         return [Blocks(self.uri, groups[i : i + self.each]) for i in range(0, len(groups), self.each)] or [Blocks(self.uri, [])]
@@ -306,7 +347,10 @@ class Reader(DataSourceReader):
 
 
 class GeoTiffSource(DataSource):
-    """spark.read.format("lodestone_geotiff").load(path): row, col and the raw value of each band."""
+    """spark.read.format("lodestone_geotiff").load(path): row, col and the raw value of each band.
+
+    Option window: left, top, right, bottom in cells; blocks beyond it aren't read.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -320,14 +364,16 @@ class GeoTiffSource(DataSource):
         return T.StructType([T.StructField("row", T.IntegerType()), T.StructField("col", T.IntegerType()), *(T.StructField(f"band_{b + 1}", T.DoubleType()) for b in range(self._bands()))])
 
     def reader(self, schema: T.StructType) -> Reader:
-        return Reader(self.options["path"], len(schema.names) - 2)
+        window = self.options.get("window")
+        return Reader(self.options["path"], len(schema.names) - 2, tuple(map(int, window.split(","))) if window else None)
 
 
-def read_bands(spark: SparkSession, uri: str) -> DataFrame:
-    """row, col and scaled bands; no-data values are null."""
+def read_bands(spark: SparkSession, uri: str, window: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """row, col and scaled bands; no-data values are null.  window: left, top, right, bottom; of blocks beyond it nothing is read."""
     ship(spark)
     spark.dataSource.register(GeoTiffSource)
-    raw = spark.read.format("lodestone_geotiff").load(uri)
+    reader = spark.read.format("lodestone_geotiff")
+    raw = (reader.option("window", ",".join(map(str, window))) if window else reader).load(uri)
     with File(uri) as f:
         image = largest(images(f.read))
     none, out = image.nodata(), {}
@@ -339,11 +385,11 @@ def read_bands(spark: SparkSession, uri: str) -> DataFrame:
     return raw.withColumns(out)
 
 
-def read_colours(spark: SparkSession, uri: str) -> DataFrame:
+def read_colours(spark: SparkSession, uri: str, window: tuple[int, int, int, int] | None = None) -> DataFrame:
     """row, col, r, g, b, a: one band is grey or goes through the palette, a second or fourth is opacity."""
     with File(uri) as f:
         image = largest(images(f.read))
-    bands = read_bands(spark, uri)
+    bands = read_bands(spark, uri, window)
     shift = 256 ** (image.dtype.itemsize - 1) if image.dtype.kind == "u" else 1
     value = lambda b: F.least(F.greatest(F.floor(F.col(f"band_{b}") / shift), F.lit(0)), F.lit(255)).cast("int")
     first, opaque = F.col("band_1"), F.lit(255)
@@ -360,18 +406,25 @@ def read_colours(spark: SparkSession, uri: str) -> DataFrame:
     return bands.select("row", "col", *(F.when(seen, v).otherwise(0).cast("int").alias(c) for c, v in zip("rgb", rgb, strict=True)), F.when(seen, opaque).otherwise(0).cast("int").alias("a"))
 
 
-def colour_points(spark: SparkSession, points: DataFrame, uri: str, ids: list[str], bilinear: bool = False, min_alpha: int = 1, drop_missing: bool = False) -> DataFrame:
-    """Points whose x and y are in the image's CRS take its colours, those beyond it keep theirs or go."""
+def colour_points(spark: SparkSession, points: DataFrame, uri: str, ids: list[str], bilinear: bool = False, min_alpha: int = 1, drop_missing: bool = False, place: tuple[str, str] = ("x", "y")) -> DataFrame:
+    """Points whose columns ``place`` are in the image's CRS take its colours, those beyond it keep theirs or go.
+
+    Only blocks that the points' box meets are read.
+    """
     g = georeference(uri)
     x0, dx, skew_x, y0, skew_y, dy = g.affine
+    det = dx * dy - skew_x * skew_y
+    px, py = F.col(place[0]) - x0, F.col(place[1]) - y0
     if skew_x or skew_y:
-        det = dx * dy - skew_x * skew_y
-        u = (dy * (F.col("x") - x0) - skew_x * (F.col("y") - y0)) / det
-        v = (dx * (F.col("y") - y0) - skew_y * (F.col("x") - x0)) / det
-        at, origin, step = points.withColumns({"_x": F.col("x"), "_y": F.col("y"), "x": u, "y": v}), (0.0, 0.0), (1.0, 1.0)
+        u, v, origin, step = (dy * px - skew_x * py) / det, (dx * py - skew_y * px) / det, (0.0, 0.0), (1.0, 1.0)
     else:
-        at, origin, step = points.withColumns({"_x": F.col("x"), "_y": F.col("y")}), (x0, y0), (dx, dy)
-    cells = read_colours(spark, uri)
+        u, v, origin, step = F.col(place[0]), F.col(place[1]), (x0, y0), (dx, dy)
+    at = points.withColumns({"_x": F.col("x"), "_y": F.col("y")}).withColumns({"x": u, "y": v})
+    box = at.agg(*(f((F.col(c) - o) / s).alias(f"{c}{n}") for c, o, s in zip("xy", origin, step, strict=True) for n, f in (("0", F.min), ("1", F.max)))).first()
+    finite = [v if v is not None and math.isfinite(v) else 0.0 for v in box]
+    bounded = lambda v, top: int(min(max(v, 0), top))
+    window = (bounded(finite[0] - 2, g.size[0]), bounded(finite[2] - 2, g.size[1]), bounded(finite[1] + 3, g.size[0]), bounded(finite[3] + 3, g.size[1]))
+    cells = read_colours(spark, uri, window)
     if bilinear:
         found = raster.bilinear_cells(at, cells, ids, origin, step)
         met = at.join(found, ids, "left")

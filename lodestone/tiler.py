@@ -47,10 +47,13 @@ class Options:
     placement: frames.Affine | None = None
     mutators: list[transforms.Mutator] = field(default_factory=list)
     write_mutators: list[transforms.Mutator] = field(default_factory=list)  # run on placed points, and keep each
-    orthophoto: str | None = None  # a GeoTIFF in the points' CRS
+    orthophoto: str | None = None  # a GeoTIFF
     min_alpha: int = 1
     drop_uncoloured: bool = False
     progress: Callable[[str, dict], None] | None = None
+    planner: Callable[[DataFrame, int, list[str]], kd.Plan] = kd.plan  # (points, leaves wanted, ids)
+    middleware: list[Callable[[str, bytes], tuple[str, bytes]]] = field(default_factory=list)  # between (path, content) and the folder, in order
+    finalizers: list[Callable[[], None]] = field(default_factory=list)  # run last, after a failure too
 
     def check(self) -> None:
         if not 5_000 <= self.points_per_tile <= 5_000_000:
@@ -87,11 +90,51 @@ def read(spark: SparkSession, files: list[str], attributes: list[str], eight_bit
 def tile_points(spark: SparkSession, points: DataFrame, crs: str | None, folder: str, options: Options | None = None) -> dict:
     """Write points (file_id, pos, x, y, z, r, g, b and attributes) as 3D Tiles; what was written.
 
-    Reprojection, filters and colours are one projection; the local points are
-    written once to the shared folder and read for statistics, routing and levels.
+    The finalizers run at the end, whether or not writing failed; all errors are raised together.
     """
-    o = options or Options()
+    o, errors, done = options or Options(), [], {}
     o.check()
+    try:
+        done = _tiled(spark, points, crs, folder, o)
+    except Exception as e:  # noqa: BLE001
+        errors.append(e)
+    for last in o.finalizers:
+        try:
+            last()
+        except Exception as e:  # noqa: BLE001
+            errors.append(e)
+    if len(errors) > 1:
+        raise ExceptionGroup("tiling failed", errors)
+    if errors:
+        raise errors[0]
+    return done
+
+
+def _photographed(spark: SparkSession, points: DataFrame, crs: str | None, o: Options, ids: list[str]) -> DataFrame:
+    """points with the image's colours, wherever they lie in its CRS."""
+    lies = geotiff.georeference(o.orthophoto)
+    if not lies.crs:
+        raise ValueError("the image names no CRS")
+    same = crs and lies.crs.lower().removeprefix("epsg:").partition("+")[0] == crs.lower().removeprefix("epsg:").partition("+")[0]
+    place = ("x", "y")
+    if not same:
+        if not crs and not o.placement:
+            raise ValueError("points without a CRS can't be found in an image")
+        own = {a: f"_own_{a}" for a in "xyz"}
+        points = points.withColumns({n: F.col(a) for a, n in own.items()})
+        earth = _placed(points, o.placement) if o.placement else frames.reprojected(points, crs)
+        points, place = frames.projected(earth, lies.crs).withColumns({"_u": F.col("x"), "_v": F.col("y")}).withColumns({a: F.col(n) for a, n in own.items()}).drop(*own.values()), ("_u", "_v")
+    return geotiff.colour_points(spark, points, o.orthophoto, ids, min_alpha=o.min_alpha, drop_missing=o.drop_uncoloured, place=place).drop("_u", "_v")
+
+
+def _placed(points: DataFrame, placement: frames.Affine) -> DataFrame:
+    return points.withColumns(dict(zip("xyz", placement.forward(F.col("x"), F.col("y"), F.col("z")), strict=True)))
+
+
+def _tiled(spark: SparkSession, points: DataFrame, crs: str | None, folder: str, o: Options) -> dict:
+    """Reprojection, filters and colours are one projection; the local points are
+    written once to the shared folder and read for statistics, routing and levels.
+    """
     ids = ["file_id", "pos"]
     ws = Workspace(spark, "tiler")
     if not crs and not o.placement:
@@ -101,12 +144,9 @@ def tile_points(spark: SparkSession, points: DataFrame, crs: str | None, folder:
     if o.subsample < 1:
         kept = sample.subsample(kept, o.subsample, ids)
     if o.orthophoto:
-        lies = geotiff.georeference(o.orthophoto)
-        if not lies.crs or not crs or lies.crs.lower().removeprefix("epsg:") != crs.lower().removeprefix("epsg:"):
-            raise ValueError(f"the image's CRS is {lies.crs}, the points' is {crs}")
-        kept = geotiff.colour_points(spark, kept, o.orthophoto, ids, min_alpha=o.min_alpha, drop_missing=o.drop_uncoloured)
+        kept = _photographed(spark, kept, crs, o, ids)
     if o.placement:
-        earth = kept.withColumns(dict(zip("xyz", o.placement.forward(F.col("x"), F.col("y"), F.col("z")), strict=True)))
+        earth = _placed(kept, o.placement)
     else:
         earth = frames.reprojected(kept, crs)
     anchor = o.placement or frames.anchored(earth, ids)
@@ -120,7 +160,7 @@ def tile_points(spark: SparkSession, points: DataFrame, crs: str | None, folder:
     if not box["n"]:
         raise ValueError("no points are left")
     o.tell("read", **box)
-    plan = kd.plan(local, kd.leaf_count(box["n"], o.points_per_tile, o.refine), ids)
+    plan = o.planner(local, kd.leaf_count(box["n"], o.points_per_tile, o.refine), ids)
     routed = plan.routed(local).withColumn("point_id", F.col("file_id").cast("long") * (1 << 40) + F.col("pos"))
     o.tell("planned", leaves=len(plan.leaves))
     placed = ws.keep(kd.bubble_up(spark, routed, o.refine), "placed")
@@ -138,7 +178,7 @@ def tile_points(spark: SparkSession, points: DataFrame, crs: str | None, folder:
         chained = kd.insert_chain(placed.filter(F.col("tile") == kd.ROOT), takes, o.refine)
         chained = chained.withColumn("tile", F.when(F.col("chain") == 0, F.lit(kd.ROOT)).otherwise(F.concat(F.lit(f"{kd.ROOT}c"), F.col("chain").cast("string")))).drop("chain")
         placed = placed.filter(F.col("tile") != kd.ROOT).unionByName(chained)
-    out = tiles.written(tiles.encoded(placed.select(*columns), o.encoder), folder)
+    out = tiles.written(tiles.encoded(placed.select(*columns), o.encoder), folder, o.middleware)
     written = out.agg(F.count("*").alias("tiles"), F.sum("bytes").alias("bytes")).first()
     o.tell("written", **written.asDict())
     _, ending, version, _ = tiles.ENCODERS[o.encoder]
@@ -148,7 +188,7 @@ def tile_points(spark: SparkSession, points: DataFrame, crs: str | None, folder:
     top.transform = anchor.column_major()
     ranges = [r.asDict() for r in stats.attribute_ranges(local, exported).collect()] if exported else []
     properties, extra = tileset.range_metadata(ranges, version)
-    tileset.write_index(folder, tileset.index_files(top, o.tiles_per_file, version, properties, extra, o.error_factor))
+    tileset.write_index(folder, tileset.index_files(top, o.tiles_per_file, version, properties, extra, o.error_factor), o.middleware)
     return {"points": box["n"], "tiles": written["tiles"], "bytes": written["bytes"], "leaves": len(plan.leaves), "levels": plan.depth + 1 + len(takes)}
 
 

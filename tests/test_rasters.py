@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import crs, frames
 from lodestone.sources import e57, geotiff
 
 
@@ -252,6 +253,49 @@ def test_outcomes(spark):
     assert tuple(geotiff.outcome(df).select(*map(F.col, ("coloured", "missing", "transparent"))).first()) == (1, 1, 1)
 
 
+def _worldly(path):
+    path.with_suffix(".tfw").write_text("2\n0\n0\n-2\n1001\n1999\n")
+    return str(path)
+
+
+def test_only_blocks_near_the_points_are_read(spark, tmp_path):
+    data = np.arange(64 * 64, dtype=np.uint16).reshape(64, 64, 1)
+    path = write_tiff(tmp_path / "a.tif", data, codec=8, tile=(16, 16))
+    assert geotiff.read_bands(spark, path, (17, 0, 20, 16)).count() == 256
+    assert geotiff.read_bands(spark, path, (0, 0, 0, 0)).count() == 0
+    assert geotiff.read_bands(spark, path, (15, 15, 17, 17)).count() == 4 * 256
+
+
+def test_systems_from_keys(tmp_path):
+    image = geotiff.Image("<", {34735: (1, 1, 0, 9, 1024, 0, 1, 1, 3072, 0, 1, 32767, 3075, 0, 1, 8, 3076, 0, 1, 9003, 2048, 0, 1, 4269, 3078, 34736, 1, 0, 3079, 34736, 1, 1, 3084, 34736, 1, 2, 3085, 34736, 1, 3), 34736: (28.5, 30.25, -99.0, 27.75)})
+    c = crs.parsed(image.crs())
+    assert (c.kind, c.lat1, c.lat2, c.lon0, c.lat0, c.ellipsoid) == ("lcc", 28.5, 30.25, -99.0, 27.75, crs.GRS) and c.unit == pytest.approx(0.3048006)
+    tm = geotiff.Image("<", {34735: (1, 1, 0, 4, 3072, 0, 1, 32767, 3075, 0, 1, 1, 3080, 34736, 1, 0, 3092, 34736, 1, 1), 34736: (9.0, 0.9996)})
+    assert (crs.parsed(tm.crs()).kind, crs.parsed(tm.crs()).lon0, crs.parsed(tm.crs()).scale) == ("tmerc", 9.0, 0.9996)
+    assert geotiff.Image("<", {34735: (1, 1, 0, 2, 3072, 0, 1, 25832, 4096, 0, 1, 7837)}).crs() == "EPSG:25832+7837"
+
+
+def test_middleware_finalizers_and_planner(spark, tmp_path):
+    from lodestone.plans import kd
+    from lodestone.tiler import Options, tile_points
+
+    points = spark.createDataFrame([(0, i, 500000.0 + i, 4400000.0 + i % 7, 1.0, 1, 1, 1) for i in range(50)], "file_id int, pos long, x double, y double, z double, r short, g short, b short")
+    seen = []
+    plan = lambda df, n, ids: kd.Plan([kd.Node("0", "x", 0.0), kd.Node("00"), kd.Node("01")])
+    o = Options(encoder="pnts", planner=plan, middleware=[lambda p, c: (p + ".x", c[::-1]), lambda p, c: ("under/" + p, c)], finalizers=[lambda: seen.append(1), lambda: seen.append(2)])
+    assert tile_points(spark, points, "EPSG:32633", str(tmp_path / "a"), o)["leaves"] == 2
+    assert (tmp_path / "a/under/tileset.json.x").read_bytes()[::-1].startswith(b'{"asset"') and (tmp_path / "a/under/data/0/content.pnts.x").read_bytes()[-4:] == b"stnp" and seen == [1, 2]
+
+    def fails():
+        raise RuntimeError("closing")
+
+    with pytest.raises(RuntimeError, match="closing"):
+        tile_points(spark, points, "EPSG:32633", str(tmp_path / "b"), Options(encoder="pnts", finalizers=[fails]))
+    with pytest.raises(ExceptionGroup) as both:
+        tile_points(spark, points, "nowhere", str(tmp_path / "c"), Options(finalizers=[fails, lambda: seen.append(3)]))
+    assert len(both.value.exceptions) == 2 and seen == [1, 2, 3]
+
+
 def test_tiling_with_an_orthophoto(spark, tmp_path):
     from lodestone.tiler import Options, tile_points
 
@@ -264,7 +308,11 @@ def test_tiling_with_an_orthophoto(spark, tmp_path):
     inside = sum(r[3] <= 2000 for r in rows)
     out = tile_points(spark, points, "EPSG:32633", str(tmp_path / "o"), Options(orthophoto=path, drop_uncoloured=True, encoder="pnts"))
     assert out["points"] == inside
+    # the same places in another CRS meet the same cells
+    ahead = frames.projected(frames.reprojected(points, "EPSG:32633"), "EPSG:3035")
+    out = tile_points(spark, ahead, "EPSG:3035", str(tmp_path / "p"), Options(orthophoto=path, drop_uncoloured=True, encoder="pnts"))
+    assert out["points"] == inside
     with pytest.raises(ValueError, match="CRS"):
-        tile_points(spark, points, "EPSG:32634", str(tmp_path / "p"), Options(orthophoto=path))
+        tile_points(spark, points, "EPSG:32634", str(tmp_path / "p"), Options(orthophoto=write_tiff(tmp_path / "b.tif", data, geo=False) and _worldly(tmp_path / "b.tif")))
     with pytest.raises(ValueError, match="write mutator"):
         tile_points(spark, points, "32633", str(tmp_path / "q"), Options(write_mutators=[lambda df: df.filter("point_id > 5")]))
