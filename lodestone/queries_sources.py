@@ -47,7 +47,7 @@ _KEY = [("Key", "uint32", None, None), ("form", "uint8", None, None)]
 _FORMS = [str(f) for f in sorted(las.FORMATS)]
 
 
-def _las(kind: str, t: dict[str, np.ndarray], extra=_KEY) -> bytes:
+def _las(kind: str, t: dict[str, np.ndarray], extra=_KEY, chunk: int | None = None) -> bytes:
     form, k, s = int(kind), t["k"], t["s"]
     r = clouds.las_records(form, len(k), extra)
     r["X"], r["Y"], r["Z"], r["intensity"], r["extra:Key"] = s * 25, t["p"], k % 97 - 48, k * 31 % 65536, k
@@ -66,7 +66,7 @@ def _las(kind: str, t: dict[str, np.ndarray], extra=_KEY) -> bytes:
     for n, v in (("gps_time", k * 0.5), ("red", k * 37 % 65536), ("green", k * 41 % 65536), ("blue", k * 43 % 65536), ("nir", k * 47 % 65536), ("wave_packet_size", k * 3), ("wave_return_location", s * 0.5)):
         if n in r.dtype.names:
             r[n] = v
-    return clouds.las_file(form, r, 0.01, (500_000.0, 4_400_000.0, 120.0), extra, 32633)
+    return clouds.las_file(form, r, 0.01, (500_000.0, 4_400_000.0, 120.0), extra, 32633, chunk)
 
 
 def _las_points(spark, sf_dir, *names: str) -> DataFrame:
@@ -106,6 +106,17 @@ def las_fields(spark, sf_dir):
     return rounded(_las_points(spark, sf_dir, *names).select("key", "form", *names), 4, "scan_angle")
 
 
+@query(
+    f"""{_EVERY_FORM} SELECT k AS key, form, CAST(s * 0.25 + 500000 AS DOUBLE) AS x, round(p / 100 + 4400000, 2) AS y, round((k % 97 - 48) / 100 + 120, 2) AS z, CAST(CASE WHEN rgb THEN k * 41 % 65536 // 256 ELSE 255 END AS SMALLINT) AS g,
+CAST(k * 31 % 65536 AS INTEGER) AS intensity, CAST(k % 32 AS SMALLINT) AS classification, CAST(k % 5 + 1 AS SMALLINT) AS return_number, k // 11 % 2 = 1 AS withheld, CAST(k % 181 - 90 AS DOUBLE) AS scan_angle, CAST(k * 7 % 65536 AS INTEGER) AS point_source_id, CAST(CASE WHEN form IN (1, 3) THEN k * 0.5 ELSE 0 END AS DOUBLE) AS gps_time FROM f WHERE form < 4"""
+)
+def laz_formats(spark, sf_dir):
+    """Compressed files, chunk by chunk."""
+    folder = _files(spark, _parts(spark, sf_dir), ["0", "1", "2", "3"], "laz", lambda kind, t: _las(kind, t, chunk=700))
+    names = ["key", "form", "intensity", "classification", "return_number", "withheld", "scan_angle", "point_source_id", "gps_time"]
+    return rounded(las.read_points(spark, folder, names).select(*names, "x", "y", "z", "g"), 2, "x", "y", "z")
+
+
 _TYPED = [("Key", "uint32", None, None), *((f"as {t}", t, None, None) for t in ("uint8", "int8", "uint16", "int16", "uint32", "int32", "int64", "float32", "float64")), ("Scaled", "int16", 0.5, 100.0), ("Shifted", "uint8", None, 7.0)]
 
 

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 
 from ..model import NUMPY_TYPES
+from ..sources import laz
 from ..sources.las import EXTRA_TYPES, FORMATS
 
 # ---------------------------------------------------------------- LAS
@@ -22,7 +23,8 @@ def las_records(form: int, n: int, extra: list[Extra] = []) -> np.ndarray:  # no
     return np.zeros(n, np.dtype([*FORMATS[form], *((f"extra:{name}", NUMPY_TYPES[kind]) for name, kind, *_ in extra)]))
 
 
-def las_file(form: int, records: np.ndarray, scale: float = 0.01, shift: tuple[float, float, float] = (0.0, 0.0, 0.0), extra: list[Extra] = [], epsg: int | None = None) -> bytes:  # noqa: B006
+def las_file(form: int, records: np.ndarray, scale: float = 0.01, shift: tuple[float, float, float] = (0.0, 0.0, 0.0), extra: list[Extra] = [], epsg: int | None = None, chunk: int | None = None) -> bytes:  # noqa: B006
+    """chunk: points of a compressed chunk; without it nothing is compressed."""
     vlrs = []
 
     def vlr(user: bytes, record: int, body: bytes) -> None:
@@ -41,15 +43,18 @@ def las_file(form: int, records: np.ndarray, scale: float = 0.01, shift: tuple[f
             struct.pack_into("<d", d, 136, offset or 0.0)
             body += bytes(d)
         vlr(b"LASF_Spec", 4, body)
+    packing = laz.Packing(chunk, laz.items_of(form, records.dtype.itemsize)) if chunk else None
+    if packing:
+        vlr(b"laszip encoded", 22204, packing.body())
     body, long = b"".join(vlrs), form >= 6
     size = 375 if long else 227
     head = bytearray(size)
     head[:4], head[24], head[25] = b"LASF", 1, 4 if long else 2
-    struct.pack_into("<HIIBHI", head, 94, size, size + len(body), len(vlrs), form, records.dtype.itemsize, 0 if long else len(records))
+    struct.pack_into("<HIIBHI", head, 94, size, size + len(body), len(vlrs), form | 0x80 * bool(packing), records.dtype.itemsize, 0 if long else len(records))
     struct.pack_into("<6d", head, 131, scale, scale, scale, *shift)
     if long:
         struct.pack_into("<Q", head, 247, len(records))
-    return bytes(head) + body + records.tobytes()
+    return bytes(head) + body + (laz.packed(records.tobytes(), packing, size + len(body)) if packing else records.tobytes())
 
 
 # ---------------------------------------------------------------- PLY

@@ -1,4 +1,4 @@
-"""Uncompressed LAS point clouds, versions 1.0 to 1.4."""
+"""LAS point clouds, versions 1.0 to 1.4, and compressed ones (LAZ) of point formats 0 to 3."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..job import ship
 from ..model import NUMPY_TYPES, canonical, field, merged_types
 from ..storage import File, listed
+from . import laz
 
 ROWS = 250_000
 
@@ -61,6 +62,7 @@ class Las:
     shift: tuple[float, float, float]
     extra: list[tuple[str, str, float | None, float | None]]  # name, type, scale, offset
     epsg: int | None
+    packing: laz.Packing | None = None
 
     @property
     def long(self) -> bool:
@@ -98,8 +100,7 @@ def header(read, size: int) -> Las:
         raise ValueError("not a LAS file")
     version = h[24], h[25]
     header_size, offset, vlrs, form, length, count = struct.unpack_from("<HIIBHI", h, 94)
-    if form & 0x80 or form & 0x40:
-        raise ValueError("compressed points (LAZ) are not read")
+    compressed, form, packing = bool(form & 0xC0), form & 0x3F, None
     if form not in FORMATS:
         raise ValueError(f"unknown point format {form}")
     numbers = struct.unpack_from("<6d", h, 131)
@@ -119,11 +120,15 @@ def header(read, size: int) -> Las:
                 scale, shift = struct.unpack_from("<d", body, a + 112)[0], struct.unpack_from("<d", body, a + 136)[0]
                 scaled = options & 24
                 extra.append((body[a + 4 : a + 36].rstrip(b"\0").decode("utf-8", "replace"), EXTRA_TYPES[kind], (scale if options & 8 else 1.0) if scaled else None, (shift if options & 16 else 0.0) if scaled else None))
+        elif user == b"laszip encoded" and record == 22204 and compressed:
+            packing = laz.Packing.of(body)
         elif user == b"LASF_Projection" and record == 34735:
             keys = np.frombuffer(body, "<u2")[4:].reshape(-1, 4)
             epsg = next((int(k[3]) for k in keys if k[0] in (3072, 2048) and k[1] == 0 and k[3] not in (0, 32767)), epsg)
-    out = Las(version, form, length, count, offset, numbers[0:3], numbers[3:6], extra, epsg)
-    if out.length < np.dtype(FORMATS[form]).itemsize or offset + count * length > size:
+    out = Las(version, form, length, count, offset, numbers[0:3], numbers[3:6], extra, epsg, packing)
+    if compressed and (packing is None or sum(n for _, n in packing.items) != length):
+        raise ValueError("the LAZ file doesn't say how it is compressed")
+    if out.length < np.dtype(FORMATS[form]).itemsize or (not compressed and offset + count * length > size):
         raise ValueError("the LAS file is cut short")
     return out
 
@@ -171,6 +176,8 @@ class Range(InputPartition):
     uri: str
     first: int
     count: int
+    place: int = 0  # of a compressed chunk
+    size: int = 0
 
 
 OWN = ("file_id", "pos", *"xyz", *"rgb")
@@ -184,7 +191,11 @@ class Reader(DataSourceReader):
         out = []
         for i, uri in enumerate(self.files):
             with File(uri) as f:
-                n = header(f.read, f.size).count
+                las = header(f.read, f.size)
+                n = las.count
+                if las.packing and n:  # a chunk is decoded as a whole
+                    out += [Range(i, uri, *c) for c in laz.chunks(f.read, las.offset, f.size, n, las.packing) if c[1]]
+                    continue
             out += [Range(i, uri, a, min(ROWS, n - a)) for a in range(0, n, ROWS)]
         return out or [Range(-1, "", 0, 0)]
 
@@ -194,9 +205,10 @@ class Reader(DataSourceReader):
         with File(part.uri) as f:
             las = header(f.read, f.size)
             own = las.attributes()
+            chunk = np.frombuffer(laz.decoded(f.read(part.place, part.size), part.count, las.packing), las.dtype) if las.packing else None
             for a in range(part.first, part.first + part.count, 1 << 16):
                 n = min(1 << 16, part.first + part.count - a)
-                raw = np.frombuffer(f.read(las.offset + a * las.length, n * las.length), las.dtype)
+                raw = np.frombuffer(f.read(las.offset + a * las.length, n * las.length), las.dtype) if chunk is None else chunk[a - part.first : a - part.first + n]
                 rest = [c for c in self.schema.names if c not in OWN]
                 named = sources(rest, list(own)) if self.asked else {c: c for c in rest if c in own}
                 data = columns(las, raw, self.eight_bit, [*"xyzrgb", *named.values()])

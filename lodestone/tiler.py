@@ -19,6 +19,7 @@ from .sources import e57, geotiff, las, ply
 #: Readers by file ending: (read(spark, path, attributes, eight_bit), crs(path)).
 READERS: dict[str, tuple[Callable, Callable]] = {
     "las": (lambda spark, path, attributes, eight_bit: las.read_points(spark, path, attributes, eight_bit), las.crs_of),
+    "laz": (lambda spark, path, attributes, eight_bit: las.read_points(spark, path, attributes, eight_bit), las.crs_of),
     "e57": (lambda spark, path, attributes, eight_bit: e57.read_points(spark, path, attributes), lambda path: None),
     "ply": (lambda spark, path, attributes, eight_bit: ply.read_points(spark, path, attributes), lambda path: None),
 }

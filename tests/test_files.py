@@ -12,8 +12,8 @@ from lodestone import cli, model
 from lodestone.operators import splats as S
 from lodestone.plans import kd
 from lodestone.plans import splats as P
-from lodestone.sinks import meshopt, spz, tiles, tileset
-from lodestone.sources import las, ply
+from lodestone.sinks import clouds, meshopt, spz, tiles, tileset
+from lodestone.sources import las, laz, ply
 from lodestone.streaming import ingest
 from lodestone.tiler import Options, process, tile_points
 
@@ -157,6 +157,55 @@ def test_las_folder_and_conflicts(spark, tmp_path):
         las.read_points(spark, str(tmp_path / "short.las")).count()
 
 
+def odd_records(form, n, extra, seed=3):
+    g = np.random.default_rng(seed)
+    r = np.zeros(n, np.dtype([*las.FORMATS[form], *([("e", f"S{extra}")] if extra else [])]))
+    for name, (kind, _) in r.dtype.fields.items():
+        if kind.kind in "iu":
+            info = np.iinfo(kind)
+            r[name] = g.integers(info.min, info.max, n, dtype=kind, endpoint=True) if n % 2 else np.cumsum(g.integers(-1, 2, n)).astype(kind)
+    if "gps_time" in r.dtype.names:
+        r["gps_time"] = 3e8 + np.cumsum(g.choice([0, 1e-4, 1e-4, 1e-4, 5e-4, -1e-4, 0.1, 100.0, -1e6, 1e7], n))
+    if extra:
+        r["e"] = [bytes(g.integers(1, 255, extra).astype("u1")) for _ in range(n)]
+    return r
+
+
+@pytest.mark.parametrize("form", range(4))
+@pytest.mark.parametrize("n,extra", [(1, 0), (1, 3), (2001, 3), (2000, 0)])
+def test_laz_round_trip(form, n, extra):
+    raw = odd_records(form, n, extra)
+    packing = laz.Packing(700, laz.items_of(form, raw.dtype.itemsize))
+    assert laz.Packing.of(packing.body()) == packing
+    made = b"\0" * 99 + laz.packed(raw.tobytes(), packing, 99)
+    found = laz.chunks(lambda at, m: made[at : at + m], 99, len(made), n, packing)
+    assert [c[:2] for c in found] == [(a, min(700, n - a)) for a in range(0, n, 700)]
+    assert b"".join(laz.decoded(made[at : at + m], k, packing) for _, k, at, m in found) == raw.tobytes()
+
+
+def test_laz_that_is_not_read(tmp_path, spark):
+    raw = odd_records(1, 50, 0)
+    (tmp_path / "a.laz").write_bytes(clouds.las_file(1, raw, chunk=20))
+    assert las.read_points(spark, str(tmp_path / "a.laz"), ["gps_time"]).count() == 50
+    body = bytearray((tmp_path / "a.laz").read_bytes())
+    at = body.index(b"laszip encoded") + 52
+    body[at] = 3  # layered
+    (tmp_path / "b.laz").write_bytes(bytes(body))
+    with pytest.raises(Exception, match="formats 0 to 3"):
+        las.read_points(spark, str(tmp_path / "b.laz")).count()
+
+
+def test_spellings_of_one_quantity():
+    have = ["intensity", "echolength", "pulsewidth", "_incidenceangle"]
+    assert las.sources(["echo_width", "pulse_width", "incidenceangle"], have) == {"echo_width": "echolength", "incidenceangle": "_incidenceangle"}
+    for asked, names in las.ALIASES.items():
+        for n in names:
+            assert las.sources([asked], ["intensity", n]) == {asked: n}
+    assert las.sources(["Pulse Width", "intensity"], have) == {"pulsewidth": "echolength", "intensity": "intensity"}
+    with pytest.raises(TypeError, match="one file"):
+        model.merged_types([{"a": "uint8"}, {"b": "int8", "a": "int16"}])
+
+
 # ---------------------------------------------------------------- contents
 
 
