@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import group_ranks
+
 
 def hash_order(ids: list[str], seed: int = 0):
     return F.xxhash64(*ids, F.lit(seed))
@@ -48,7 +50,22 @@ def subsample_by_key(df: DataFrame, key: str, keep: int, of: int) -> DataFrame:
 
 
 def split_exactly(df: DataFrame, share: float, ids: list[str], by: str, seed: int = 0) -> DataFrame:
-    """A column ``taken``: true for int(n * share) rows of each group, chosen by hash."""
-    w = Window.partitionBy(by)
-    rank = F.row_number().over(w.orderBy(hash_order(ids, seed), *ids))
-    return df.withColumn("taken", rank <= F.floor(F.count("*").over(w) * share))
+    """A column ``taken``: true for int(n * share) rows of each group, chosen by hash.
+
+    The hash up to which a group's rows are taken is found by its rank, so no group is sorted; only rows on it are put in order.
+    """
+    spark = df.sparkSession
+    key = F.pmod(hash_order(ids, seed), F.lit(1 << 53)).cast("double")  # exact as a double
+    each = df.select(F.col(by).alias("g"), key.alias("v"))
+    sizes: dict = {}
+    last = group_ranks(each, [share], lambda n: [int(n * share) - 1], sizes=sizes)
+    kind = df.schema[by].dataType.simpleString()
+    rows = [(g, v[0] if v else -1.0, int(sizes[g] * share)) for g, v in last.items()]  # a row for each group
+    limits = F.broadcast(spark.createDataFrame(rows, f"_g {kind}, _last double, _want long"))
+    met = df.withColumn("_key", key).join(limits, F.col(by).eqNullSafe(F.col("_g")))
+    below = met.groupBy("_g").agg(F.count_if(F.col("_key") < F.col("_last")).alias("_below"))
+    on = met.filter("_key = _last").join(F.broadcast(below.withColumnRenamed("_g", "_h")), F.col("_g").eqNullSafe(F.col("_h")))
+    rank = F.row_number().over(Window.partitionBy("_g").orderBy(*ids))
+    on = on.withColumn("taken", F.col("_below") + rank <= F.col("_want"))
+    off = met.filter("_key <> _last").withColumn("taken", F.col("_key") < F.col("_last"))
+    return off.select(*df.columns, "taken").unionByName(on.select(*df.columns, "taken"))

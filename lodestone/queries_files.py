@@ -395,6 +395,21 @@ def stream_leaf_counts(spark, sf_dir):
     return _drained(spark, ingest.leaf_counts(p, plan))
 
 
+@query(
+    f"""WITH {POINTS}, q AS (SELECT quantile_cont(intensity, 0.02) AS lo, quantile_cont(intensity, 0.98) AS hi FROM points), c AS (SELECT {_ramp_sql(colour.GRADIENTS["viridis"].reverse(), "((intensity - lo) / (hi - lo))")} FROM points, q) SELECT r, g, b, count(*) AS n FROM c GROUP BY ALL"""
+)
+def stream_coloured(spark, sf_dir):
+    """A stream coloured over the range of its first batch, which here is all of it."""
+    schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
+    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(_stream_path(spark, sf_dir, "lineitem"))
+    white = {c: F.lit(255).cast("short") for c in "rgb"}
+    p = arriving.select(F.col("l_extendedprice").alias("intensity")).withColumns(white)
+    ws = Workspace(spark, "coloured")
+    ingest.coloured(p, transforms.Colouring.parse("intensity:viridis:reverse"), f"{ws.root}/out", f"{ws.root}/checkpoint").awaitTermination()
+    out = spark.read.parquet(f"{ws.root}/out")
+    return out.groupBy(*(F.col(c).cast("int").alias(c) for c in "rgb")).agg(F.count("*").alias("n"))
+
+
 @query(
     """SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, round(min(value), 6) AS min, round(max(value), 6) AS max, count(value) AS n FROM events GROUP BY 1"""
 )

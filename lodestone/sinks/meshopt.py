@@ -17,23 +17,58 @@ def _zigzag(delta: np.ndarray) -> np.ndarray:
     return ((signed << 1) ^ (signed >> 15)).astype(np.uint8)
 
 
-def _group(values: np.ndarray) -> tuple[int, bytes]:
-    """The shortest of four ways to hold sixteen bytes: none, two or four bits with escapes, or whole."""
-    best = (3, values.tobytes())
-    if not values.any():
-        return 0, b""
-    for mode, bits in ((1, 2), (2, 4)):
-        escape = (1 << bits) - 1
-        large = values >= escape
-        size = GROUP * bits // 8 + int(large.sum())
-        if size < len(best[1]):
-            small = np.minimum(values, escape)
-            each = 8 // bits
-            packed = np.zeros(GROUP // each, dtype=np.uint8)
-            for k in range(each):
-                packed |= (small[k::each] << np.uint8(8 - bits * (k + 1))).astype(np.uint8)
-            best = mode, packed.tobytes() + values[large].tobytes()
-    return best
+def _groups(groups: np.ndarray, widths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shortest of four widths for each group of sixteen bytes: (which, where its data ends, all data).
+
+    Values too wide for theirs are escaped and follow.  All groups of a stream are packed together.
+    """
+    sizes = []
+    for bits in widths:
+        if bits == 0:
+            sizes.append(np.where(groups.any(axis=1), 1 << 20, 0))
+        else:
+            sizes.append(np.full(len(groups), GROUP) if bits == 8 else GROUP * bits // 8 + (groups >= (1 << bits) - 1).sum(axis=1))
+    sizes = np.stack(sizes)
+    which = sizes.argmin(axis=0)
+    size = sizes[which, np.arange(len(groups))]
+    ends = np.cumsum(size)
+    out, start = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.uint8), ends - size
+    for k, bits in enumerate(widths):
+        mine = np.flatnonzero(which == k)
+        if not len(mine) or not bits:
+            continue
+        values, at = groups[mine], start[mine]
+        if bits == 8:
+            out[at[:, None] + np.arange(GROUP)] = values
+            continue
+        escape, each = (1 << bits) - 1, 8 // bits
+        small, n = np.minimum(values, escape), GROUP * bits // 8
+        packed = np.zeros((len(mine), n), dtype=np.uint8)
+        for j in range(each):
+            # single bits go from the lowest, wider values from the highest
+            packed |= (small[:, j::each] << np.uint8(j if bits == 1 else 8 - bits * (j + 1))).astype(np.uint8)
+        out[at[:, None] + np.arange(n)] = packed
+        row, column = np.nonzero(values >= escape)
+        rank = np.arange(len(row)) - np.searchsorted(row, row, "left")
+        out[at[row] + n + rank] = values[row, column]
+    return which, ends, out
+
+
+def _heads(which: np.ndarray) -> np.ndarray:
+    """(..., groups) of two bits each, four to a byte."""
+    padded = np.concatenate([which, np.zeros((*which.shape[:-1], -which.shape[-1] % 4), dtype=which.dtype)], axis=-1)
+    parts = padded.reshape(*padded.shape[:-1], -1, 4)
+    return (parts << np.array([0, 2, 4, 6])).sum(axis=-1).astype(np.uint8)
+
+
+def _columns(deltas: np.ndarray, size: int):
+    """Arrays (blocks, columns, groups, 16) of the rows: that of the whole blocks, and that of the last one, padded."""
+    n, stride = deltas.shape
+    whole = n // size * size
+    for part, rows in ((deltas[:whole], size), (deltas[whole:], n - whole)):
+        if len(part):
+            padded = np.concatenate([part, np.zeros((-rows % GROUP, stride), dtype=np.uint8)]) if rows != size else part
+            yield rows, np.ascontiguousarray(padded.reshape(-1, -(-rows // GROUP), GROUP, stride).transpose(0, 3, 1, 2))
 
 
 def encode(data: np.ndarray) -> bytes:
@@ -41,21 +76,16 @@ def encode(data: np.ndarray) -> bytes:
     n, stride = data.shape
     if stride % 4 or not 0 < stride <= 256:
         raise ValueError("a vertex has a multiple of four bytes, up to 256")
-    out, last = [bytes([HEADER])], data[0].copy() if n else np.zeros(stride, dtype=np.uint8)
-    first, size = last.copy(), _block_size(stride)
-    for a in range(0, n, size):
-        block = data[a : a + size]
-        groups = -(-len(block) // GROUP)
-        deltas = _zigzag((block - np.concatenate([last[None], block[:-1]])).astype(np.uint8))
-        for k in range(stride):
-            column = np.zeros(groups * GROUP, dtype=np.uint8)
-            column[: len(block)] = deltas[:, k]
-            modes, bodies = zip(*(_group(g) for g in column.reshape(groups, GROUP)), strict=True)
-            head = np.zeros(-(-groups // 4), dtype=np.uint8)
-            for i, m in enumerate(modes):
-                head[i // 4] |= m << (i % 4 * 2)
-            out += [head.tobytes(), *bodies]
-        last = block[-1]
+    first = data[0].copy() if n else np.zeros(stride, dtype=np.uint8)
+    out = [bytes([HEADER])]
+    if n:
+        deltas = _zigzag((data - np.concatenate([data[:1], data[:-1]])).astype(np.uint8))
+        for _, columns in _columns(deltas, _block_size(stride)):
+            blocks, _, groups, _ = columns.shape
+            which, ends, body = _groups(columns.reshape(-1, GROUP), (0, 2, 4, 8))
+            heads, cuts = _heads(which.reshape(-1, groups)), np.r_[0, ends[groups - 1 :: groups]]
+            for i in range(blocks * stride):
+                out += [heads[i].tobytes(), body[cuts[i] : cuts[i + 1]].tobytes()]
     tail = max(stride, 32)
     return b"".join(out) + b"\0" * (tail - stride) + first.tobytes()
 
@@ -119,57 +149,25 @@ def _channel_deltas(cur: np.ndarray, prev: np.ndarray, mode: int) -> np.ndarray:
     return np.ascontiguousarray(_rotl(cur.view("<u4") ^ prev.view("<u4"), turn).astype("<u4")).view(np.uint8)
 
 
-def _pack(values: np.ndarray, bits: int) -> bytes | None:
-    """Sixteen values of so many bits each, with escapes; None if zero bits don't do."""
-    if bits == 8:
-        return values.tobytes()
-    if bits == 0:
-        return None if values.any() else b""
-    escape, each = (1 << bits) - 1, 8 // bits
-    small = np.minimum(values, escape)
-    packed = np.zeros(GROUP // each, dtype=np.uint8)
-    for k in range(each):
-        # single bits go from the lowest, wider values from the highest
-        at = k if bits == 1 else 8 - bits * (k + 1)
-        packed |= (small[k::each] << np.uint8(at)).astype(np.uint8)
-    return packed.tobytes() + values[values >= escape].tobytes()
-
-
-def _byte_column(column: np.ndarray, n: int) -> tuple[int, bytes]:
-    """Control and data of one byte position of a block; the column is padded to whole groups."""
-    if not column.any():
-        return _ZERO, b""
-    best = _LITERAL, column[:n].tobytes()
-    groups = column.reshape(-1, GROUP)
-    for control, widths in enumerate(_WIDTHS):
-        head, parts = np.zeros(-(-len(groups) // 4), dtype=np.uint8), []
-        for i, g in enumerate(groups):
-            tried = [(len(p), k, p) for k, b in enumerate(widths) if (p := _pack(g, b)) is not None]
-            _, k, p = min(tried)
-            head[i // 4] |= k << (i % 4 * 2)
-            parts.append(p)
-        data = head.tobytes() + b"".join(parts)
-        if len(data) < len(best[1]):
-            best = control, data
-    return best
-
-
-def _blocks(data: np.ndarray):
-    n, stride = data.shape
-    size, last = _block_size(stride), data[0]
-    for a in range(0, n, size):
-        block = data[a : a + size]
-        yield block, np.concatenate([last[None], block[:-1]])
-        last = block[-1]
-
-
-def _padded(x: np.ndarray) -> np.ndarray:
-    return np.concatenate([x, np.zeros((-len(x) % GROUP, x.shape[1]), dtype=np.uint8)])
+def _chosen(columns: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, list]:
+    """For each column of each block (blocks, columns): its control, its bytes, and what both ways of grouping made."""
+    blocks, stride, groups, _ = columns.shape
+    flat, made = columns.reshape(-1, GROUP), []
+    sizes = [np.where(columns.any(axis=(2, 3)), 1 << 30, 0), np.full((blocks, stride), rows)]
+    for widths in _WIDTHS:
+        which, ends, body = _groups(flat, widths)
+        cuts = np.r_[0, ends[groups - 1 :: groups]]
+        made.append((_heads(which.reshape(-1, groups)), cuts, body))
+        sizes.append(np.diff(cuts).reshape(blocks, stride) + -(-groups // 4))
+    order = np.stack(sizes)  # zero, literal, and the two ways
+    best = order.argmin(axis=0)
+    return np.array([_ZERO, _LITERAL, 0, 1])[best], np.take_along_axis(order, best[None], axis=0)[0], made
 
 
-def _modes(data: np.ndarray) -> list[int]:
+def _modes(data: np.ndarray, prev: np.ndarray) -> list[int]:
     """For each channel the mode whose deltas take least, judged by a block of them."""
-    out, (block, prev) = [], next(_blocks(data))
+    out, size = [], _block_size(data.shape[1])
+    block, prev = data[:size], prev[:size]
     for c in range(0, data.shape[1], 4):
         cur, before = block[:, c : c + 4], prev[:, c : c + 4]
         changed = np.ascontiguousarray(cur).view("<u4") ^ np.ascontiguousarray(before).view("<u4")
@@ -177,8 +175,8 @@ def _modes(data: np.ndarray) -> list[int]:
         turns = [int(np.count_nonzero(np.ascontiguousarray(_rotl(changed, r).astype("<u4")).view(np.uint8))) for r in range(8)]
         tried = []
         for mode in (BYTES, SHORTS, XOR | int(np.argmin(turns)) << 4):
-            d = _padded(_channel_deltas(cur, before, mode))
-            tried.append((sum(len(_byte_column(d[:, k], len(cur))[1]) for k in range(4)), mode))
+            rows, columns = next(_columns(_channel_deltas(cur, before, mode), size))
+            tried.append((int(_chosen(columns, rows)[1].sum()), mode))
         out.append(min(tried)[1])
     return out
 
@@ -190,16 +188,22 @@ def encode_1(data: np.ndarray) -> bytes:
         raise ValueError("a vertex has a multiple of four bytes, up to 256")
     if not n:
         return b""
-    modes, out = _modes(data), [bytes([HEADER_1])]
-    for block, prev in _blocks(data):
-        controls, bodies = np.zeros(stride // 4, dtype=np.uint8), []
-        for c in range(0, stride, 4):
-            deltas = _padded(_channel_deltas(block[:, c : c + 4], prev[:, c : c + 4], modes[c // 4]))
-            for k in range(4):
-                control, body = _byte_column(deltas[:, k], len(block))
-                controls[c // 4] |= control << (2 * k)
-                bodies.append(body)
-        out += [controls.tobytes(), *bodies]
+    prev = np.concatenate([data[:1], data[:-1]])
+    modes, out = _modes(data, prev), [bytes([HEADER_1])]
+    deltas = np.concatenate([_channel_deltas(data[:, c : c + 4], prev[:, c : c + 4], modes[c // 4]) for c in range(0, stride, 4)], axis=1)
+    for rows, columns in _columns(deltas, _block_size(stride)):
+        controls, _, made = _chosen(columns, rows)
+        firsts = _heads(controls)  # four columns to a byte
+        for b in range(len(columns)):
+            out.append(firsts[b].tobytes())
+            for k in range(stride):
+                control = controls[b, k]
+                if control == _LITERAL:
+                    out.append(columns[b, k].reshape(-1)[:rows].tobytes())
+                elif control != _ZERO:
+                    heads, cuts, body = made[control]
+                    i = b * stride + k
+                    out += [heads[i].tobytes(), body[cuts[i] : cuts[i + 1]].tobytes()]
     tail = data[0].tobytes() + bytes(modes)
     return b"".join(out) + b"\0" * (_TAIL - len(tail)) + tail
 

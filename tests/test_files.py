@@ -491,6 +491,20 @@ def test_options_are_checked(spark):
 # ---------------------------------------------------------------- streaming
 
 
+def test_a_stream_keeps_the_range_of_its_first_batch(spark, tmp_path):
+    from lodestone.operators.transforms import Colouring
+
+    kind = "x double, r short, g short, b short"
+    put = lambda name, rows: spark.createDataFrame([(float(x), 255, 255, 255) for x in rows], kind).write.parquet(f"{tmp_path}/in/{name}")
+    put("a", range(0, 11))
+    run = lambda: ingest.coloured(spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in"), Colouring.parse("x:grayscale:stretch=minmax"), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    run()
+    put("b", [-5, 5, 100])
+    run()
+    got = {r.x: r.r for r in spark.read.parquet(f"{tmp_path}/out").filter("batch = 1").collect()}
+    assert json.loads((tmp_path / "check/colour-range.json").read_text()) == [0.0, 10.0] and got[-5.0] == 0 and got[100.0] == 255 and 120 < got[5.0] < 135
+
+
 def test_streamed_points(spark, sf, tmp_path):
     schema = "point_id long, x double, y double, z double"
     xyz = np.random.default_rng(8).uniform(0, 10, (1000, 3))
