@@ -286,11 +286,18 @@ def random_splats(n=200, degree=2, seed=1, box=(10, 10, 10)):
 def test_spz_round_trip(version):
     s = random_splats()
     out = spz.decode(spz.encode(s.centre, s.quaternion, s.scale, s.opacity, s.sh0, s.sh, version))
-    assert np.abs(out["xyz"] - s.centre).max() < 1e-5 and np.abs(out["opacity"] - s.opacity).max() < 0.003
+    assert np.abs(out["xyz"] - s.centre).max() <= 0.5 / 4096 and np.abs(out["opacity"] - s.opacity).max() < 0.003
     assert np.abs(np.log(out["scale"] / s.scale)).max() < 0.04 and np.abs(out["colour"] - s.sh0).max() < 0.02
     assert np.abs((out["quaternion"] * s.quaternion).sum(axis=1)).min() > 0.995 and np.abs(out["sh"] - s.sh).max() < 0.08
 
 
+def test_positions_have_as_many_bits_as_fit():
+    for most, bits in ((0.0, 12), (2047.99, 12), (2048.0, 11), (8388607.0, 0)):
+        assert spz.fraction_bits(np.array([[most, 0, 0]])) == bits
+    with pytest.raises(ValueError, match="from the origin"):
+        spz.fraction_bits(np.array([[0, -8388608.0, 0]]))
+
+
 def nodes(depth):
     paths = [""]
     for _ in range(depth):
