@@ -382,7 +382,8 @@ def test_queries_on_the_small_table(spark, sf):
     got = registry.op8_line_dedup(spark, sf).orderBy("doc_id").collect()
     assert [(r.n_lines, r.n_dropped, r.kept_sha256) for r in got] == [(a, b, hashlib.sha256(t.encode()).hexdigest()) for a, b, t in brute_lines(texts, 10)]
     templates = [(n, words(t)) for n, t in licenses.TEMPLATES]
-    whole = {(i, n) for i, t in zip(ids, texts, strict=True) for n, v in templates if any(words(t)[k : k + len(v)] == v for k in range(len(words(t)) - len(v) + 1))}
+    each = [(i, words(t)) for i, t in zip(ids, texts, strict=True)]
+    whole = {(i, n) for i, w in each for n, v in templates if any(w[k : k + len(v)] == v for k in range(len(w) - len(v) + 1))}
     assert whole == {(r.doc_id, r.license) for r in registry.op1_license_scan(spark, sf).collect() if r.coverage == 1}
     base = {i: secrets.candidates(t) for i, t in zip(ids, texts, strict=True)}
     for r in registry.op10_secret_scan(spark, sf).collect():
