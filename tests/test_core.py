@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from lodestone import model, queries, queries_files, queries_sources  # noqa: F401
+from lodestone import model, queries, queries_files, queries_rules, queries_sources  # noqa: F401
 from lodestone.functions import colour, crs, frames
 from lodestone.operators import knn, sample, stats, transforms, voxel
 from lodestone.plans import kd
