@@ -169,17 +169,38 @@ def quantiles(points: DataFrame, column: str, shares: list[float], by: str | Non
     return out
 
 
-def weighted_medians(points: DataFrame, value: str, weight: str, *by: str) -> DataFrame:
+def weighted_medians(points: DataFrame, value: str, weight: str, *by: str, bins: int = 1024) -> DataFrame:
     """By group, the first value, in order of value and weight, at which the running weight reaches half of the total.
 
-    Equal values are summed before they are put in order, so a group's rows don't meet unsummed.
+    Each round sums the weights in equal bins of what is left of a group's values, and goes on within the bin
+    that reaches half; no group is sorted, and a round shuffles ``bins`` numbers of a group from a task.
     """
-    w = F.col(weight).cast("double")
-    each = points.filter((w > 0) & (w < float("inf"))).groupBy(*by, F.col(value).alias("v")).agg(F.sum(w).alias("w"))
-    over = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    ran = each.withColumn("run", F.sum("w").over(over)).withColumn("total", F.sum("w").over(whole))
-    return ran.filter("run >= total / 2").groupBy(*by).agg(F.min("v").alias("weighted_median"))
+    spark, w = points.sparkSession, F.col(weight).cast("double")
+    each = points.filter((w > 0) & (w < float("inf"))).select(*by, F.col(value).alias("v"), w.alias("w")).filter("v is not null")
+    kinds = [(c, points.schema[c].dataType.simpleString()) for c in by]
+    kind = each.schema["v"].dataType.simpleString()
+    found: list[tuple] = []
+    left = {tuple(r[c] for c in by): (float(r["low"]), float(r["high"]), 0.0, r["total"], r["low"] == r["high"], r["low"]) for r in each.groupBy(*by).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("w").alias("total")).collect() if r["total"] is not None}  # a row for each group
+    while left:
+        found += [(*g, x[5]) for g, x in left.items() if x[4]]
+        left = {g: x for g, x in left.items() if not x[4]}
+        if not left:
+            break
+        rows = [(*g, low, high) for g, (low, high, *_) in left.items()]
+        brackets = F.broadcast(spark.createDataFrame(rows, ", ".join([*(f"{c} {t}" for c, t in kinds), "_low double, _high double"])))
+        inside = (each.join(brackets, list(by)) if by else each.crossJoin(brackets)).filter("v >= _low and v <= _high")
+        at = F.least(F.floor((F.col("v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins), F.lit(bins - 1))
+        sums: dict[tuple, list] = {}
+        for r in inside.groupBy(*by, at.alias("_bin")).agg(F.sum("w").alias("w"), F.min("v").alias("low"), F.max("v").alias("high")).collect():  # ``bins`` rows of a group at most
+            sums.setdefault(tuple(r[c] for c in by), []).append(r)
+        for g, (_, _, below, total, *_) in list(left.items()):
+            run = below
+            for r in sorted(sums[g], key=lambda r: r["_bin"]):
+                if run + r["w"] >= total / 2 or r is max(sums[g], key=lambda r: r["_bin"]):
+                    left[g] = (float(r["low"]), float(r["high"]), run, total, r["low"] == r["high"], r["low"])
+                    break
+                run += r["w"]
+    return spark.createDataFrame(found, ", ".join([*(f"{c} {t}" for c, t in kinds), f"weighted_median {kind}"]))
 
 
 def value_range(points: DataFrame, column: str, low: float = 0.02, high: float = 0.98) -> tuple[float, float]:

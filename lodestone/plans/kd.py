@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..job import Workspace, ship
 from ..operators import stats, voxel
-from ..operators.sample import sample_rows
+from ..operators.sample import sample_rows, split_exactly
 
 SAMPLE = 3_000_000
 POINTS_PER_TILE = 50_000
@@ -207,8 +207,9 @@ def bubble_up(spark: SparkSession, points: DataFrame, refine: str = "ADD", most:
     """points (with leaf and point_id) with ``tile``: each node passes half of its points to its parent, level by level.
 
     ADD moves points, so that each has one tile; REPLACE copies them.  A group is a subtree of at most
-    ``most`` points, or one node, whose size the plan bounds; what leaves the subtrees is written to the
-    shared folder and dealt again, until the root is among them.
+    ``most`` points, or one node; what leaves the subtrees is written to the shared folder and dealt
+    again, until the root is among them.  A node of more than ``most`` points, which coincide or the plan was of too small a sample,
+    passes on half of them by hash, without a group.
     """
     ws = Workspace(spark, "levels")
     sizes = {r["leaf"]: r["n"] for r in points.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row for each leaf
@@ -218,8 +219,18 @@ def bubble_up(spark: SparkSession, points: DataFrame, refine: str = "ADD", most:
     parallel, done, waiting = spark.sparkContext.defaultParallelism, [], here
     while True:
         length = _height(sizes, most, parallel)
-        now = here.filter(F.length("tile") >= length)
+        now, large = here.filter(F.length("tile") >= length), [p for p, n in sizes.items() if n > most and len(p) == length]
+        if large and len(max(sizes, key=len)) == length:
+            over = F.broadcast(spark.createDataFrame([(p,) for p in large], "tile string"))  # fewer than one for each ``most`` points
+            split = split_exactly(now.join(over, "tile", "left_semi"), 0.5 if length > len(ROOT) else 0.0, ["point_id"], "tile")
+            now = now.join(over, "tile", "left_anti")
+        else:
+            split = None
         climbed = now.groupBy(F.substring("tile", 1, length).alias("_group")).applyInArrow(_climbing(length, refine != "ADD"), here.schema)
+        if split is not None:
+            up = split.filter("taken").select(*here.columns).withColumns({"tile": F.expr("substring(tile, 1, length(tile) - 1)"), "above": F.lit(True)})
+            stay = split if refine != "ADD" else split.filter("not taken")
+            climbed = climbed.unionByName(stay.select(*here.columns)).unionByName(up)
         if length == len(ROOT):
             done.append(climbed)
             break

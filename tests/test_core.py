@@ -104,6 +104,35 @@ def test_levels_keep_the_points(spark, refine):
             assert parent["error"] >= r["error"] * 1.01 and parent["xmin"] <= r["xmin"] and parent["zmax"] >= r["zmax"]
 
 
+@pytest.mark.parametrize("refine", ["ADD", "REPLACE"])
+def test_nodes_too_large_for_a_task_are_split_by_hash(spark, refine):
+    xyz = [(1.0, 1.0, 1.0)] * 300 + [(float(i), 50.0, 0.0) for i in range(100)]
+    p = cloud(spark, xyz).withColumn("point_id", F.monotonically_increasing_id())
+    plan = kd.Plan([kd.Node("0", "y", 10.0), kd.Node("00"), kd.Node("01", "x", 50.0), kd.Node("010"), kd.Node("011")])
+    routed = plan.routed(p)
+    want = kd.tile_counts({"00": 300, "010": 50, "011": 50}, refine)
+    for most in (40, 120, 10_000):
+        got = kd.bubble_up(spark, routed, refine, most)
+        assert {r["tile"]: r["n"] for r in got.groupBy("tile").agg(F.count("*").alias("n")).collect()} == want
+        if refine == "ADD":
+            assert got.select("point_id").distinct().count() == 400
+
+
+def test_weighted_medians_of_many_values(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(g), float(v), float(w)) for g, v, w in zip(rng.integers(0, 3, 5000), rng.normal(size=5000) ** 3, rng.random(5000) - 0.1, strict=True)]
+    df = spark.createDataFrame([*rows, (3, 7.0, 1.0), (4, 1.0, -1.0), (5, 2.0, 1.0), (5, 3.0, 1.0)], "g int, v double, w double")
+    want = {}
+    for g in range(3):
+        mine = sorted((v, w) for i, v, w in rows if i == g and w > 0)
+        run = np.cumsum([w for _, w in mine])
+        want[g] = mine[int(np.searchsorted(run, run[-1] / 2))][0]
+    for bins in (4, 1024):
+        got = {r["g"]: r["weighted_median"] for r in stats.weighted_medians(df, "v", "w", "g", bins=bins).collect()}
+        assert got == want | {3: 7.0, 5: 2.0}
+    assert stats.weighted_medians(df.filter("g = 3"), "v", "w").first()[0] == 7.0
+
+
 def test_voxel_choice_spreads_over_the_node():
     g = np.random.default_rng(3)
     xyz = np.sort(g.uniform((0, 0, 0), (100, 100, 2), (20_000, 3)), axis=0)
