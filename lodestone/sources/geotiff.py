@@ -20,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..job import ship
 from ..operators import raster
 from ..storage import File, opened
+from . import jpeg
 
 # TIFF tags, field sizes and codecs (fixed values)
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8, 17: 8, 18: 8}
@@ -32,6 +33,7 @@ _GEODOUBLES = 34736
 _METHODS = {1: "tmerc", 7: "merc", 8: "lcc", 9: "lcc", 10: "laea", 11: "aea", 15: "stere"}
 _BALLS = {7030: "wgs84", 7019: "grs80", 7022: "intl", 7004: "bessel", 7008: "clrk66", 7001: "airy", 7024: "krass"}
 _METRES = {9001: 1.0, 9002: 0.3048, 9003: 1200 / 3937, 9036: 1000.0}
+_JPEG_TABLES = 347
 CODECS = {1: "none", 5: "lzw", 8: "deflate", 32946: "deflate", 32773: "packbits", 34925: "lzma", 50000: "zstd"}
 
 
@@ -144,6 +146,11 @@ class Image:
         if _TILE_W not in self.tags:
             bh = min(bh, self.size[1] - row)
         bands = 1 if self.one(_PLANAR, 1) == 2 else self.bands
+        if self.one(_CODEC, 1) == 7:
+            out = jpeg.decode(raw, bytes(self.tags[_JPEG_TABLES]) if _JPEG_TABLES in self.tags else None, self.one(_PHOTO, 1) == 6)
+            if out.shape[0] < bh or out.shape[1] < bw or out.shape[2] != bands:
+                raise ValueError("a JPEG block isn't of the size that the file says")
+            return out[:bh, :bw]
         data, d = unpacked(raw, self.one(_CODEC, 1)), self.dtype
         predictor = self.one(_PREDICTOR, 1)
         if predictor == 3:

@@ -127,6 +127,98 @@ def test_tiff_blocks(spark, tmp_path, kind):
     assert g.affine == (1000, 2, 0, 2000, 0, -2) and g.crs == "EPSG:32633" and g.area
 
 
+def jpeg_encode(data, factors, restart=0, tables=True, scale=1):
+    """A baseline stream of (rows, columns, components) whose codes all have four bits (DC) or eight (AC)."""
+    from lodestone.sources.jpeg import BASIS, ZIGZAG
+
+    h, w, many = data.shape
+    wide, high = max(x for x, _ in factors), max(y for _, y in factors)
+    seg = lambda mark, body: bytes([0xFF, mark]) + struct.pack(">H", len(body) + 2) + body
+    ac = [r << 4 | s for r in range(16) for s in range(1, 11)] + [0, 0xF0]
+    heads = seg(0xDB, b"\0" + bytes([scale] * 64)) + seg(0xC4, b"\0" + bytes([0, 0, 0, 12, *[0] * 12]) + bytes(range(12))) + seg(0xC4, b"\x10" + bytes([0] * 7 + [len(ac)] + [0] * 8) + bytes(ac))
+    across, down = -(-w // (8 * wide)), -(-h // (8 * high))
+    planes = []
+    for c, (x, y) in enumerate(factors):
+        full = np.pad(data[..., c].astype(float), ((0, down * 8 * high - h), (0, across * 8 * wide - w)), mode="edge")
+        planes.append(full.reshape(down * 8 * y, high // y, across * 8 * x, wide // x).mean(axis=(1, 3)) - 128)
+    size = lambda v: abs(v).bit_length()
+    extra = lambda v: format(v if v > 0 else v + (1 << size(v)) - 1, f"0{size(v)}b") if v else ""
+    segments, bits, last, done = [], "", [0] * many, 0
+
+    def close():
+        nonlocal bits, last
+        raw = bits + "1" * (-len(bits) % 8)
+        segments.append(int("1" + raw, 2).to_bytes(len(raw) // 8 + 1, "big")[1:].replace(b"\xff", b"\xff\0"))
+        bits, last = "", [0] * many
+
+    for u in range(across * down):
+        for c, (x, y) in enumerate(factors):
+            for j in range(y):
+                for i in range(x):
+                    r, k = (u // across * y + j) * 8, (u % across * x + i) * 8
+                    f = np.round(BASIS @ planes[c][r : r + 8, k : k + 8] @ BASIS.T / scale).astype(int).reshape(-1)[list(ZIGZAG)].tolist()
+                    d, last[c] = f[0] - last[c], f[0]
+                    bits += format(size(d), "04b") + extra(d)
+                    run = 0
+                    for v in f[1:]:
+                        if not v:
+                            run += 1
+                            continue
+                        while run > 15:
+                            bits += format(ac.index(0xF0), "08b")
+                            run -= 16
+                        bits += format(ac.index(run << 4 | size(v)), "08b") + extra(v)
+                        run = 0
+                    if run:
+                        bits += format(ac.index(0), "08b")
+        done += 1
+        if restart and done % restart == 0 and done < across * down:
+            close()
+    close()
+    body = segments[0] + b"".join(bytes([0xFF, 0xD0 + i % 8]) + s for i, s in enumerate(segments[1:]))
+    frame = seg(0xC0, struct.pack(">BHHB", 8, h, w, many) + b"".join(bytes([c + 1, x << 4 | y, 0]) for c, (x, y) in enumerate(factors)))
+    start = seg(0xDA, bytes([many, *(v for c in range(many) for v in (c + 1, 0)), 0, 63, 0]))
+    stream = b"\xff\xd8" + (heads if tables else b"") + frame + (seg(0xDD, struct.pack(">H", restart)) if restart else b"") + start + body + b"\xff\xd9"
+    return stream, b"\xff\xd8" + heads + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("many,factors,restart", [(1, [(1, 1)], 0), (1, [(2, 2)], 3), (3, [(1, 1)] * 3, 0), (3, [(2, 2), (1, 1), (1, 1)], 2), (3, [(2, 1), (1, 1), (1, 1)], 0)])
+def test_jpeg_streams(many, factors, restart):
+    from lodestone.sources import jpeg
+
+    y, x = np.mgrid[0:37, 0:53]
+    data = np.stack([(x * 3 + y * 2 + 40 * c) % 256 if c == 0 else 128 + 40 * np.sin(x / 9 + c) * np.cos(y / 7) for c in range(many)], axis=2)
+    one = [(1, 1)] if many == 1 else factors  # a scan of one component has no subsampling
+    stream, tables = jpeg_encode(data, one, restart)
+    if many == 1 and factors != one:
+        stream = stream.replace(struct.pack(">BHHB", 8, 37, 53, 1) + b"\x01\x11", struct.pack(">BHHB", 8, 37, 53, 1) + b"\x01\x22")
+    got = jpeg.decode(stream, ycc=False).astype(float)
+    assert got.shape == data.shape and np.abs(got[..., 0] - data[..., 0]).max() <= 2
+    if many == 3:
+        assert np.abs(got - data).max() <= (2 if factors[0] == (1, 1) else 12)
+        grey = jpeg.decode(jpeg_encode(np.stack([data[..., 0], 0 * y + 128, 0 * y + 128], axis=2), factors)[0])
+        assert np.abs(grey.astype(float) - data[..., :1]).max() <= 3
+    bare, tables = jpeg_encode(data, one, restart, tables=False, scale=2)
+    assert np.abs(jpeg.decode(bare, tables, ycc=False)[..., 0] - data[..., 0]).max() <= 6
+    with pytest.raises(ValueError):
+        jpeg.decode(stream[:60])
+    with pytest.raises(ValueError, match="baseline"):
+        jpeg.decode(stream.replace(b"\xff\xc0", b"\xff\xc2"))
+
+
+def test_tiff_blocks_of_jpeg(spark, tmp_path, monkeypatch):
+    y, x = np.mgrid[0:40, 0:50]
+    data = np.stack([(x * 4 + y) % 256, 128 + 0 * x, 128 + 0 * x], axis=2).astype(np.uint8)
+    monkeypatch.setitem(globals(), "packed", lambda raw, codec: jpeg_encode(np.frombuffer(raw, np.uint8).reshape(16, 16, 3), [(2, 2), (1, 1), (1, 1)])[0])
+    path = write_tiff(tmp_path / "a.tif", data, codec=7, tile=(16, 16))
+    raw = bytearray(open(path, "rb").read())
+    at = raw.rindex(struct.pack("<HHI", 262, 3, 1)) + 8
+    raw[at : at + 2] = struct.pack("<H", 6)
+    open(path, "wb").write(bytes(raw))
+    got = geotiff.read_colours(spark, path).toPandas()
+    assert np.abs(got.g.to_numpy() - data[got.row, got.col, 0].astype(int)).max() <= 3 and len(got) == 2000
+
+
 @pytest.mark.parametrize("dtype,predictor", [("<u2", 2), ("<i2", 1), ("<f4", 3), ("<f8", 3), ("<u4", 2)])
 def test_tiff_samples(spark, tmp_path, dtype, predictor):
     data = (np.random.default_rng(2).normal(size=(20, 30, 1)) * 1000).astype(dtype)
