@@ -95,7 +95,7 @@ FREQUENT = 100_000  # keys that are broadcast, at most
 SELDOM = 1000  # rows that any key may have in one task
 
 
-def spread_join(rows: DataFrame, one: DataFrame, keys: list[str], many: str, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, one: DataFrame, keys: list[str], many: str) -> DataFrame:
     """rows joined with ``one``, which has a row for each key and in its column ``many`` the number of rows with it.
 
     Keys with more rows than ``SELDOM`` and than one in ``FREQUENT`` of all are broadcast with what
@@ -104,7 +104,7 @@ def spread_join(rows: DataFrame, one: DataFrame, keys: list[str], many: str, how
     """
     bound = max(SELDOM, (one.agg(F.sum(many)).first()[0] or 0) // FREQUENT)
     hot = F.broadcast(one.filter(F.col(many) > bound))
-    cold = rows.join(hot.select(*keys), keys, "left_anti").join(one.filter(F.col(many) <= bound), keys, how)
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(one.filter(F.col(many) <= bound), keys)
     return rows.join(hot, keys).unionByName(cold)
 
 

@@ -28,6 +28,7 @@ LEAST = 1
 FILTER_BYTES = 64 << 20  # of filters sent to each task; beyond it keys go to the filters
 SHARD = 64 << 20
 BATCH = 1024  # documents that ask together
+TOUCHED, TABLES = 1000, 8  # shards rewritten by themselves, and tables that a state may lie in, at most
 _SLOTS = 4
 STATE = "shard int, keys binary, filter binary, exceptions binary, hot long"
 _WHITE = b" \t\n\r\x0b\x0c"
@@ -338,27 +339,40 @@ class LineDedup:
     of ``least`` code points or more found in ``limit`` documents or more lose all their lines;
     repeated rows count as documents of their own.  Very long texts are taken whole.
 
+    An insertion or deletion rewrites the shards that its lines fall in, up to ``TOUCHED`` and half of all, and else every one.
     By default there are two shards for each shuffle partition, and one for each ``SHARD``
     bytes of the documents first inserted.
     """
 
     def __init__(self, spark: SparkSession, limit: int = LIMIT, least: int = LEAST, shards: int | None = None):
         self.spark, self.limit, self.least, self.shards = spark, limit, least, shards
-        self.ws, self.version, self.state = Workspace(spark, "lines"), 0, None
+        self.ws, self.version, self.state, self.tables = Workspace(spark, "lines"), 0, None, []
 
     def _update(self, docs: DataFrame, text_col: str, sign: int) -> LineDedup:
         if self.shards is None:
             self.shards = max(2 * shuffle_partitions(self.spark), min(1 << 20, input_bytes(docs.select(text_col)) // SHARD))
         new = docs.select(text_col).mapInArrow(_counted(self.shards, self.least, sign), STATE)
+        name, rest = f"state-{self.version + 1}", None
         if self.state is not None:
-            new = new.unionByName(self.state)
+            new = self.ws.keep(new, f"delta-{self.version + 1}")
+            touched = [r["shard"] for r in new.select("shard").distinct().limit(TOUCHED + 1).collect()]
+            if len(touched) <= min(TOUCHED, self.shards // 2) and len(self.tables) < TABLES:
+                rest = self.state.filter(~F.col("shard").isin(touched))
+                new = new.unionByName(self.state.filter(F.col("shard").isin(touched)))
+            else:
+                new = new.unionByName(self.state)
         parts = min(self.shards, shuffle_partitions(self.spark))
         even = F.get(F.lit(even_keys(parts)), F.col("shard") % parts)
-        new = new.repartition(parts, even).sortWithinPartitions("shard").mapInArrow(_merged(self.limit), STATE)
-        state = self.ws.keep(new, f"state-{self.version + 1}")
-        if self.state is not None:
-            self.ws.drop(f"state-{self.version}")
-        self.state, self.version = state, self.version + 1
+        made = self.ws.keep(new.repartition(parts, even).sortWithinPartitions("shard").mapInArrow(_merged(self.limit), STATE), name)
+        if rest is None:
+            for old in self.tables:
+                self.ws.drop(old)
+            self.state, self.tables = made, [name]
+        else:
+            self.state, self.tables = rest.unionByName(made), [*self.tables, name]
+        if self.version:
+            self.ws.drop(f"delta-{self.version + 1}")
+        self.version += 1
         return self
 
     def insert(self, docs: DataFrame, text_col: str = "text") -> LineDedup:

@@ -267,7 +267,7 @@ def pack(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
 
     A document is its ids and then ``end``; null and empty texts are ``end`` alone.  One of
     more than ``length`` ids is cut into pieces of ``length``, of which the first may
-    be shorter.  Repeated rows and rows without an id are packed as any other.
+    be shorter.  Very long texts are tokenised whole.  Repeated rows and rows without an id are packed as any other.
     No rows give no rows.  Other columns are left out.
     """
     ws = Workspace(spark, "packing")
