@@ -218,6 +218,22 @@ def test_deleting_documents_takes_their_lines_back(spark):
         state.delete(frame(spark, ["never seen"]))
 
 
+def test_small_changes_rewrite_few_shards(spark):
+    texts = [f"line {i % 13}\nown {i}" for i in range(80)]
+    state, held = LineDedup(spark, 3, shards=64).insert(frame(spark, texts)), list(texts)
+    rng = random.Random(2)
+    for turn in range(12):
+        if turn % 3 == 2:
+            gone = held.pop(rng.randrange(len(held)))
+            state.delete(frame(spark, [gone]))
+        else:
+            held.append(f"line {rng.randrange(13)}\nnew {turn % 4}")
+            state.insert(frame(spark, held[-1:]))
+        assert state.state.count() == state.state.select("shard").distinct().count() <= 64
+    got = state.apply(frame(spark, held)).orderBy("doc_id").collect()
+    assert [(r.n_lines, r.n_dropped, r.text) for r in got] == brute_lines(held, 3)
+
+
 def test_cuckoo_filter():
     import numpy as np
 
