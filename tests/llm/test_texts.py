@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import jaccard_join, licenses, line_dedup, registry, secrets
 from lodestone.llm.decontaminate import decontaminate
 from lodestone.llm.jaccard_join import jaccard_components
-from lodestone.llm.line_dedup import LineDedup, dedup_lines
+from lodestone.llm.line_dedup import LineDedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
