@@ -49,7 +49,13 @@ _LOW = np.uint64(16)
 
 
 def _range(n: np.ndarray) -> np.ndarray:
-    """The part of the token numbers, of 2**48, that is counted for a set of n tokens; it falls with n."""
+    """The part of the token numbers, of 2**48, that is counted for a set of n tokens; it falls with n.
+
+    A linked partner lacks at most a fifth of a set's tokens.  Where the range holds more of them than that, it has one of
+    those that the set hangs under.  Where it doesn't, the set hangs under all that it shares in the range, and a
+    link is lost only if the partner lacks every one of the c tokens there: with numbers spread evenly, a chance of at most
+    the mean of 0.2**c, which is (1 - 0.8 share)**n: 0 for n < 48 (the range is whole), 2e-11 from 48 on, 6e-16 from 128 on.
+    """
     return np.where(n >= 128, (1 << 48) * 3 // 10, np.where(n >= 48, 1 << 47, 1 << 48)).astype(np.int64)
 
 
