@@ -81,12 +81,13 @@ def _pieces(path: str | None, length: int, end: int):
 class Plan:
     """How many sequences have each pattern (lengths, longest first)."""
 
-    def __init__(self, counts: dict[int, int], length: int):
+    def __init__(self, counts: dict[int, int], length: int, rising: bool = False):
+        """The first plan, by best fit of falling lengths, or of rising ones: a poor one, for the search to better."""
         self.length = length
         self.groups: dict[tuple[int, ...], int] = defaultdict(int)
-        self._best_fit(counts)
+        self._best_fit(counts, rising)
 
-    def _best_fit(self, counts: dict[int, int]) -> None:
+    def _best_fit(self, counts: dict[int, int], rising: bool) -> None:
         left: dict[int, dict[tuple[int, ...], int]] = defaultdict(dict)  # by room
         open_ = 0  # bit r: a sequence has room r
 
@@ -94,7 +95,7 @@ class Plan:
             left[room][pattern] = left[room].get(pattern, 0) + n
             return open_ | 1 << room
 
-        for size in sorted(counts, reverse=True):
+        for size in sorted(counts, reverse=not rising):
             n = counts[size]
             while n:
                 fits = open_ >> size
