@@ -85,6 +85,15 @@ def test_local_search_keeps_the_pieces_and_saves_sequences(seed):
     assert sum(n * sum(p) ** 2 for p, n in plan.groups.items()) >= squares
 
 
+def test_local_search_betters_a_poor_plan():
+    rng = random.Random(8)
+    counts = Counter(min(2048, int(rng.lognormvariate(5.5, 1.2)) + 1) for _ in range(5000))
+    plan = Plan(counts, 2048, rising=True)
+    least, before = -(-sum(s * n for s, n in counts.items()) // 2048), plan.sequences
+    assert before > 1.1 * least
+    assert plan.improve().sequences <= 1.005 * least + 1
+
+
 def gaining(plan):
     """An exchange that raises the sum of squared fills, from all pairs of patterns."""
     under = {p: sum(p) for p in plan.groups if sum(p) < plan.length}
