@@ -197,20 +197,24 @@ def archive_entries(spark, sf_dir):
 
     def put(batches):
         for b in batches:
-            for name, text in zip(b.column("name").to_pylist(), b.column("text").to_pylist(), strict=True):
-                write(f"{root}/in/{name}", text.encode())
-            yield b.select(["name"])
-
-    t = table(spark, sf_dir, "supplier").select(F.replace("s_name", F.lit("#"), F.lit("-")).alias("name"), F.concat_ws(" of ", "s_name", F.col("s_nationkey").cast("string")).alias("text"))
-    names = ws.keep(t.mapInArrow(put, "name string"), "names")
+            for entry, text in zip(b.column("entry").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if text is not None:
+                    write(f"{root}/in/{entry}", text.encode())
+            yield b.select(["name", "entry"])
+
+    nation = F.col("s_nationkey").cast("string")
+    name = F.replace("s_name", F.lit("#"), F.lit("-"))
+    t = table(spark, sf_dir, "supplier").select(name.alias("name"), F.concat(nation, F.lit("/"), name).alias("entry"), F.concat("s_name", F.lit(" of "), nation).alias("text"))
+    t = t.repartition(spark.sparkContext.defaultParallelism)  # a file for each row is written, however few bytes the table has
+    names = ws.keep(t.mapInArrow(put, "name string, entry string"), "names")
     tileset.package(f"{root}/in", target)
 
     def find(batches):
         with File(target) as f:
-            raw = f.read(0, f.size)
-        for b in batches:
-            found = [tileset.find(raw, n) for n in b.column("name").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"name": b.column("name"), "content": pa.array(found, pa.binary())})
+            archive = tileset.Entries(f.read, f.size)
+            for b in batches:
+                found = archive.find(b.column("entry").to_pylist())
+                yield pa.RecordBatch.from_pydict({"name": b.column("name"), "content": pa.array(found, pa.binary())})
 
     return names.mapInArrow(find, "name string, content binary").select("name", F.md5("content").alias("md5"))
 

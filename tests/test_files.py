@@ -1,14 +1,17 @@
 """File formats, splats, whole tilings and streaming."""
 
+import hashlib
+import io
 import json
 import struct
+import zipfile
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone import cli, model
+from lodestone import cli, model, queries_files
 from lodestone.operators import splats as S
 from lodestone.plans import kd
 from lodestone.plans import splats as P
@@ -357,6 +360,48 @@ def test_archive_finds_every_entry(tmp_path):
     assert tileset.find((tmp_path / "out.3tz").read_bytes(), "data/7.bin") == b"\x07" * 7
 
 
+def test_archives_are_read_by_ranges():
+    out, asked = io.BytesIO(), []
+    z = tileset._Zip(out)
+    names = [f"{i % 7}/{i}" for i in range(70_000)]  # more than a ZIP without ZIP64 counts
+    for n in names:
+        z.add(n, n.encode() * 3)
+    entries = sorted((tileset.index_order(n), n, p) for n, *_, p in z.entries)
+    z.add(tileset.INDEX, b"".join(hashlib.md5(n.encode()).digest() + struct.pack("<Q", p) for _, n, p in entries))
+    z.close()
+    raw = out.getvalue()
+    archive = tileset.Entries(lambda at, n: asked.append(n) or raw[at : at + n], len(raw))
+    opening = len(asked)
+    assert archive.find(names[::-9]) == [n.encode() * 3 for n in names[::-9]]
+    assert len(asked) - opening <= len(raw) // tileset.Entries.RUN + 1  # neighbours share a read
+    del asked[:]
+    assert archive.find([names[3], None, "nothing", names[-1], names[3]]) == [names[3].encode() * 3, None, None, names[-1].encode() * 3, names[3].encode() * 3]
+    assert sum(asked) < 300
+    with pytest.raises(ValueError):
+        tileset.Entries(lambda at, n: raw[:-200][at : at + n], len(raw) - 200)
+
+
+def test_files_are_packed_in_groups(tmp_path, monkeypatch):
+    monkeypatch.setattr(tileset, "READ_AHEAD", 100)
+    files = {f"{i:03d}": bytes([i]) * (i * 7 % 150) for i in range(200)}
+    (tmp_path / "in").mkdir()
+    for n, d in files.items():
+        (tmp_path / "in" / n).write_bytes(d)
+    assert tileset.package(str(tmp_path / "in"), str(tmp_path / "out.3tz")) == 200
+    raw = (tmp_path / "out.3tz").read_bytes()
+    assert all(tileset.find(raw, n) == d for n, d in files.items())
+    with zipfile.ZipFile(tmp_path / "out.3tz") as found:
+        assert found.testzip() is None and found.namelist() == [*sorted(files), tileset.INDEX]
+
+
+def test_archive_entries_of_one_name(spark, tmp_path):
+    rows = [("S#1", 3), ("S#1", 4), ("S#1", 3), ("S#2", 3), (None, 1), ("S#3", None)]
+    spark.createDataFrame(rows, "s_name string, s_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = [tuple(r) for r in queries_files.archive_entries(spark, str(tmp_path)).collect()]
+    digest = lambda n, k: None if n is None or k is None else hashlib.md5(f"{n} of {k}".encode()).hexdigest()
+    assert sorted(got, key=str) == sorted(((n and n.replace("#", "-"), digest(n, k)) for n, k in rows), key=str)
+
+
 # ---------------------------------------------------------------- splats
 
 
