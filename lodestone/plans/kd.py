@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from dataclasses import dataclass
 
@@ -13,13 +14,15 @@ from pyspark.sql import types as T
 
 from ..job import Workspace, ship
 from ..operators import stats, voxel
-from ..operators.sample import sample_rows, split_exactly
+from ..operators.sample import hash_order, sample_rows, split_exactly
 
 SAMPLE = 3_000_000
 POINTS_PER_TILE = 50_000
 SELECTED = 0.66  # share of the root's points that each tile inserted below it takes
 ROOT = "0"
 GROUP = 1_000_000  # points of a subtree that one task takes
+PER_LEAF = 256  # points of a sample for each leaf, so that leaves' sizes vary by a sixteenth
+UNEVEN = 1.1  # how much larger than the mean, at a split, leaves may get because rows lie on it
 CASES = 256  # leaves up to which routing is one nested CASE; beyond about 500 Arrow batches get faster
 
 
@@ -111,32 +114,103 @@ def leaf_count(total: int, per_tile: int = POINTS_PER_TILE, refine: str = "ADD")
     return max(1, math.ceil(total / (per_tile * (2 if refine == "ADD" else 1))))
 
 
-def plan_sample(xyz: np.ndarray, leaves: int) -> Plan:
-    """Split at the upper median of the axis of largest variance until there are as many leaves as wanted."""
+def plan_sample(xyz: np.ndarray, leaves: int, root: str = ROOT) -> Plan:
+    """Split at the upper median of the axis of largest variance until there are as many leaves as wanted.
+
+    An odd number of leaves is split where a leaf's share is the same on both sides. Rows on a split go to one side
+    together, the one that brings the sides nearest to this, and each side has leaves by the points that it then gets.
+    An axis with so many rows on its split that leaves would be over ``UNEVEN`` gives way to one that has fewer.
+    """
     nodes: list[Node] = []
 
+    def cut(value: np.ndarray, wanted: int) -> tuple[float, float, bool, int] | None:
+        """How uneven leaves get (the larger share, to the mean), split, side of ties, and leaves on the left."""
+        n, mid = len(value), len(value) * (wanted // 2) // wanted
+        split = float(np.partition(value, mid)[mid])
+        best = None
+        for tie_left, left in ((False, int((value < split).sum())), (True, int((value <= split).sum()))):
+            if 0 < left < n:
+                on_left = wanted // 2 if left == mid else min(max(round(wanted * left / n), 1), wanted - 1)
+                uneven = max(left / on_left, (n - left) / (wanted - on_left)) * wanted / n
+                if best is None or uneven < best[0]:
+                    best = uneven, split, tie_left, on_left
+        return best
+
     def grow(points: np.ndarray, wanted: int, path: str) -> None:
         if wanted <= 1 or len(points) < 2:
             nodes.append(Node(path))
             return
-        axis, mid = int(np.argmax(points.var(axis=0))), len(points) // 2
-        points = points[np.argpartition(points[:, axis], mid)]
-        nodes.append(Node(path, "xyz"[axis], float(points[mid, axis])))
-        grow(points[:mid], wanted // 2, path + "0")
-        grow(points[mid:], wanted - wanted // 2, path + "1")
+        found = None
+        for axis in np.argsort(-points.var(axis=0), kind="stable"):
+            made = cut(points[:, axis], wanted)
+            if made and (found is None or made[0] < found[0][0]):
+                found = made, int(axis)
+            if found and found[0][0] <= UNEVEN:
+                break
+        if found is None:  # all coincide
+            nodes.append(Node(path))
+            return
+        (_, split, tie_left, on_left), axis = found
+        nodes.append(Node(path, "xyz"[axis], split, tie_left))
+        left = points[:, axis] <= split if tie_left else points[:, axis] < split
+        grow(points[left], on_left, path + "0")
+        grow(points[~left], wanted - on_left, path + "1")
 
-    grow(np.asarray(xyz, dtype=np.float64), leaves, ROOT)
+    grow(np.asarray(xyz, dtype=np.float64), leaves, root)
     return Plan(nodes)
 
 
+def _mixed(table: pa.Table) -> np.ndarray:
+    """Positions; whatever order they came in, equal ones are mixed alike."""
+    xyz = np.stack([table.column(a).to_numpy() for a in "xyz"], axis=1)
+    return np.random.default_rng(0).permutation(xyz[np.lexsort(xyz.T)])
+
+
 def plan(points: DataFrame, leaves: int, ids: list[str], sample: int = SAMPLE) -> Plan:
-    """A plan from at most ``sample`` points, chosen by a hash of their ids."""
+    """A plan from a sample, chosen by a hash of ids, of which the driver holds at most ``sample`` points.
+
+    Where that is less than ``PER_LEAF`` for each leaf, and not all, the driver plans the upper levels alone. The points
+    below each of their leaves are counted, which says how many leaves it gets, and tasks plan these from samples of their own.
+    """
     if leaves <= 1:
         return Plan([Node(ROOT)])
-    got = sample_rows(points.select(*dict.fromkeys(["x", "y", "z", *ids])), sample, ids).select(*(F.col(a).cast("double") for a in "xyz")).toArrow()
-    xyz = np.stack([got.column(i).to_numpy() for i in range(3)], axis=1)
-    xyz = xyz[np.lexsort(xyz.T)]  # whatever order they came in, equal positions are then mixed alike
-    return plan_sample(np.random.default_rng(0).permutation(xyz), leaves)
+    points = points.select(*dict.fromkeys(["x", "y", "z", *ids]))
+    place = [F.col(a).cast("double").alias(a) for a in "xyz"]
+    xyz = _mixed(sample_rows(points, sample, ids).select(*place).toArrow())
+    few = len(xyz) < sample or leaves * PER_LEAF <= sample
+    total = 0 if few else points.count()
+    if few or total <= sample:
+        return plan_sample(xyz, leaves)
+    upper = plan_sample(xyz, min(max(sample // PER_LEAF, 2), max(leaves // 16, 2)))
+    routed = upper.routed(points)
+    held = {r["leaf"]: r["n"] for r in routed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row for each leaf of the upper levels
+    each = _shares(held, leaves)
+    bound = min(PER_LEAF * leaves / total, 1.0)
+    some = routed if bound == 1 else routed.filter(hash_order([*ids, "x", "y", "z"], 1) < int(bound * 2**64) - 2**63)
+
+    def lower(table: pa.Table) -> pa.Table:
+        path = table.column("leaf")[0].as_py()
+        made = plan_sample(_mixed(table), each[path], path).nodes.values()
+        return pa.table({"path": [n.path for n in made], "axis": pa.array([n.axis for n in made], pa.string()), "split": [n.split for n in made], "tie_left": [n.tie_left for n in made]})
+
+    ship(points.sparkSession)
+    found = some.select(*place, "leaf").groupBy("leaf").applyInArrow(lower, "path string, axis string, split double, tie_left boolean").collect()  # a row for each node
+    return Plan(list((upper.nodes | {r["path"]: Node(r["path"], r["axis"], r["split"], r["tie_left"]) for r in found}).values()))
+
+
+def _shares(held: dict[str, int], leaves: int) -> dict[str, int]:
+    """How many of the leaves each path gets, at least one: so that the largest leaves get as small as they can."""
+    total = sum(held.values())
+    out = {p: max(1, leaves * n // total) for p, n in held.items()}
+    waiting = [(-n / out[p], p) for p, n in held.items()]
+    heapq.heapify(waiting)
+    for _ in range(leaves - sum(out.values())):
+        p = waiting[0][1]
+        out[p] += 1
+        heapq.heapreplace(waiting, (-held[p] / out[p], p))
+    while sum(out.values()) > leaves and max(out.values()) > 1:  # small ones were given one
+        out[min((p for p in out if out[p] > 1), key=lambda p: (held[p] / (out[p] - 1), p))] -= 1
+    return out
 
 
 def plan_exactly(points: DataFrame, levels: int) -> Plan:

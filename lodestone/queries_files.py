@@ -94,7 +94,7 @@ def sampled_plan(spark, sf_dir):
     """The leaves of a plan from a sample, and whether none has over twice its share (positions repeat, and go to one side)."""
     p = points(spark, sf_dir)
     leaves = kd.leaf_count(p.count(), 2_500)
-    sizes = kd.plan(p, leaves, IDS, 20_000).routed(p).groupBy("leaf").agg(F.count("*").alias("n"))
+    sizes = kd.plan(p, leaves, IDS, 20_000).routed(p.select(*"xyz")).groupBy("leaf").agg(F.count("*").alias("n"))
     return sizes.agg(F.count("*").alias("leaves"), F.sum("n").alias("n"), (F.max("n") <= 2 * F.sum("n") / F.count("*")).alias("balanced"))
 
 

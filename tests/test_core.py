@@ -65,6 +65,41 @@ def test_sampled_plan_is_balanced(spark):
     assert len(counts) == 8 and sum(counts) == 4000 and max(counts) < 1.3 * 500
 
 
+def shares(points, plan):
+    return sorted(r["n"] for r in plan.routed(points).groupBy("leaf").agg(F.count("*").alias("n")).collect())
+
+
+def test_odd_numbers_of_leaves_are_balanced(spark):
+    points = cloud(spark, np.random.default_rng(4).uniform(0, 10, (3000, 3)))
+    for leaves in (3, 5, 7):
+        sizes = shares(points, kd.plan(points, leaves, ["point_id"]))
+        assert len(sizes) == leaves and sizes[-1] < 1.02 * 3000 / leaves
+
+
+def test_rows_on_a_split_count_on_the_side_they_go_to(spark):
+    rng = np.random.default_rng(5)
+    points = cloud(spark, np.stack([rng.choice([0, 0, 0, 0, 50], 4000), rng.integers(0, 3, 4000) * 20, rng.uniform(0, 1, 4000)], axis=1))
+    sizes = shares(points, kd.plan(points, 16, ["point_id"]))
+    assert len(sizes) == 16 and sizes[-1] < 1.5 * 250
+    same = cloud(spark, [(1, 2, 3)] * 50)
+    assert shares(same, kd.plan(same, 4, ["point_id"])) == [50]
+
+
+def test_many_leaves_from_a_small_sample(spark):
+    xyz = np.tile(np.random.default_rng(6).uniform(0, 10, (6000, 3)) ** 2, (5, 1))  # copies have ids of their own
+    points = cloud(spark, xyz)
+    for sample in (600, 2000):
+        plan = kd.plan(points, 60, ["point_id"], sample)
+        sizes = shares(points, plan)
+        assert len(plan.leaves) == len(sizes) == 60 and sizes[-1] < 1.5 * 500
+        assert plan.nodes == kd.plan(points.repartition(7), 60, ["point_id"], sample).nodes
+
+
+def test_leaves_are_shared_by_counts():
+    assert kd._shares({"00": 10, "01": 30, "1": 60}, 10) == {"00": 1, "01": 3, "1": 6}
+    assert kd._shares({"00": 1, "01": 1, "1": 98}, 10) == {"00": 1, "01": 1, "1": 8}
+
+
 def test_all_ways_of_routing_agree(spark, monkeypatch):
     xyz = np.random.default_rng(9).integers(0, 6, (2000, 3))  # many ties
     points = cloud(spark, xyz)
