@@ -41,31 +41,45 @@ def weighted_median(value: np.ndarray, weight: np.ndarray) -> float:
 def plan_sample(centre: np.ndarray, weight: np.ndarray, count: int, per_tile: int = PER_TILE) -> Plan:
     """Split at the weighted median of the axis of largest weighted variance until a node fits a tile.
 
-    Samples on a split go to the side with fewer so far; rows will go to the side that is planned smaller.
+    Rows on a split go to one side together, the one that brings the sides' weights nearest to each other; samples
+    go where rows like them will, so that nodes are planned with what they get.
     """
     nodes: list[Node] = []
 
+    def cut(value: np.ndarray, w: np.ndarray) -> tuple[float, bool, np.ndarray] | None:
+        """Split, side of ties, and who is on the left; None if all values are the same."""
+        split = weighted_median(value, w)
+        sides = [(tie_left, left) for tie_left, left in ((True, value <= split), (False, value < split)) if 0 < np.count_nonzero(left) < len(value)]
+        if not sides:
+            return None
+        total = w.sum()
+        heavy = w if np.isfinite(total) and total > 0 else np.ones(len(w))
+        tie_left, left = min(sides, key=lambda s: abs(heavy[s[1]].sum() - heavy.sum() / 2))
+        return split, tie_left, left
+
     def grow(x: np.ndarray, w: np.ndarray, n: int, path: str) -> None:
         if n <= per_tile or len(path) > DEPTH or len(x) < 2:
             nodes.append(Node(path))
             return
         ok = (w > 0) & np.isfinite(w)
-        mean = np.average(x[ok], axis=0, weights=w[ok]) if ok.any() else x.mean(axis=0)
-        var = np.average((x[ok] - mean) ** 2, axis=0, weights=w[ok]) if ok.any() else np.zeros(3)
-        axis = int(np.argmax(var))
-        if not var[axis] > 0:
+        var = np.zeros(3)
+        if ok.any():
+            mean = np.average(x[ok], axis=0, weights=w[ok])
+            var = np.average((x[ok] - mean) ** 2, axis=0, weights=w[ok])
+        if not var.max() > 0:  # those that have weight coincide
+            var = x.var(axis=0)
+        made = None
+        for axis in np.argsort(-var, kind="stable"):  # of equal values the variance may be a rounding error
+            if made := cut(x[:, axis], w):
+                break
+        if made is None:
             nodes.append(Node(path))
             return
-        split = weighted_median(x[:, axis], w)
-        side = np.where(x[:, axis] > split, 1, 0)
-        on, left, right = np.flatnonzero(x[:, axis] == split), int((x[:, axis] < split).sum()), int((x[:, axis] > split).sum())
-        # ties even out what is on both sides, the left one first
-        to_left = int(np.clip((right - left + len(on) + 1) // 2, 0, len(on)))
-        side[on[to_left:]] = 1
-        n_left = min(max(round(n * float((side == 0).mean())), 1), n - 1)
-        nodes.append(Node(path, "xyz"[axis], split, tie_left=n_left <= n - n_left))
-        grow(x[side == 0], w[side == 0], n_left, path + "0")
-        grow(x[side == 1], w[side == 1], n - n_left, path + "1")
+        split, tie_left, left = made
+        n_left = min(max(round(n * float(left.mean())), 1), n - 1)
+        nodes.append(Node(path, "xyz"[axis], split, tie_left))
+        grow(x[left], w[left], n_left, path + "0")
+        grow(x[~left], w[~left], n - n_left, path + "1")
 
     grow(centre, weight, count, ROOT)
     return Plan(nodes)

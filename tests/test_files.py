@@ -405,6 +405,29 @@ def test_archive_entries_of_one_name(spark, tmp_path):
 # ---------------------------------------------------------------- splats
 
 
+def routed_sizes(spark, plan, xyz):
+    points = spark.createDataFrame([tuple(map(float, p)) for p in xyz], "x double, y double, z double")
+    return sorted(r["n"] for r in plan.routed(points).groupBy("leaf").agg(F.count("*").alias("n")).collect())
+
+
+def test_splats_on_a_split_are_planned_where_they_go(spark):
+    rng = np.random.default_rng(3)
+    xyz = np.stack([rng.integers(1, 6, 6000), rng.integers(0, 120, 6000) / 10, rng.integers(0, 7, 6000)], axis=1).astype(float)
+    plan = P.plan_sample(xyz, rng.uniform(0.1, 0.6, 6000), 6000, 50)
+    sizes = routed_sizes(spark, plan, xyz)
+    assert sum(sizes) == 6000 and sizes[-1] <= 50 and len(sizes) == len(plan.leaves) and sum(sizes) / len(sizes) >= 20
+    part = rng.permutation(6000)[:3000]
+    sizes = routed_sizes(spark, P.plan_sample(xyz[part], np.ones(3000), 6000, 50), xyz)
+    assert sizes[-1] <= 100
+
+
+def test_splats_without_weight_are_split_too(spark):
+    xyz = np.repeat([[0.1, 0.1, 0.1], [5.0, 0.1, 0.1], [0.1, 7.0, 0.1]], [40, 30, 30], axis=0)
+    for weight in (np.zeros(100), np.r_[np.ones(40), np.zeros(60)], np.full(100, np.nan)):
+        assert routed_sizes(spark, P.plan_sample(xyz, weight, 100, 40), xyz) == [30, 30, 40]
+    assert P.plan_sample(xyz[:40], np.ones(40), 40, 10).leaves == ["0"]  # all coincide
+
+
 def test_merging_keeps_moments():
     s = random_splats(2, 1)
     s.scale[:] = 0.05
